@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from . import bpe, quality_rules, simhash, substring_dedup
+from . import bpe, quality_classifier, quality_rules, secrets, simhash, substring_dedup, warc
 
 QUERIES = {
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op3b_rule_ablations": quality_rules.op3b_rule_ablations,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
+    "op6_quality_classifier": quality_classifier.op6_quality_classifier,
+    "op7_secret_scans": secrets.op7_secret_scans,
     "op9_bpe": bpe.op9_bpe,
+    "op10_warc": warc.op10_warc,
 }
 
 SQL = {
     "op3_quality_rules": quality_rules.OP3_SQL,
     "op3b_rule_ablations": quality_rules.OP3B_SQL,
+    "op10_warc": warc.OP10_SQL,
 }
