@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, quality_classifier, quality_rules, secrets, simhash, substring_dedup, warc
+from . import bpe, decontamination, quality_classifier, quality_rules, secrets, simhash, substring_dedup, warc
 
 QUERIES = {
     "op3_quality_rules": quality_rules.op3_quality_rules,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
     "op6_quality_classifier": quality_classifier.op6_quality_classifier,
     "op7_secret_scans": secrets.op7_secret_scans,
+    "op8_benchmark_decontamination": decontamination.op8_benchmark_decontamination,
     "op9_bpe": bpe.op9_bpe,
     "op10_warc": warc.op10_warc,
 }
@@ -18,5 +19,6 @@ QUERIES = {
 SQL = {
     "op3_quality_rules": quality_rules.OP3_SQL,
     "op3b_rule_ablations": quality_rules.OP3B_SQL,
+    "op8_benchmark_decontamination": decontamination.OP8_SQL,
     "op10_warc": warc.OP10_SQL,
 }
