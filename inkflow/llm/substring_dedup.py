@@ -5,7 +5,7 @@ windows have equal minimisers. Consecutive windows of a text that share a minimi
 one packed string to the minimiser's bucket; in the bucket the window hashes are sorted, and each group of equal windows
 gives the least document that holds it. A word goes if a window over it also starts in a document of a smaller id.
 
-Shuffled: the super-k-mers (about 2.9 times the words, compressed with zstd in each map task, where equal strings lie
+Shuffled: the super-k-mers (about 2.8 times the words, compressed with zstd in each map task, where equal strings lie
 side by side, so that a passage which many documents share costs little more than its occurrences) and the texts once.
 A bucket holds 28 bytes for each of its windows, never the texts of all.
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 WINDOW = 13
-GRAM = 3
+GRAM = 2
 #: Buckets for each shuffle partition; a bucket is what one numpy sort works on.
 BUCKETS = 4
 
@@ -51,7 +51,7 @@ def _minimisers(grams: np.ndarray, width: int) -> np.ndarray:
 
 def super_kmers(batches: Iterator[pa.RecordBatch], window: int, gram: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Rows of (bucket, packed super-k-mers) from rows of (_id, _hash, _text)."""
-    pack = zstandard.ZstdCompressor(level=1)
+    pack = zstandard.ZstdCompressor(level=3)
     for batch in C.slices(batches):
         ids = batch.column("_id").to_numpy()
         text_hash = batch.column("_hash").to_numpy()
@@ -80,7 +80,7 @@ def super_kmers(batches: Iterator[pa.RecordBatch], window: int, gram: int, bucke
         own, place = doc[first], first - words_before[doc[first]]
         rows = []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            head = np.array([b - a], np.int64).tobytes() + ids[own[a:b]].tobytes() + text_hash[own[a:b]].tobytes() + place[a:b].tobytes() + np.diff(at_byte[a : b + 1]).tobytes()
+            head = np.array([b - a], np.int64).tobytes() + ids[own[a:b]].tobytes() + b"".join(x.astype(np.uint32).tobytes() for x in (text_hash[own[a:b]], place[a:b], np.diff(at_byte[a : b + 1])))
             rows.append(pack.compress(head + data[at_byte[a] : at_byte[b]].tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), pa.array(rows, pa.binary())], ["bucket", "packed"])
 
@@ -88,8 +88,9 @@ def super_kmers(batches: Iterator[pa.RecordBatch], window: int, gram: int, bucke
 def _windows(packed: bytes, window: int):
     raw = zstandard.ZstdDecompressor().decompress(packed)
     n = int(np.frombuffer(raw, np.int64, 1)[0])
-    ids, text_hash, place, sizes = np.frombuffer(raw, np.int64, 4 * n, 8).reshape(4, n)
-    buf = np.frombuffer(raw, np.uint8, offset=8 + 32 * n)
+    ids = np.frombuffer(raw, np.int64, n, 8)
+    text_hash, place, sizes = np.frombuffer(raw, np.uint32, 3 * n, 8 + 8 * n).reshape(3, n).astype(np.int64)
+    buf = np.frombuffer(raw, np.uint8, offset=8 + 20 * n)
     off = np.zeros(n + 1, np.int64)
     np.cumsum(sizes, out=off[1:])
     starts, ends, run = C.word_spans(buf, off)
@@ -138,7 +139,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, buck
     """(_id, _hash, first, end): spans of words that also start in a document of a smaller id. Spans may overlap."""
     n = C.shuffle_partitions(docs.sparkSession)
     buckets = buckets or n * BUCKETS
-    source = C.texts(docs).withColumn("_hash", F.xxhash64("_text"))
+    source = C.texts(docs).withColumn("_hash", F.xxhash64("_text").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
     kmers = source.mapInArrow(lambda it: super_kmers(it, window, gram, buckets), "bucket int, packed binary")
     return kmers.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: repeated_runs(it, window), "_id long, _hash long, first long, end long")
 
@@ -162,7 +163,7 @@ def _remove(batches: Iterator[pa.RecordBatch], sep: bytes) -> Iterator[pa.Record
 def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_removed, kept (the words that stay, joined by one space)."""
     spans = repeated_spans(docs, window, gram).groupBy("_id", "_hash").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
-    source = C.texts(docs).withColumn("_hash", F.xxhash64("_text"))
+    source = C.texts(docs).withColumn("_hash", F.xxhash64("_text").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
     joined = source.join(spans, ["_id", "_hash"], "left").select("_id", "_text", "spans")
     out = joined.mapInArrow(lambda it: _remove(it, b" "), "_id long, n_words long, n_removed long, kept string")
     return out.select(C.original_id(), "n_words", "n_removed", "kept")
