@@ -104,23 +104,26 @@ class SpanHash:
         rng = np.random.default_rng(seed)
         self.value = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.base = np.uint64(int(rng.integers(1 << 60, 1 << 62)) * 4 + 3)
-        self.powers = np.ones(1, np.uint64)
+        self.inverse = np.uint64(pow(int(self.base), -1, 1 << 64))
+        self.powers = self.inverses = np.ones(1, np.uint64)
 
-    def _power(self, n: int) -> np.ndarray:
+    def _grow(self, n: int) -> None:
+        """Powers of the base and of its inverse up to n: a span's hash must not depend on where the span lies."""
         if len(self.powers) <= n:
             steps = np.full(n + (n >> 2) + 2, self.base, np.uint64)
             steps[0] = 1
             self.powers = np.multiply.accumulate(steps)
-        return self.powers
+            steps[1:] = self.inverse
+            self.inverses = np.multiply.accumulate(steps)
 
     def sums(self, buf: np.ndarray) -> np.ndarray:
+        self._grow(len(buf))
         out = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(self.value[buf] * self._power(len(buf))[: len(buf)], out=out[1:])
+        np.cumsum(self.value[buf] * self.powers[: len(buf)], out=out[1:])
         return out
 
     def spans(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        n = len(sums) - 1
-        return mix((sums[ends] - sums[starts]) * self._power(n)[n - starts])
+        return mix((sums[ends] - sums[starts]) * self.inverses[starts])
 
 
 def ngram_hash(words: np.ndarray, n: int, odd: int) -> np.ndarray:
