@@ -117,9 +117,13 @@ class SpanHash:
             self.inverses = np.multiply.accumulate(steps)
 
     def sums(self, buf: np.ndarray) -> np.ndarray:
-        self._grow(len(buf))
-        out = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(self.value[buf] * self.powers[: len(buf)], out=out[1:])
+        return self.sums_of(self.value[buf])
+
+    def sums_of(self, values: np.ndarray) -> np.ndarray:
+        n = len(values)
+        self._grow(n)
+        out = np.zeros(n + 1, np.uint64)
+        np.cumsum(values * self.powers[:n], out=out[1:])
         return out
 
     def spans(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, quality_classifier, quality_rules, secrets, simhash, substring_dedup, suffix_dedup, warc
+from . import bpe, decontamination, line_dedup, quality_classifier, quality_rules, secrets, simhash, substring_dedup, suffix_dedup, warc
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_suffix_array_dedup": suffix_dedup.op2_suffix_array_dedup,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op3b_rule_ablations": quality_rules.op3b_rule_ablations,
