@@ -45,6 +45,11 @@ def texts(docs: DataFrame, *more: str, text: str = "text", key: str = "doc_id")
     return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"), *more)
 
 
+def packed_rows(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """_id (null: NO_ID) and _row, a struct of all columns of docs, whatever their names."""
+    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("_id"), F.struct("*").alias("_row"))
+
+
 def original_id(name: str = "doc_id"):
     return F.when(F.col("_id") != NO_ID, F.col("_id")).alias(name)
 

@@ -120,8 +120,7 @@ def contaminated(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, simi
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs, all columns, of documents that are similar to no item."""
     found = contaminated(docs, items).select(F.coalesce("doc_id", F.lit(C.NO_ID)).alias("_id")).distinct()
-    kept = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NO_ID))).join(found, "_id", "left_anti")
-    return kept.drop("_id").select(*docs.columns)
+    return C.packed_rows(docs).join(found, "_id", "left_anti").select("_row.*")
 
 
 def op8_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

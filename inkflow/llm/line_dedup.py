@@ -15,7 +15,7 @@ to go is verified against no further line.
 Shuffled: about 24 bytes for each entry or probe (12 a line at two edits), occurrences (hashes, no text), the border lines,
 and the texts once for each use, which Spark may share. A common line is aggregated before it is joined back.
 
-Defined results: a null text has no lines and stays null; empty texts stay empty; lines are equal if 63-bit hashes are;
+Defined results: a null text has no lines and stays null; empty texts stay empty; lines are equal if 62-bit hashes are;
 rows that repeat a document repeat its lines, and of rows of the same doc_id and text each keeps what the first does; a
 null doc_id comes after all others; an empty table gives an empty result; other columns are kept by line_dedup.
 """
@@ -56,7 +56,7 @@ class _Lines:
         keep = full[self.ends] > full[self.starts]
         self.starts, self.ends, self.text, self.number = (x[keep] for x in (self.starts, self.ends, self.text, self.number))
         self.sums = _LINES.sums_of(C.mix(self.points.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)))
-        self.hash = (_LINES.spans(self.sums, self.starts, self.ends) >> np.uint64(1)).astype(np.int64)
+        self.hash = (_LINES.spans(self.sums, self.starts, self.ends) >> np.uint64(2)).astype(np.int64)
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +232,10 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _deduped(docs: DataFrame, edits: int, least: int) -> DataFrame:
     """_id, the columns of docs but text as _0, _1 and so on, n_exact, n_near and _kept for each row of docs."""
-    gone = lines_to_remove(docs, edits, least).groupBy("_id", "_hash").agg(F.collect_set("number").alias("numbers"), F.count_if(~F.col("near")).alias("n_exact"), F.count_if("near").alias("n_near"))
+    # a set, for rows that repeat a document repeat its lines
+    marked = lines_to_remove(docs, edits, least).groupBy("_id", "_hash").agg(F.collect_set(F.struct("number", "near")).alias("x"))
+    n_near = F.size(F.filter("x", lambda x: x["near"]))
+    gone = marked.select("_id", "_hash", F.col("x.number").alias("numbers"), (F.size("x") - n_near).alias("n_exact"), n_near.alias("n_near"))
     others = [F.col(c).alias(f"_{k}") for k, c in enumerate(docs.columns) if c != "text"]
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NO_ID)).alias("_id"), F.coalesce("text", F.lit("")).alias("_text"), *others, F.col("text").isNull().alias("_null"))
     joined = rows.withColumn("_hash", F.xxhash64("_text")).join(gone, ["_id", "_hash"], "left").drop("_hash")

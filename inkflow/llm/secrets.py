@@ -120,8 +120,8 @@ def _uniform(places: Column) -> Column:
 def _serial(places: Column) -> Column:
     """The lag-one correlation of a uniform sequence as an approximately normal deviate, without its sign."""
     n = F.size(places)
-    products = F.aggregate(F.sequence(F.lit(0), n - 2), F.lit(0.0), lambda a, i: a + (places[i] - 0.5) * (places[i + 1] - 0.5))
-    return F.abs(products) * 12 / F.sqrt((n - 1).cast("double"))
+    pairs = F.zip_with(F.slice(places, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(places, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: (a - 0.5) * (b - 0.5))
+    return F.abs(F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x)) * 12 / F.sqrt(F.greatest(n - 1, F.lit(1)).cast("double"))
 
 
 def _text_bound(token: Column) -> Column:

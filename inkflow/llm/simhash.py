@@ -215,9 +215,9 @@ def simhash_dedup(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS)
     Of rows that repeat that doc_id, the one of the least text hash stays (equal texts: any of the equal rows).
     """
     found = simhash_components(docs, shingle, radius).filter("_id = component_id").select("_id").distinct()
-    kept = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NO_ID))).join(found, "_id", "left_semi")
-    first = Window.partitionBy("_id").orderBy(F.xxhash64("text"))
-    return kept.withColumn("_rank", F.row_number().over(first)).filter("_rank = 1").drop("_id", "_rank").select(*docs.columns)
+    rows = C.packed_rows(docs).join(found, "_id", "left_semi")
+    first = Window.partitionBy("_id").orderBy(F.xxhash64("_row.text"))
+    return rows.withColumn("_rank", F.row_number().over(first)).filter("_rank = 1").select("_row.*")
 
 
 def op5_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
