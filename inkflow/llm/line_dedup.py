@@ -194,22 +194,26 @@ def _verify(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.Record
 
 
 def _source(docs: DataFrame) -> DataFrame:
-    return C.texts(docs).withColumn("_hash", F.xxhash64("_text"))
+    """_id, _text and _hash of each row of docs, and its other columns as _0, _1 and so on, _null for a null text."""
+    others = [F.col(c).alias(f"_{k}") for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")]
+    whole = [F.col("doc_id").alias("_key"), F.col("text").isNull().alias("_null")] if others else []
+    return C.texts(docs, *others, *whole).withColumn("_hash", F.xxhash64("_text"))
 
 
-def lines_to_remove(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def lines_to_remove(source: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """(_id, _hash, number, near): the occurrences of lines that go; near: for a close line, not an equal one."""
     if least < 2 * (edits + 1):
         raise ValueError("segments need two characters or more")
-    spark = C.with_checkpoints(docs.sparkSession)
+    spark = C.with_checkpoints(source.sparkSession)
     n = C.shuffle_partitions(spark)
-    source = _source(docs)
-    seen = source.mapInArrow(_occurrences, "line long, _id long, _hash long, number long").checkpoint()
+    own = source.select("_id", "_text", "_hash")
+    seen = own.mapInArrow(_occurrences, "line long, _id long, _hash long, number long").checkpoint()
     firsts = seen.groupBy("line").agg(F.min(F.struct("_id", "number", "_hash")).alias("first"))
-    entries = source.mapInArrow(lambda it: _segments(it, edits, least), "segment long, line long")
+    entries = own.mapInArrow(lambda it: _segments(it, edits, least), "segment long, line long")
     met = entries.repartition(n, "segment").sortWithinPartitions("segment").mapInArrow(_met, "segment long, line long").checkpoint()
     placed = met.withColumn("own", F.shiftright("line", 1)).join(firsts.withColumnRenamed("line", "own"), "own")
     wanted = placed.groupBy("first._id", "first._hash").agg(F.collect_list(F.struct("segment", "line", F.col("first.number").alias("number"))).alias("wanted"))
+    # all of source's columns are read, so that this join and the one that removes lines share one exchange of the texts
     strings = source.join(wanted, ["_id", "_hash"]).mapInArrow(_fetch, "segment long, line long, id long, number long, string string")
     close = strings.repartition(n, "segment").sortWithinPartitions("segment").mapInArrow(lambda it: _verify(it, edits), "line long").distinct().withColumn("near", F.lit(True))
     decided = firsts.join(close, "line", "left")
@@ -231,26 +235,28 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _deduped(docs: DataFrame, edits: int, least: int) -> DataFrame:
-    """_id, the columns of docs but text as _0, _1 and so on, n_exact, n_near and _kept for each row of docs."""
+    """The columns of _source but _text and _hash, n_exact, n_near and _kept for each row of docs."""
+    source = _source(docs)
     # a set, for rows that repeat a document repeat its lines
-    marked = lines_to_remove(docs, edits, least).groupBy("_id", "_hash").agg(F.collect_set(F.struct("number", "near")).alias("x"))
+    marked = lines_to_remove(source, edits, least).groupBy("_id", "_hash").agg(F.collect_set(F.struct("number", "near")).alias("x"))
     n_near = F.size(F.filter("x", lambda x: x["near"]))
     gone = marked.select("_id", "_hash", F.col("x.number").alias("numbers"), (F.size("x") - n_near).alias("n_exact"), n_near.alias("n_near"))
-    others = [F.col(c).alias(f"_{k}") for k, c in enumerate(docs.columns) if c != "text"]
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NO_ID)).alias("_id"), F.coalesce("text", F.lit("")).alias("_text"), *others, F.col("text").isNull().alias("_null"))
-    joined = rows.withColumn("_hash", F.xxhash64("_text")).join(gone, ["_id", "_hash"], "left").drop("_hash")
+    joined = source.join(gone, ["_id", "_hash"], "left").drop("_hash")
     schema = joined.drop("_text", "numbers").schema
     return joined.mapInArrow(_without, schema.add("_kept", "string"))
 
 
 def line_dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """docs with the lines that go taken out of text, and n_chars (if there) set to the new length."""
-    done = _deduped(docs, edits, least)
+    narrow = set(docs.columns) == {"doc_id", "text"}
+    done = _deduped(docs.select("*", F.lit(0).alias("_more")) if narrow else docs, edits, least)
     kept = F.when(~F.col("_null"), F.col("_kept"))
 
     def column(k: int, name: str):
         if name == "text":
             return kept.alias(name)
+        if name == "doc_id":
+            return F.col("_key").alias(name)
         if name == "n_chars":
             return F.when(F.col("_null"), F.col(f"_{k}")).otherwise(F.length("_kept").cast(docs.schema[name].dataType)).alias(name)
         return F.col(f"_{k}").alias(name)
