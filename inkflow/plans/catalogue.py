@@ -1,6 +1,538 @@
-"""The registry of queries and their SQL."""
+"""The registry of queries over the driver's tables, and their SQL.
+
+Texts of the tables have no headings, lists or blank lines, so queries on these derive a marked text first, alike in
+both engines: line i gets `# ` if i mod 7 is 0 and `- ` if it is 3 or 4, and a blank line follows each line with i mod 5 = 4.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from inkflow.functions import json_filter, lexical, vectors
+from inkflow.functions import text as T
+from inkflow.functions import tokens as K
+from inkflow.operators import blocks, captions, catalog, chunking, images, retrieval, routing, structure
+from inkflow.sources import html
+
 QUERIES = {}
 SQL = {}
+
+TERMS = ("person", "tiempo", "der", "et", "the")
+BENCH_QUESTION = "Which benchmark text is closest?"
+
+
+def query(sql: str | None = None):
+    """Register a function under its name, with its SQL."""
+
+    def wrap(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql.strip()
+        return f
+
+    return wrap
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+# --- texts ----------------------------------------------------------------------------------------------------------
+
+_STRIPPED = "regexp_replace({0}, '^[\\s\\x0B\\x1c-\\x1f\\x{{85}}\\x{{a0}}\\x{{2000}}-\\x{{200a}}\\x{{3000}}]+|[\\s\\x0B\\x1c-\\x1f\\x{{85}}\\x{{a0}}\\x{{2000}}-\\x{{200a}}\\x{{3000}}]+$', '', 'g')"
+_TOKEN = "'[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+'"
+_PIPES = "(length({0}) - length(replace({0}, '|', '')))"
+
+
+def marked(docs: DataFrame) -> DataFrame:
+    """docs with marks in their text, as the module says."""
+    own = F.transform(T.lines(F.col("text")), lambda x, i: F.concat(F.when(i % 7 == 0, "# ").when((i % 7).isin(3, 4), "- ").otherwise(""), x, F.when(i % 5 == 4, "\n").otherwise("")))
+    return docs.withColumn("text", F.array_join(own, "\n"))
+
+
+_MARKED = """m as (select doc_id, lang, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: (case when (i - 1) % 7 = 0 then '# ' when (i - 1) % 7 in (3, 4) then '- ' else '' end) || x || (case when (i - 1) % 5 = 4 then chr(10) else '' end)), chr(10)) as text from documents)"""
+_LINES = "l as (select doc_id, len(x) as n, generate_subscripts(x, 1) - 1 as line, unnest(x) as c from (select doc_id, string_split(text, chr(10)) as x from {0}))"
+
+
+@query("select doc_id, cast(len(string_split(text, chr(10))) as int) as n_lines from documents")
+def line_count_by_doc(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.size(T.lines(F.col("text"))).alias("n_lines"))
+
+
+@query(f"""
+with {_LINES.format("documents")}, t as (select *, line - row_number() over (partition by doc_id order by line) as g from l where {_PIPES.format("c")} >= 2)
+select doc_id, cast(min(line) as int) as start, cast(max(line) as int) as "end", cast(count(*) as int) as rows from t group by doc_id, g having max(line) < max(n) - 1
+""")
+def table_runs(spark, sf):
+    return structure.table_runs(table(spark, sf, "documents"), "doc_id")
+
+
+@query(f"""
+with {_MARKED}, {_LINES.format("m")}, t as (select *, {_STRIPPED.format("c")} as s from l), u as (select *, line - row_number() over (partition by doc_id order by line) as g from t where regexp_matches(s, '^(?:[*\\-+]|\\d+\\.)\\s+'))
+select doc_id, cast(min(line) as int) as start, cast(max(line) as int) as "end", case when regexp_matches(arg_min(s, line), '^[*\\-+]') then 'unordered' else 'ordered' end as type from u group by doc_id, g
+""")
+def list_runs(spark, sf):
+    return structure.list_runs(marked(table(spark, sf, "documents")), "doc_id")
+
+
+@query(f"""
+with {_MARKED}, {_LINES.format("m")}, t as (select *, regexp_extract({_STRIPPED.format("c")}, '^(#{{1,6}})\\s+([^\\n]+)$', ['a', 'b']) as h from l)
+select doc_id, cast(line as int) as line, cast(length(h.a) as int) as level, md5(h.b) as heading from t where h.a <> ''
+""")
+def headings(spark, sf):
+    own = structure.headings(marked(table(spark, sf, "documents")), "doc_id")
+    return own.withColumn("heading", F.md5(F.col("heading")))
+
+
+@query(f"""
+with {_MARKED}, {_LINES.format("m")}, t as (select *, length(regexp_extract({_STRIPPED.format("c")}, '^(#{{1,6}})\\s+[^\\n]+$', 1)) as h from l), s as (select * from t where h > 0 or line = 0)
+select doc_id, cast(line as int) as start, cast(coalesce(lead(line) over (partition by doc_id order by line), n) - 1 as int) as "end", cast(case when h > 0 then h else 1 end as int) as level from s
+""")
+def heading_sections(spark, sf):
+    return structure.section_ranges(marked(table(spark, sf, "documents")), "doc_id")
+
+
+@query(f"""
+with {_MARKED}, {_LINES.format("m")}, t as (select *, regexp_matches({_STRIPPED.format("c")}, '^#{{1,6}}\\s+[^\\n]+$') as h, {_PIPES.format("c")} >= 2 as p, lead(c) over (partition by doc_id order by line) as nxt from l),
+a as (select doc_id, count(*) filter (where h) as nh, count(*) filter (where p and nxt is not null and {_PIPES.format("nxt")} < 2) as nt from t group by doc_id)
+select m.doc_id, cast(nh as int) as n_headings, cast(nt as int) as n_tables,
+  cast(round((case when {_STRIPPED.format("text")} = '' then 0 else 1 end) * (case when nh > 0 then 1 else 0.9 end) * (case when nt > 0 or {_PIPES.format("text")} > 10 then 1 else 0.95 end), 6) as double) as quality_score from m join a using (doc_id)
+""")
+def quality_score(spark, sf):
+    own = structure.structure(marked(table(spark, sf, "documents")), "doc_id")
+    return own.select("doc_id", "n_headings", "n_tables", F.round("quality_score", 6).alias("quality_score"))
+
+
+def _clean_sql(strict: bool) -> str:
+    row = "x" if strict else f"regexp_replace({_STRIPPED.format('x')}, '^\\|?((?s:.*?))\\|?$', '|\\1|')"
+    cells = f"string_split({row}, '|')"
+    inner = f"list_transform(({cells})[2:-2], lambda y: {_STRIPPED.format('y')})"
+    return f"select doc_id, md5(array_to_string(list_transform(string_split(text, chr(10)), lambda x: case when {_PIPES.format('x')} >= 2 then '| ' || array_to_string({inner}, ' | ') || ' |' else x end), chr(10))) as cleaned from documents"
+
+
+@query(_clean_sql(True))
+def md_table_clean_strict(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(T.clean_tables(F.col("text"), True)).alias("cleaned"))
+
+
+@query(_clean_sql(False))
+def md_table_clean(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(T.clean_tables(F.col("text"))).alias("cleaned"))
+
+
+@query("select doc_id, case when length(text) > 200 then substr(text, 1, 200) || '...' else text end as preview from documents")
+def preview(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.preview(F.col("text")).alias("preview"))
+
+
+@query("""
+select doc_id, case doc_id % 7 when 0 then 'pdf' when 1 then 'docx' when 2 then 'html' when 3 then 'jpeg' when 4 then 'tiff' when 5 then 'unknown' else 'txt' end as file_type from documents
+""")
+def file_types(spark, sf):
+    names = F.array(*map(F.lit, ("a.b.PDF", "x.doc", "y.htm", "z.jpg", "t.tif", "w.exe", "TXT")))
+    return table(spark, sf, "documents").select("doc_id", T.file_type(F.get(names, (F.col("doc_id") % 7).cast("int"))).alias("file_type"))
+
+
+# --- chunks ---------------------------------------------------------------------------------------------------------
+
+
+def _windows_sql(size: int, overlap: int) -> str:
+    step = size - overlap
+    return f"""
+with t as (select doc_id, text, regexp_extract_all(text, {_TOKEN}) as w from documents), s as (select doc_id, text, w, unnest(case when len(w) <= {size} then [0] else range(0, len(w), {step}) end) as i from t)
+select doc_id, cast(i // {step} as int) as chunk_index, md5(case when len(w) <= {size} then text else array_to_string(w[i + 1:i + {size}], '') end) as content from s"""
+
+
+@query(_windows_sql(1200, 200))
+def chunk_fixed(spark, sf):
+    return chunking.fixed_windows(table(spark, sf, "documents"), "doc_id").withColumn("content", F.md5("content"))
+
+
+@query(_windows_sql(64, 16))
+def chunk_fixed_small(spark, sf):
+    return chunking.fixed_windows(table(spark, sf, "documents"), "doc_id", size=64, overlap=16).withColumn("content", F.md5("content"))
+
+
+@query(f"""
+with t as (select doc_id, len(regexp_extract_all(text, {_TOKEN})) as n from documents), c as (select doc_id, case when n <= 1200 then 1 else ceil(n / 1000.0) end as k, n from t)
+select cast(sum(k) as bigint) as n_chunks, cast(max(k) as bigint) as most, cast(sum(n) as bigint) as n_tokens from c
+""")
+def chunk_fixed_stats(spark, sf):
+    docs = table(spark, sf, "documents").select(F.size(K.windows(F.col("text"), 1200, 200)).cast("long").alias("k"), K.count(F.col("text")).cast("long").alias("n"))
+    return docs.agg(F.sum("k").alias("n_chunks"), F.max("k").alias("most"), F.sum("n").alias("n_tokens"))
+
+
+@query(f"""
+with {_MARKED}, {_LINES.format("m")}, t as (select *, regexp_extract(c, '^(#{{1,6}})\\s+([^\\n]+)$', ['a', 'b']) as h from l),
+s as (select *, sum(case when h.a <> '' then 1 else 0 end) over (partition by doc_id order by line) as seg from t),
+u as (select *, max(case when {_PIPES.format("c")} >= 2 and h.a = '' then 1 else 0 end) over (partition by doc_id, seg order by line) as tbl from s),
+g as (select doc_id, seg, tbl, min(line) as f, string_agg(c, chr(10) order by line) as content, arg_min(h, line) as h from u group by doc_id, seg, tbl)
+select doc_id, cast(row_number() over (partition by doc_id order by f) - 1 as int) as ordinal, case when tbl = 1 then 'table' when h.a <> '' then 'heading' else 'text' end as type,
+  cast(case when tbl = 0 then length(h.a) else 0 end as int) as level, md5(case when tbl = 0 then h.b else '' end) as heading, md5(content) as content from g
+""")
+def sections(spark, sf):
+    own = structure.sections(marked(table(spark, sf, "documents")), "doc_id")
+    return own.select("doc_id", "ordinal", "type", "level", F.md5("heading").alias("heading"), F.md5("content").alias("content"))
+
+
+@query()
+def chunk_sections(spark, sf):
+    own = chunking.semantic_chunks(marked(table(spark, sf, "documents")), "doc_id", most=120, overlap=20)
+    return own.withColumn("content", F.md5("content"))
+
+
+@query()
+def chunk_paragraphs(spark, sf):
+    own = marked(table(spark, sf, "documents")).select("doc_id", F.posexplode(chunking.paragraph_chunks(F.col("text"), 120, 20)).alias("chunk_index", "content"))
+    return own.withColumn("content", F.md5("content"))
+
+
+@query()
+def chunk_sentences(spark, sf):
+    own = table(spark, sf, "documents").select("doc_id", F.posexplode(chunking.sentence_chunks(F.col("text"), 120, 20)).alias("chunk_index", "content"))
+    return own.withColumn("content", F.md5("content"))
+
+
+def _whole_chunks(spark, sf) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", "lang", F.lit(0).alias("chunk_index"), F.col("text").alias("content"))
+
+
+@query()
+def embed_split(spark, sf):
+    return chunking.split_for_embedding(_whole_chunks(spark, sf), most=400).withColumn("content", F.md5("content"))
+
+
+@query("""
+with t as (select *, count(*) over (partition by conv_id) as n, row_number() over (partition by conv_id order by turn) - 1 as k from conversations)
+select conv_id, turn, n as n_splits, cast(k as int) as split_index, cast(case when n > 1 then conv_id * 1000 + k else conv_id end as bigint) as chunk_index from t
+""")
+def split_lineage(spark, sf):
+    own = chunking.split_positions(table(spark, sf, "conversations"), "conv_id", "turn")
+    return own.select("conv_id", "turn", "n_splits", "split_index", F.when(F.col("n_splits") > 1, F.col("conv_id") * 1000 + F.col("split_index")).otherwise(F.col("conv_id")).alias("chunk_index"))
+
+
+@query(f"""
+with t as (select len(regexp_extract_all(text, {_TOKEN})) as n, text from documents)
+select count(*) as n_chunks, round(avg(n), 6) as mean_tokens, count(*) filter (where {_PIPES.format("text")} >= 2) as with_table, count(*) filter (where text like '#%') as with_heading from t
+""")
+def chunk_stats(spark, sf):
+    text = F.col("text")
+    own = table(spark, sf, "documents").select(K.count(text).alias("tokens"), T.is_table_line(text).alias("has_table"), text.startswith("#").alias("has_heading"))
+    return chunking.chunk_statistics(own).withColumn("mean_tokens", F.round("mean_tokens", 6))
+
+
+# --- vectors and retrieval ------------------------------------------------------------------------------------------
+
+
+def _query_vector(spark, sf, vec_id: int = 0) -> list[float]:
+    return [float(x) for x in table(spark, sf, "embeddings").filter(F.col("vec_id") == vec_id).first()["embedding"]]
+
+
+_V = "cast(embedding as double[])"
+_Q = "(select cast(embedding as double[]) from embeddings where vec_id = 0)"
+
+
+@query(f"select vec_id, round(list_distance({_V}, {_Q}), 6) as distance from embeddings order by list_distance({_V}, {_Q}), vec_id limit 10")
+def vec_l2_topk(spark, sf):
+    own = table(spark, sf, "embeddings").withColumnRenamed("vec_id", "id")
+    return retrieval.vector_search(own, _query_vector(spark, sf), 10, "l2").select(F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"))
+
+
+@query(f"select vec_id, round(1 - list_cosine_similarity({_V}, {_Q}), 6) as distance from embeddings order by 1 - list_cosine_similarity({_V}, {_Q}), vec_id limit 10")
+def vec_cosine_topk(spark, sf):
+    own = table(spark, sf, "embeddings").withColumnRenamed("vec_id", "id")
+    return retrieval.vector_search(own, _query_vector(spark, sf), 10, "cosine").select(F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"))
+
+
+@query(f"select vec_id, label, round(list_distance({_V}, {_Q}), 6) as distance from embeddings qualify row_number() over (partition by label order by list_distance({_V}, {_Q}), vec_id) <= 3")
+def vec_topk_by_label(spark, sf):
+    own = table(spark, sf, "embeddings").select("vec_id", "label", vectors.l2_distance(F.col("embedding"), vectors.literal(_query_vector(spark, sf))).alias("d"))
+    ranked = own.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("d", "vec_id")))
+    return ranked.filter("k <= 3").select("vec_id", "label", F.round("d", 6).alias("distance"))
+
+
+@query("select event_id, user_id from events where try_cast(json_extract_string(props, '$.k') as double) = 42 and json_type(props, '$.k') in ('BIGINT', 'UBIGINT', 'DOUBLE')")
+def json_filter_events(spark, sf):
+    return json_filter.filtered(table(spark, sf, "events"), {"k": 42}, "props").select("event_id", "user_id")
+
+
+@query("select event_type, count(*) as n from events where json_type(props) = 'OBJECT' group by event_type")
+def json_objects(spark, sf):
+    return table(spark, sf, "events").filter(json_filter.is_object(json_filter.parsed(F.col("props")))).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+_WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
+_TF = {t: f"len(list_filter(w, lambda x: x = '{t}'))" for t in TERMS}
+
+
+@query(f"with t as (select doc_id, {_WORDS} as w from documents) select doc_id, round(({' + '.join(_TF.values())}) / greatest(len(w), 1), 6) as lexical from t")
+def lex_tf(spark, sf):
+    own = table(spark, sf, "documents").withColumn("lex", lexical.words(F.col("text")))
+    return own.select("doc_id", F.round(lexical.tf_score(F.col("lex"), list(TERMS)), 6).alias("lexical"))
+
+
+_BM25 = f"""
+t as (select doc_id, lang, text, {_WORDS} as w from documents), f as (select doc_id, lang, text, len(w) as n, {", ".join(f"{x} as t{k}" for k, x in enumerate(_TF.values()))} from t),
+s as (select count(*) as c, avg(n) as mean, {", ".join(f"count(*) filter (where t{k} > 0) as d{k}" for k in range(len(TERMS)))} from f),
+b as (select doc_id, lang, text, {" + ".join(f"ln(1 + (c - d{k} + 0.5) / (d{k} + 0.5)) * t{k} * 2.2 / (t{k} + 1.2 * (0.25 + 0.75 * n / mean))" for k in range(len(TERMS)))} as lexical from f, s)
+"""
+
+
+@query(f"with {_BM25} select doc_id, round(lexical, 6) as lexical from b")
+def lex_bm25(spark, sf):
+    own = table(spark, sf, "documents").select("doc_id", lexical.words(F.col("text")).alias("lex"))
+    return lexical.bm25(own, "lex", list(TERMS)).select("doc_id", F.round("lexical", 6).alias("lexical"))
+
+
+def _chunks(spark, sf) -> DataFrame:
+    """Documents as chunks; the vectors are dealt out in turn."""
+    vecs = table(spark, sf, "embeddings")
+    n = vecs.count()
+    own = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang", F.col("text").alias("content"), lexical.words(F.col("text")).alias("content_lex"), (F.col("doc_id") % n).alias("vec_id"), F.to_json(F.struct("lang", "source")).alias("metadata"))
+    return own.join(vecs.select("vec_id", "embedding"), "vec_id")
+
+
+def _hybrid_sql(where: str, lex: str = "lexical") -> str:
+    return f"""
+with {_BM25.replace("from documents)", f"from documents where {where})")}, h as (select b.doc_id, text, 0.7 * (1 - list_distance({_V}, {_Q})) + coalesce(0.3 * {lex}, 0) as score from b join embeddings e on e.vec_id = b.doc_id % (select count(*) from embeddings))
+select doc_id, round(score, 6) as hybrid_score, case when length(text) > 200 then substr(text, 1, 200) || '...' else text end as preview from h order by score desc, doc_id limit 10"""
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    return df.select(F.col("id").alias("doc_id"), F.round("hybrid_score", 6).alias("hybrid_score"), T.preview(F.col("content")).alias("preview"))
+
+
+@query(_hybrid_sql("true"))
+def hybrid_topk(spark, sf):
+    return _shown(retrieval.hybrid_search(_chunks(spark, sf), _query_vector(spark, sf), TERMS, 10))
+
+
+@query(_hybrid_sql("lang = 'es'"))
+def hybrid_topk_filtered(spark, sf):
+    return _shown(retrieval.hybrid_search(_chunks(spark, sf), _query_vector(spark, sf), TERMS, 10, {"lang": "es"}))
+
+
+@query(_hybrid_sql("true", "null"))
+def hybrid_null_tsv(spark, sf):
+    own = _chunks(spark, sf).withColumn("content_lex", F.lit(None).cast("array<string>"))
+    return _shown(retrieval.hybrid_search(own, _query_vector(spark, sf), TERMS, 10))
+
+
+@query(f"""
+with t as (select conv_id, turn, len(regexp_extract_all(text, {_TOKEN})) as n from conversations), s as (select *, sum(n) over (partition by conv_id order by turn) as r from t)
+select conv_id, turn, cast(n as int) as tokens, cast(r as bigint) as running_tokens from s where r <= 120
+""")
+def context_pack(spark, sf):
+    return retrieval.packed_context(table(spark, sf, "conversations"), "conv_id", rank="turn", content="text", most=120).select("conv_id", "turn", "tokens", "running_tokens")
+
+
+@query("""
+with t as (select conv_id, turn, row_number() over (partition by conv_id order by turn) - 1 as k, count(*) over (partition by conv_id) as n from conversations)
+select conv_id, turn, cast(case when k % 2 = 1 then (n // 2) - 1 - (k // 2) else (n // 2) + k // 2 end as int) as rank from t
+""")
+def rerank_permutation(spark, sf):
+    """The answer names the odd places from the last to the first, some twice, and places that are not there."""
+    turns = table(spark, sf, "conversations")
+    ranked = turns.select("conv_id", "turn", (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1).alias("rank"))
+    n = ranked.groupBy("conv_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    odd = F.filter(F.sequence(F.col("n"), F.lit(0), F.lit(-1)), lambda i: (i % 2 == 1) & (i < F.col("n")))
+    responses = n.select("conv_id", F.concat(F.lit("Order: "), F.array_join(odd.cast("array<string>"), ", "), F.lit(" 99999999999 ("), F.array_join(odd.cast("array<string>"), ","), F.lit(") 4000")).alias("response"))
+    return retrieval.reranked(ranked, responses, "conv_id").select("conv_id", "turn", "rank")
+
+
+_POINT = "(lower(q) like '%punto%' or lower(q) like '%sección%' or lower(q) like '%apartado%' or lower(q) like '%tema%')"
+
+
+@query(f"""
+with b as (select item_id, case item_id % 4 when 0 then 'Punto 3: ' when 1 then 'Del sistema ' else '' end || text as q, item_id % 25 as k from benchmark)
+select item_id, md5(case when {_POINT} then q || ' PUNTO punto' else q end) as expanded, cast(case when {_POINT} then greatest(case when k = 0 then 10 else k end, 15) else case when k = 0 then 10 else k end end as bigint) as k from b
+""")
+def query_expand(spark, sf):
+    n = F.col("item_id") % 4
+    q = table(spark, sf, "benchmark").select("item_id", F.concat(F.when(n == 0, "Punto 3: ").when(n == 1, "Del sistema ").otherwise(""), "text").alias("q"), (F.col("item_id") % 25).alias("k"))
+    return q.select("item_id", F.md5(T.expanded_question(F.col("q"))).alias("expanded"), T.effective_k(F.col("q"), F.col("k"), 10, 15).cast("long").alias("k"))
+
+
+# --- routing --------------------------------------------------------------------------------------------------------
+
+
+def _page_rows(spark, sf) -> DataFrame:
+    """Documents as pages of 12 lines."""
+    own = structure.line_rows(table(spark, sf, "documents"), "doc_id").withColumn("page_no", (F.col("line") / 12).cast("int") + 1)
+    return own.groupBy("doc_id", "page_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "content"))), lambda x: x["content"]), "\n").alias("text"))
+
+
+_PAGES = f"{_LINES.format('documents')}, p as (select doc_id, line // 12 + 1 as page_no, string_agg(c, chr(10) order by line) as text from l group by all), "
+_COVERAGE = f"""{_PAGES} v as (select doc_id, max(page_no) as page_count, count(*) filter (where page_no <= 3) as k, count(*) filter (where page_no <= 3 and length({_STRIPPED.format("text")}) >= 50) as f, string_agg(text, chr(10) order by page_no) filter (where page_no <= 3) as sample from p group by doc_id)"""
+
+
+@query(f"with {_COVERAGE} select doc_id, cast(page_count as int) as page_count, round(f / greatest(k, 1), 6) as coverage, round(least(1, k / 3.0), 6) as confidence, md5(sample) as sample from v")
+def text_coverage(spark, sf):
+    own = routing.text_coverage(_page_rows(spark, sf), "doc_id")
+    return own.select("doc_id", "page_count", F.round("coverage", 6).alias("coverage"), F.round("confidence", 6).alias("confidence"), F.md5("sample").alias("sample"))
+
+
+_LAYOUT = f"""z as (select doc_id, sample, page_count, f / greatest(k, 1) as coverage, case when doc_id % 6 = 0 then 'docx' when doc_id % 6 = 1 then 'png' else 'pdf' end as file_type from v),
+y as (select *, {" + ".join(f"(contains(lower(sample), '{w}'))::int" for w in T.LAYOUT_WORDS)} as hits, contains(sample, '|') or contains(sample, chr(9)) as tab,
+  len(list_filter(string_split(sample, chr(10)), lambda x: length({_STRIPPED.format("x")}) between 1 and 29)) > len(string_split(sample, chr(10))) * 0.3 as cols from z),
+x as (select *, case when file_type <> 'pdf' then 'simple' when hits >= 2 or (tab and cols) then 'complex' when hits >= 1 or tab then 'moderate' else 'simple' end as layout from y)"""
+
+
+def _sampled(spark, sf) -> DataFrame:
+    n = F.col("doc_id") % 6
+    return routing.text_coverage(_page_rows(spark, sf), "doc_id").withColumn("file_type", F.when(n == 0, "docx").when(n == 1, "png").otherwise("pdf"))
+
+
+@query(f"with {_COVERAGE}, {_LAYOUT} select doc_id, file_type, layout from x")
+def layout_class(spark, sf):
+    return routing.route(_sampled(spark, sf)).select("doc_id", "file_type", "layout")
+
+
+@query(f"""
+with {_COVERAGE}, {_LAYOUT} select doc_id, 'local_parser' as parser_only,
+  case when file_type = 'docx' then 'local_parser' when coverage >= 0.5 then 'local_parser' when layout = 'complex' or coverage < 0.1 then 'local_ocr' else 'hybrid' end as with_ocr,
+  case when file_type = 'docx' then 'local_parser' when layout <> 'simple' or page_count >= 5 then 'cloud_ocr' when coverage >= 0.5 then 'local_parser' when coverage < 0.1 then 'local_ocr' else 'hybrid' end as with_cloud from x
+""")
+def route_strategy(spark, sf):
+    from inkflow.config import Settings
+
+    own = routing.route(_sampled(spark, sf))
+    args = (F.col("file_type"), F.col("coverage"), F.col("page_count"), F.col("layout"))
+    ocr, cloud = Settings(ocr=True), Settings(ocr=True, cloud_ocr=True, cloud_ready=True)
+    return own.select("doc_id", F.col("strategy").alias("parser_only"), routing.strategy(*args, ocr).alias("with_ocr"), routing.strategy(*args, cloud).alias("with_cloud"))
+
+
+@query("""
+with i as (select doc_id, doc_id // 50 as g, case when doc_id % 5 = 0 then 'full_page' else 'embedded' end as type, cast(n_chars % 700 as int) as w, cast(doc_id * 13 % 450 as int) as h from documents),
+r as (select *, row_number() over (partition by g order by (type = 'full_page') desc, doc_id) as rank from i where type = 'full_page' or (w >= 200 and h >= 200 and not (w / h > 0.9 and w / h < 1.1 and w < 300)))
+select doc_id, g, type, cast(rank as int) as rank from r where type = 'full_page' or rank <= 15
+""")
+def image_filter(spark, sf):
+    own = table(spark, sf, "documents").select("doc_id", F.floor(F.col("doc_id") / 50).alias("g"), F.when(F.col("doc_id") % 5 == 0, "full_page").otherwise("embedded").alias("type"), (F.col("n_chars") % 700).cast("int").alias("width"), (F.col("doc_id") * 13 % 450).cast("int").alias("height"), F.col("doc_id").alias("ordinal"))
+    return images.chosen_images(own, "g", most=15).select("doc_id", "g", "type", "rank")
+
+
+# --- extraction -----------------------------------------------------------------------------------------------------
+
+_TAGS = "regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script)[^>]*>.*?</script\\s*>|<style[^>]*>.*?</style\\s*>', chr(1), 'g'), '(?s)<!--.*?-->|<![^>]*>', chr(1), 'g'), '<[^>]*>', chr(1), 'g')"
+_ENTITIES = "replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&')"
+
+
+@query(f"""
+select page_id, md5(array_to_string(list_filter(list_transform(string_split({_TAGS}, chr(1)), lambda x: {_STRIPPED.format(_ENTITIES.format("x"))}), lambda x: x <> ''), chr(10))) as text from pages
+""")
+def html_text(spark, sf):
+    return table(spark, sf, "pages").select("page_id", F.md5(html.parsed(F.col("html"))["text"]).alias("text"))
+
+
+def _nation_blocks(spark, sf) -> DataFrame:
+    """Regions as tables of their nations: a row each (key order) with key and name, every third name missing."""
+    nations = table(spark, sf, "nation").withColumn("row", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")))
+    sides = F.explode(F.array(F.struct(F.lit(1).alias("col"), F.col("n_nationkey").cast("string").alias("text")), F.struct(F.lit(2).alias("col"), F.col("n_name").alias("text"))))
+    parts = nations.select(F.col("n_regionkey").alias("doc_id"), "n_nationkey", "row", sides.alias("c")).filter((F.col("c.col") == 1) | (F.col("n_nationkey") % 3 != 0))
+    cell = F.concat_ws("-", F.lit("c"), F.col("n_nationkey").cast("string"), F.col("c.col").cast("string"))
+    none, no_ids = F.lit(None).cast("int"), F.array().cast("array<string>")
+    words = parts.select("doc_id", (F.col("row") * 10 + F.col("c.col")).cast("int").alias("ordinal"), F.concat(cell, F.lit("-w")).alias("id"), F.lit("WORD").alias("block_type"), F.lit(1).alias("page"), none.alias("row_index"), none.alias("column_index"), "c.text", no_ids.alias("child_ids"))
+    cells = parts.select("doc_id", (1000 + F.col("row") * 10 + F.col("c.col")).cast("int").alias("ordinal"), cell.alias("id"), F.lit("CELL").alias("block_type"), F.lit(1).alias("page"), F.col("row").cast("int").alias("row_index"), F.col("c.col").alias("column_index"), F.lit(None).cast("string").alias("text"), F.array(F.concat(cell, F.lit("-w")), F.lit("missing")).alias("child_ids"))
+    tables = cells.groupBy("doc_id").agg(F.array_sort(F.collect_list("id")).alias("child_ids")).select("doc_id", F.lit(0).alias("ordinal"), F.concat(F.lit("t"), F.col("doc_id").cast("string")).alias("id"), F.lit("TABLE").alias("block_type"), F.lit(1).alias("page"), none.alias("row_index"), none.alias("column_index"), F.lit(None).cast("string").alias("text"), "child_ids")
+    return words.unionByName(cells).unionByName(tables)
+
+
+@query("""
+with n as (select *, row_number() over (partition by n_regionkey order by n_nationkey) as r from nation), c as (select n_regionkey, r, unnest([1, 2]) as c, n_nationkey, n_name from n)
+select cast(n_regionkey as bigint) as doc_id, cast(r as int) as row, cast(c as int) as "column", case when c = 1 then n_nationkey::varchar when n_nationkey % 3 <> 0 then n_name else '' end as text from c
+""")
+def ocr_grid(spark, sf):
+    own = blocks.block_tables(_nation_blocks(spark, sf)).select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode("rows").alias("r", "cells"))
+    return own.select("doc_id", (F.col("r") + 1).alias("row"), F.posexplode("cells").alias("c", "text")).select("doc_id", "row", (F.col("c") + 1).alias("column"), "text")
+
+
+@query("""
+with c as (select conv_id, turn, text, coalesce(lag(turn // 3) over (partition by conv_id order by turn), 0) <> turn // 3 as new, turn // 3 + 1 as page from conversations)
+select conv_id as doc_id, md5(string_agg(case when new then chr(10) || '[Página ' || page || ']' || chr(10) || chr(10) || text else text end, chr(10) order by turn)) as text from c group by conv_id
+""")
+def ocr_text(spark, sf):
+    lines = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ordinal"), F.lit("LINE").alias("block_type"), (F.floor(F.col("turn") / 3) + 1).cast("int").alias("page"), "text")
+    return blocks.block_text(lines).select("doc_id", F.md5("text").alias("text"))
+
+
+@query()
+def caption_inject(spark, sf):
+    """Every line of index 6 names a page and every line of index 3 a section; each document has captions of four pages."""
+    own = F.transform(T.lines(F.col("text")), lambda x, i: F.concat(x, F.when(i % 10 == 6, F.concat(F.lit(" página "), (i / 10 + 2).cast("int").cast("string"))).when(i % 8 == 3, F.concat(F.lit(" PUNTO "), (i / 8 + 1).cast("int").cast("string"))).otherwise("")))
+    docs = table(spark, sf, "documents").select("doc_id", F.array_join(own, "\n").alias("text"))
+    caps = docs.select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("ordinal")).select("doc_id", "ordinal", (F.col("ordinal") * 2 - 1).alias("page"), F.concat(F.lit("caption "), F.col("ordinal").cast("string")).alias("caption"))
+    return captions.injected(docs, caps).select("doc_id", F.md5("text").alias("text"))
+
+
+# --- catalogue ------------------------------------------------------------------------------------------------------
+
+
+def _catalogue(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Orders as documents and their lines as chunks."""
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("timestamp").alias("uploaded_at"), F.when(F.col("o_orderkey") % 4 != 0, F.to_json(F.struct(F.col("o_orderpriority").alias("priority")))).alias("metadata"))
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("document_id"), "l_linenumber")
+    return orders, lines.filter("document_id % 5 <> 0")
+
+
+@query("select o_orderkey as id, cast(coalesce(n, 0) as bigint) as chunk_count from orders left join (select l_orderkey, count(*) as n from lineitem where l_orderkey % 5 <> 0 group by l_orderkey) on l_orderkey = o_orderkey")
+def doc_chunk_counts(spark, sf):
+    documents, chunks = _catalogue(spark, sf)
+    return catalog.with_chunk_counts(documents, chunks).select("id", "chunk_count")
+
+
+@query("""
+with p as (select o_orderkey as id, o_orderdate from orders order by o_orderdate desc nulls first, o_orderkey limit 100 offset 40)
+select id, cast((select count(*) from lineitem where l_orderkey = id and l_orderkey % 5 <> 0) as bigint) as chunk_count from p
+""")
+def doc_page(spark, sf):
+    documents, chunks = _catalogue(spark, sf)
+    page, _ = catalog.listed(documents, chunks, 100, 40)
+    return page.select("id", "chunk_count")
+
+
+@query("select cast(count(*) as bigint) as total, cast(count(*) filter (where o_orderkey % 4 = 0) as bigint) as null_metadata from orders")
+def doc_totals(spark, sf):
+    documents, _ = _catalogue(spark, sf)
+    return documents.agg(F.count("id").alias("total")).crossJoin(catalog.null_counts(documents, "metadata"))
+
+
+@query("""
+select 'documents' as kind, count(*) as n from orders where o_custkey % 10 <> 3
+union all select 'chunks', count(*) from lineitem where l_orderkey % 5 <> 0 and l_orderkey not in (select o_orderkey from orders where o_custkey % 10 = 3)
+""")
+def delete_cascade(spark, sf):
+    documents, chunks = _catalogue(spark, sf)
+    gone = table(spark, sf, "orders").filter("o_custkey % 10 = 3").select(F.col("o_orderkey").alias("id"))
+    kept, rest = catalog.deleted(documents, chunks, gone)
+    return kept.agg(F.count(F.lit(1)).alias("n")).select(F.lit("documents").alias("kind"), "n").unionByName(rest.agg(F.count(F.lit(1)).alias("n")).select(F.lit("chunks").alias("kind"), "n"))
+
+
+@query("""select o_orderkey as id, case when o_orderkey % 4 <> 0 then '{"priority":"' || o_orderpriority || '"}' else '{}' end as metadata from orders""")
+def backfill_metadata(spark, sf):
+    documents, _ = _catalogue(spark, sf)
+    return catalog.backfilled_documents(documents).select("id", "metadata")
+
+
+@query("select o_orderkey as id from orders where o_orderpriority = '1-URGENT' and o_orderkey % 4 <> 0")
+def doc_filter(spark, sf):
+    documents, _ = _catalogue(spark, sf)
+    return json_filter.filtered(documents, {"priority": "1-URGENT"}).select("id")
+
+
+@query("""select conv_id, md5(string_agg(role || ': ' || text, chr(10) || chr(10) order by turn)) as context, count(*) as turns from conversations group by conv_id""")
+def context_join(spark, sf):
+    own = F.array_sort(F.collect_list(F.struct("turn", F.concat_ws(": ", "role", "text").alias("x"))))
+    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.md5(F.array_join(F.transform(own, lambda x: x["x"]), "\n\n")).alias("context"), F.count(F.lit(1)).alias("turns"))
+
+
+@query("""
+select doc_id, case when quality is null then source else 'label' end as source, lang, cast(quality as varchar) as quality from documents left join labels using (doc_id)
+""")
+def metadata_merge(spark, sf):
+    docs = table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
+    user = F.create_map(F.lit("source"), F.col("source"), F.lit("lang"), F.col("lang"))
+    system = F.when(F.col("quality").isNotNull(), F.create_map(F.lit("source"), F.lit("label"), F.lit("quality"), F.col("quality").cast("string")))
+    own = docs.select("doc_id", T.merged_metadata(user, system).alias("m"))
+    return own.select("doc_id", F.col("m")["source"].alias("source"), F.col("m")["lang"].alias("lang"), F.try_element_at("m", F.lit("quality")).alias("quality"))
