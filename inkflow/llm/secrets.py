@@ -31,14 +31,15 @@ from pyspark.sql import functions as F
 from . import common as C
 from .quality_rules import let
 
-# The forms of the three kinds, with the least length of what counts.
+# The forms of the three kinds.
 ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-ACCESS = "(AKIA[A-Z0-9]+)"
-HEX = "([0-9a-f]+)"
-KINDS = (("assign", ASSIGN, 6), ("access", ACCESS, 20), ("hex", HEX, 24))
+ACCESS = "AKIA[A-Z0-9]{16,}"
+HEX = "(?<![0-9a-f])[0-9a-f]{24,}"
+TOKEN = "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+#: Of a run that is long enough, the leftmost match is the whole run, so these patterns hold the least length themselves;
+#: a short value of an assignment is dropped after it is matched, for what it covers must not match again.
+KINDS = (("assign", ASSIGN, 6), ("access", ACCESS, 0), ("hex", HEX, 0))
 
-TOKEN = "([A-Za-z0-9+/_=-]+)"
-TOKEN_LENGTH = 20
 #: Rate of class changes between neighbouring characters that text reaches at most.
 TEXT_RATE = 0.12
 #: Level at which uniformity and serial correlation reject that a token is random.
@@ -52,27 +53,23 @@ PARTS = 8
 _Z = 3.0902  # of a normal's upper tail REJECT
 
 
-def matches(text: Column, pattern: str, least: int, scan: str | None = None) -> Column:
-    """Array of (start, end, value) of a pattern whose first group is the value; values under `least` are dropped.
-
-    scan: what a text must match to be scanned at all; by default a value of at least `least` characters.
-    """
-
-    def found(piece) -> Column:
-        return F.regexp_extract_all(text, F.lit(f"(?s)(.*?)({pattern})"), F.lit(piece))
-
+def matches(text: Column, pattern: str, least: int = 0) -> Column:
+    """Array of (start, end, value) of a pattern's matches; with `least`, the value is the pattern's group, and those
+    under `least` characters are dropped. What follows the last match is taken with the end of the text as an empty
+    match, for else the lazy gap would be tried from each of its places."""
     empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    gaps = F.arrays_zip(F.transform(found(1), F.length).alias("gap"), F.transform(found(2), F.length).alias("size"), found(3).alias("value"))
+    gaps = F.arrays_zip(*(F.regexp_extract_all(text, F.lit(rf"(?s)(.*?)({pattern}|\z)"), F.lit(k)).alias(name) for k, name in ((1, "gap"), (2, "found"))))
+    sized = F.transform(gaps, lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["found"]).alias("size"), (F.regexp_extract(x["found"], pattern, 1) if least else x["found"]).alias("value")))
     placed = F.aggregate(
-        gaps,
+        sized,
         F.struct(F.lit(0).alias("at"), empty.alias("out")),
         lambda a, x: F.struct(
             (a["at"] + x["gap"] + x["size"]).alias("at"),
-            F.when(F.length(x["value"]) >= least, F.array_append(a["out"], F.struct((a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + x["size"]).alias("end"), x["value"].alias("value")))).otherwise(a["out"]).alias("out"),
+            F.when(F.length(x["value"]) >= max(1, least), F.array_append(a["out"], F.struct((a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + x["size"]).alias("end"), x["value"].alias("value")))).otherwise(a["out"]).alias("out"),
         ),
         lambda a: a["out"],
     )
-    return F.when(text.rlike(scan or pattern), placed).otherwise(empty)
+    return F.when(text.rlike(pattern), placed).otherwise(empty)
 
 
 def _characters(token: Column, encoding: Column) -> Column:
@@ -137,7 +134,7 @@ def _text_bound(token: Column) -> Column:
 def random_spans(text: Column, taken: Column) -> Column:
     """Array of (start, end) of the tokens that pass the battery and touch no span of `taken`."""
     candidates = F.transform(
-        matches(text, TOKEN, TOKEN_LENGTH, f"{TOKEN[1:-2]}{{{TOKEN_LENGTH},}}"),
+        matches(text, TOKEN),
         lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), encoding_of(x["value"]).alias("encoding")),
     )
     free = F.filter(candidates, lambda x: x["encoding"].isNotNull() & ~F.exists(taken, lambda t: (t["start"] < x["end"]) & (x["start"] < t["end"])))
@@ -165,7 +162,7 @@ def random_spans(text: Column, taken: Column) -> Column:
 def spans(docs: DataFrame) -> DataFrame:
     """One row for each row of docs: _id, base and more: arrays of (start, rank of the kind, end, kind)."""
     text = F.col("_text")
-    found = C.texts(docs).select("_id", "_text", *(matches(text, pattern, least, None if kind == "assign" else f"{pattern[1:-2]}{{{least - 4 if kind == 'access' else least},}}").alias(kind) for kind, pattern, least in KINDS))
+    found = C.texts(docs).select("_id", "_text", *(matches(text, pattern, least).alias(kind) for kind, pattern, least in KINDS))
 
     def of(rank: int, kind: str, array: Column) -> Column:
         return F.transform(array, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind")))
