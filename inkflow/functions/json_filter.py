@@ -44,7 +44,7 @@ def contains(v: Column, needle) -> Column:
         own = F.try_variant_get(v, "$", "array<variant>")
         out = kind.startswith("ARRAY")
         for value in needle:
-            out = out & F.exists(F.coalesce(own, F.array().cast("array<variant>")), lambda x, value=value: contains(x, value))
+            out = out & F.exists(F.coalesce(own, F.array().cast("array<variant>")), _held(value))
     elif needle is None:
         out = F.is_variant_null(v)
     elif isinstance(needle, bool):
@@ -57,6 +57,10 @@ def contains(v: Column, needle) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+def _held(value):
+    return lambda x: contains(x, value)
+
+
 def checked(filters) -> dict | None:
     """A filter as a dict; None if there is none. Raises ValueError for anything but an object."""
     if filters is None or filters == "":

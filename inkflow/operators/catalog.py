@@ -84,6 +84,9 @@ def append(spark: SparkSession, documents: DataFrame, chunks: DataFrame, prefix:
     """Documents go last, so that a document that is listed has its chunks."""
     chunks.select(*spark.table(f"{prefix}document_chunks").columns).write.mode("append").insertInto(f"{prefix}document_chunks")
     documents.select(*spark.table(f"{prefix}documents").columns).write.mode("append").insertInto(f"{prefix}documents")
+    # rows may come from another session (a stream's), whose writes this one does not notice
+    spark.catalog.refreshTable(f"{prefix}documents")
+    spark.catalog.refreshTable(f"{prefix}document_chunks")
 
 
 def replaced(spark: SparkSession, name: str, rows: DataFrame) -> None:

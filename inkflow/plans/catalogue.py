@@ -416,7 +416,9 @@ def image_filter(spark, sf):
 # --- extraction -----------------------------------------------------------------------------------------------------
 
 _TAGS = "regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script)[^>]*>.*?</script\\s*>|<style[^>]*>.*?</style\\s*>', chr(1), 'g'), '(?s)<!--.*?-->|<![^>]*>', chr(1), 'g'), '<[^>]*>', chr(1), 'g')"
-_ENTITIES = "replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&')"
+_ENTITIES = "{0}"
+for _name, _char in (("lt", "'<'"), ("gt", "'>'"), ("quot", "'\"'"), ("#39", "chr(39)"), ("nbsp", "chr(160)"), ("copy", "chr(169)"), ("middot", "chr(183)"), ("amp", "'&'")):
+    _ENTITIES = f"replace({_ENTITIES}, '&{_name};', {_char})"
 
 
 @query(f"""
