@@ -13,9 +13,11 @@ A byte goes if a string of `length` bytes over it also starts at another place o
 
 Suffix arrays are built bucket by bucket because equal windows share a bucket, so no order across buckets is needed: the
 sort of all suffixes of the corpus, 860 million rows for 0.5 GB of documents, would shuffle several times the budget.
-Buckets over HOT_BYTES, whose arrays would not fit a task, are settled by two 64-bit hashes of each window instead.
+Cores and classes are counted by partial aggregates and joined back, so Spark may split a core that very many documents
+hold. A core of over HOT_CLASSES different strings has no bucket: its windows are dealt out by two 64-bit hashes each,
+and those are counted. A batch of buckets over HOT_BYTES is settled by such hashes where it lies.
 
-Shuffled: 56 bytes for each run (one in about SPAN / 2 bytes), border strings, and the texts once.
+Shuffled: 16 bytes for each run's core (one run in about SPAN / 2 bytes), 48 for the run, border strings, the texts once.
 
 Defined results: a null text is empty; a text under `length` bytes loses nothing; rows that repeat a document repeat
 its strings, so they lose them; a null doc_id is a document like any other; an empty table gives an empty result;
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -40,6 +42,8 @@ SLICE = 2 << 20
 #: Bytes of buckets that one suffix array is built over, and the size beyond which a single bucket is hashed.
 BATCH_BYTES = 1 << 20
 HOT_BYTES = 8 << 20
+#: Different strings of one core beyond which they are not gathered in a bucket.
+HOT_CLASSES = 8_192
 
 _GRAMS, _STRINGS, _MORE = C.SpanHash(11), C.SpanHash(12), C.SpanHash(13)
 
@@ -132,8 +136,11 @@ def repeated_by_hashes(buf: np.ndarray, starts: np.ndarray, length: int) -> np.n
     return out
 
 
-def runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Rows of (_id, _hash, core, whole, first, last): runs of window starts, hashes of core and of the run's string."""
+def runs(batches: Iterator[pa.RecordBatch], length: int, cores: bool = False) -> Iterator[pa.RecordBatch]:
+    """Rows of (_id, _hash, core, whole, first, last): runs of window starts, hashes of core and of the run's string.
+
+    cores: rows of (core) only.
+    """
     for batch in C.slices(batches, limit=SLICE):
         ids, text_hash = batch.column("_id").to_numpy(), batch.column("_hash").to_numpy()
         buf, off = C.buffer_of(batch.column("_text"))
@@ -160,6 +167,9 @@ def runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
         anchor, first = anchor[first], at[first]
         sums = _STRINGS.sums(buf)
         core = _STRINGS.spans(sums, anchor, anchor + length - SPAN + 1)
+        if cores:
+            yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64))], ["core"])
+            continue
         whole = C.mix(_STRINGS.spans(sums, first, last + length) ^ C.mix(((anchor - first) * (length + SPAN) + last - first).astype(np.uint64)))
         doc = np.searchsorted(off, first, "right") - 1
         yield pa.RecordBatch.from_arrays(
@@ -215,6 +225,20 @@ def _source(docs: DataFrame) -> DataFrame:
     return C.texts(docs).withColumn("_hash", F.xxhash64("_text"))
 
 
+def _window_hashes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Rows of (one, two, _id, _hash, first, known) for each window of strings."""
+    for batch in C.slices(batches, "string", 256 << 10):
+        buf, off = C.buffer_of(batch.column("string"))
+        windows = np.diff(off) - length + 1
+        string = np.repeat(np.arange(len(windows)), windows)
+        within = np.arange(len(string)) - np.repeat(np.cumsum(windows) - windows, windows)
+        starts = off[string] + within
+        one, two = (h.spans(h.sums(buf), starts, starts + length).view(np.int64) for h in (_STRINGS, _MORE))
+        ids, text_hash, first = (batch.column(k).to_numpy() for k in ("_id", "_hash", "first"))
+        known = batch.column("known").to_numpy(zero_copy_only=False)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (one, two, ids[string], text_hash[string], first[string] + within, known[string])], ["one", "two", "_id", "_hash", "first", "known"])
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(_id, _hash, first, end): spans of bytes in strings of `length` that also start elsewhere. Spans may overlap."""
     if length < SPAN + GRAM:
@@ -222,18 +246,28 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     C.with_checkpoints(docs.sparkSession)
     n = C.shuffle_partitions(docs.sparkSession)
     source = _source(docs)
+    # runs whose core occurs twice or more
+    cores = source.mapInArrow(lambda it: runs(it, length, True), "core long").groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core")
     found = source.mapInArrow(lambda it: runs(it, length), "_id long, _hash long, core long, whole long, first long, last long")
-    near = Window.partitionBy("core").orderBy("whole")
-    beside = found.withColumn("_before", F.lag("whole").over(near)).withColumn("_after", F.lead("whole").over(near))
-    known = F.coalesce(F.col("_before") == F.col("whole"), F.lit(False)) | F.coalesce(F.col("_after") == F.col("whole"), F.lit(False))
-    shared = beside.filter(F.col("_before").isNotNull() | F.col("_after").isNotNull()).withColumn("known", known)
-    shared = shared.withColumn("leads", F.coalesce(F.col("_before") != F.col("whole"), F.lit(True))).withColumn("open", F.max(~F.col("known")).over(Window.partitionBy("core")))
-    shared = shared.select("_id", "_hash", "core", "first", "last", "known", (F.col("open") & F.col("leads")).alias("sent")).checkpoint()
-    wanted = shared.filter("sent").groupBy("_id", "_hash").agg(F.collect_list(F.struct("core", "first", "last", "known")).alias("wanted"))
-    strings = source.join(wanted, ["_id", "_hash"]).mapInArrow(lambda it: _strings(it, length), "core long, _id long, _hash long, first long, known boolean, string binary")
-    settled = strings.repartition(n, "core").sortWithinPartitions("core").mapInArrow(lambda it: _sorted_buckets(it, length), "_id long, _hash long, first long, end long")
-    whole = shared.filter("known").select("_id", "_hash", "first", (F.col("last") + length).alias("end"))
-    return whole.unionByName(settled)
+    shared = found.join(cores, "core").checkpoint()
+    # classes of equal runs: those of two or more repeat as a whole
+    classes = shared.groupBy("core", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_id", "_hash", "first", "last")).alias("one"))
+    whole = shared.join(classes.filter("n > 1").select("core", "whole"), ["core", "whole"]).select("_id", "_hash", "first", (F.col("last") + length).alias("end"))
+    # one string of each class of the cores that have a single run, which only its windows can tell about
+    opened = classes.groupBy("core").agg(F.count_if(F.col("n") == 1).alias("single"), F.count(F.lit(1)).alias("k")).filter("single > 0 and k > 1").select("core", (F.col("k") > HOT_CLASSES).alias("hot"))
+    sent = classes.join(opened, "core").select("core", "one.*", (F.col("n") > 1).alias("known"), "hot").checkpoint()
+
+    def strings(chosen: DataFrame) -> DataFrame:
+        wanted = chosen.groupBy("_id", "_hash").agg(F.collect_list(F.struct("core", "first", "last", "known")).alias("wanted"))
+        return source.join(wanted, ["_id", "_hash"]).mapInArrow(lambda it: _strings(it, length), "core long, _id long, _hash long, first long, known boolean, string binary")
+
+    settled = strings(sent.filter("not hot")).repartition(n, "core").sortWithinPartitions("core").mapInArrow(lambda it: _sorted_buckets(it, length), "_id long, _hash long, first long, end long")
+    out = whole.unionByName(settled)
+    if not sent.filter("hot").isEmpty():
+        hashed = strings(sent.filter("hot")).mapInArrow(lambda it: _window_hashes(it, length), "one long, two long, _id long, _hash long, first long, known boolean")
+        twice = hashed.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("one", "two")
+        out = out.unionByName(hashed.filter("not known").join(twice, ["one", "two"]).select("_id", "_hash", "first", (F.col("first") + length).alias("end")))
+    return out
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,8 +23,9 @@ def test_suffix_array(size):
         assert suffix_dedup.suffix_array(x).tolist() == sorted(range(size), key=lambda i: x[i:].tolist())
 
 
-@pytest.mark.parametrize("length", [400, 150])
-def test_suffix_dedup(spark, length):
+@pytest.mark.parametrize("length,hot", [(400, suffix_dedup.HOT_CLASSES), (150, suffix_dedup.HOT_CLASSES), (400, 2)])
+def test_suffix_dedup(spark, monkeypatch, length, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT_CLASSES", hot)
     out = suffix_dedup.suffix_dedup(frame(spark), length).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256))
     assert tuples(out) == sorted_rows(brute.suffixes(PAIRS, length))
 
