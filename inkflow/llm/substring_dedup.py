@@ -30,7 +30,7 @@ from . import common as C
 WINDOW = 13
 GRAM = 2
 #: Buckets for each shuffle partition; a bucket is what one numpy sort works on.
-BUCKETS = 4
+BUCKETS = 2
 
 _A, _B = C.SpanHash(41), C.SpanHash(43)
 
@@ -51,7 +51,7 @@ def _minimisers(grams: np.ndarray, width: int) -> np.ndarray:
 
 def super_kmers(batches: Iterator[pa.RecordBatch], window: int, gram: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Rows of (bucket, packed super-k-mers) from rows of (_id, _hash, _text)."""
-    pack = zstandard.ZstdCompressor(level=3)
+    pack = zstandard.ZstdCompressor(level=6)
     for batch in C.slices(batches):
         ids = batch.column("_id").to_numpy()
         text_hash = batch.column("_hash").to_numpy()
