@@ -6,8 +6,10 @@ the longest one that ends the prefix and that merges keep apart from the last to
 prefix is encoded once, and a word's tokens are read back along its states. A word's final character is another symbol
 (with the end mark), hence a leaf of its own.
 
-Encoded words are remembered across a worker's slices, up to MEMO entries; beyond that the memory starts anew. Texts
-are processed where they are read: nothing is shuffled.
+No word and no composed character crosses a space or a line end, so a text is the sequence of its chunks between them.
+Encoded words and chunks are remembered across a worker's slices: up to MEMO and CHUNKS of them, and as many again that
+were used before those; older ones are forgotten, so common ones stay. Texts are processed where they are read: nothing
+is shuffled.
 
 Defined results: null and empty texts have no tokens and decode to an empty string; the strings of special tokens in a
 text are special tokens, as the file says; very long words and texts are encoded whole; an empty table gives an empty
@@ -30,7 +32,8 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-MEMO = 150_000
+MEMO = 250_000
+CHUNKS = 350_000
 
 
 def _byte_symbols() -> list[str]:
@@ -45,6 +48,24 @@ def _byte_symbols() -> list[str]:
     return out
 
 
+class Memory(dict):
+    """A dict of bounded size: `room` makes space for new keys, and keys in use come back from what was set aside."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.before = most, {}
+
+    def room(self, wanted: set[str]) -> set[str]:
+        """The wanted keys that are not known; all others of them are in the dict afterwards."""
+        if len(self) > self.most:
+            self.before = dict(self)
+            self.clear()
+        missing = wanted - self.keys()
+        again = missing & self.before.keys()
+        self.update((k, self.before[k]) for k in again)
+        return missing - again
+
+
 class WordBpe:
     """A tokenizer file of a word BPE: NFC, lower case, a splitting pattern, byte symbols and an end mark."""
 
@@ -69,7 +90,7 @@ class WordBpe:
         self.inner = {t for t in reachable if not t.endswith(self.end)}
         self.final = {t[: -len(self.end)] for t in reachable if t.endswith(self.end)}
         self.longest = max(map(len, self.ids), default=1)
-        self.memo: dict[str, tuple[bytes, str, int]] = {}
+        self.memo, self.chunks = Memory(MEMO), Memory(CHUNKS)
 
     def split(self, token: str) -> list[str]:
         """A token's symbols."""
@@ -144,19 +165,23 @@ class WordBpe:
         return out
 
     def learn(self, pieces: set[str]) -> None:
-        """Remember (ids as bytes, tokens joined by a space, count) of each piece."""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
+        """Remember (ids as bytes, tokens joined by a space) of each piece."""
         todo: dict[str, str] = {}
-        for p in pieces:
-            if p in self.memo:
-                continue
+        for p in self.memo.room(pieces):
             if p[0] == "\0" and p[1:] in self.specials:
-                self.memo[p] = (self.specials[p[1:]].to_bytes(4, "little"), p[1:], 1)
+                self.memo[p] = (self.specials[p[1:]].to_bytes(4, "little"), p[1:])
             else:
                 todo[p if p.isascii() and p.isalnum() else p.encode().decode("latin-1").translate(self.symbols)] = p
         for word, tokens in self.encode_words(list(todo)):
-            self.memo[todo[word]] = (b"".join(self.ids[t].to_bytes(4, "little") for t in tokens), " ".join(tokens), len(tokens))
+            self.memo[todo[word]] = (b"".join(self.ids[t].to_bytes(4, "little") for t in tokens), " ".join(tokens))
+
+    def learn_chunks(self, chunks: set[str]) -> None:
+        """Remember the same of each chunk; a chunk may have no token."""
+        cut = {x: self.pieces(x) for x in self.chunks.room(chunks)}
+        self.learn(set().union(*cut.values()))
+        for x, pieces in cut.items():
+            found = [self.memo[p] for p in pieces]
+            self.chunks[x] = found[0] if len(found) == 1 else (b"".join([f[0] for f in found]), " ".join([f[1] for f in found]))
 
 
 @lru_cache(2)
@@ -167,14 +192,14 @@ def load(path: str) -> WordBpe:
 def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     bpe = load(path)
     for batch in C.slices(batches):
-        texts = [bpe.pieces(x) for x in batch.column("_text").to_pylist()]
-        bpe.learn(set().union(*texts))
-        get = bpe.memo.__getitem__
+        texts = [x.replace("\n", " ").split(" ") for x in batch.column("_text").to_pylist()]
+        bpe.learn_chunks(set().union(*texts))
+        get = bpe.chunks.__getitem__
         ids, tokens, counts = [], [], []
-        for pieces in texts:
-            found = [get(p) for p in pieces]
+        for chunks in texts:
+            found = [get(x) for x in chunks]
             ids.append(b"".join([x[0] for x in found]))
-            tokens.append(" ".join([x[1] for x in found]))
+            tokens.append(" ".join([x[1] for x in found if x[1]]))
             counts.append(len(ids[-1]) // 4)
         yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.binary()), pa.array(tokens, pa.string())], ["_id", "n_tokens", "ids", "decoded"])
 
