@@ -216,8 +216,7 @@ def lines_to_remove(source: DataFrame, edits: int = EDITS, least: int = LEAST) -
     # all of source's columns are read, so that this join and the one that removes lines share one exchange of the texts
     strings = source.join(wanted, ["_id", "_hash"]).mapInArrow(_fetch, "segment long, line long, id long, number long, string string")
     close = strings.repartition(n, "segment").sortWithinPartitions("segment").mapInArrow(lambda it: _verify(it, edits), "line long").distinct().withColumn("near", F.lit(True))
-    # a key that no side is dealt by yet, so that Spark deals both out for this join and may split a very common line
-    key = F.col("line").bitwiseXOR(F.lit(1).cast("long")).alias("key")
+    key = C.anew("line").alias("key")
     decided = firsts.join(close, "line", "left").select(key, "first", F.coalesce("near", F.lit(False)).alias("near"), "n").filter("near or n > 1").drop("n")
     judged = seen.select(key, "_id", "_hash", "number").join(decided, "key")
     is_first = (F.col("_id") == F.col("first._id")) & (F.col("number") == F.col("first.number")) & (F.col("_hash") == F.col("first._hash"))

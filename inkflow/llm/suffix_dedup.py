@@ -247,15 +247,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     n = C.shuffle_partitions(docs.sparkSession)
     source = _source(docs)
     # runs whose core occurs twice or more
-    cores = source.mapInArrow(lambda it: runs(it, length, True), "core long").groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core")
+    cores = source.mapInArrow(lambda it: runs(it, length, True), "core long").groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(C.anew("core").alias("key"))
     found = source.mapInArrow(lambda it: runs(it, length), "_id long, _hash long, core long, whole long, first long, last long")
-    shared = found.join(cores, "core").checkpoint()
+    shared = found.withColumn("key", C.anew("core")).join(cores, "key").checkpoint()
     # classes of equal runs: those of two or more repeat as a whole
     classes = shared.groupBy("core", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_id", "_hash", "first", "last")).alias("one"))
-    whole = shared.join(classes.filter("n > 1").select("core", "whole"), ["core", "whole"]).select("_id", "_hash", "first", (F.col("last") + length).alias("end"))
+    whole = shared.join(classes.filter("n > 1").select(C.anew("core").alias("key"), "whole"), ["key", "whole"]).select("_id", "_hash", "first", (F.col("last") + length).alias("end"))
     # one string of each class of the cores that have a single run, which only its windows can tell about
-    opened = classes.groupBy("core").agg(F.count_if(F.col("n") == 1).alias("single"), F.count(F.lit(1)).alias("k")).filter("single > 0 and k > 1").select("core", (F.col("k") > HOT_CLASSES).alias("hot"))
-    sent = classes.join(opened, "core").select("core", "one.*", (F.col("n") > 1).alias("known"), "hot").checkpoint()
+    opened = classes.groupBy("core").agg(F.count_if(F.col("n") == 1).alias("single"), F.count(F.lit(1)).alias("k")).filter("single > 0 and k > 1").select(C.anew("core").alias("key"), (F.col("k") > HOT_CLASSES).alias("hot"))
+    sent = classes.withColumn("key", C.anew("core")).join(opened, "key").select("core", "one.*", (F.col("n") > 1).alias("known"), "hot").checkpoint()
 
     def strings(chosen: DataFrame) -> DataFrame:
         wanted = chosen.groupBy("_id", "_hash").agg(F.collect_list(F.struct("core", "first", "last", "known")).alias("wanted"))
@@ -265,8 +265,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     out = whole.unionByName(settled)
     if not sent.filter("hot").isEmpty():
         hashed = strings(sent.filter("hot")).mapInArrow(lambda it: _window_hashes(it, length), "one long, two long, _id long, _hash long, first long, known boolean")
-        twice = hashed.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("one", "two")
-        out = out.unionByName(hashed.filter("not known").join(twice, ["one", "two"]).select("_id", "_hash", "first", (F.col("first") + length).alias("end")))
+        twice = hashed.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(C.anew("one").alias("key"), "two")
+        out = out.unionByName(hashed.filter("not known").withColumn("key", C.anew("one")).join(twice, ["key", "two"]).select("_id", "_hash", "first", (F.col("first") + length).alias("end")))
     return out
 
 
