@@ -166,3 +166,10 @@ def contaminated(docs, items) -> set[tuple]:
                 if common * 10 >= union * 8 and (common / union, -at) > best.get((d, i), (0, 0))[:2]:
                     best[d, i] = (common / union, -at, common, union)
     return {(d, i, x[2], x[3]) for (d, i), x in best.items()}
+
+
+def kept_by_policy(text: str | None) -> bool:
+    n, chars, symbols, dup, _, failed = rules(text)
+    lines = sum(1 for x in (text or "").split("\n") if words_of(x))
+    pages = len(re.findall(r"\b(?:lorem ipsum|javascript|cookie policy|terms of use)\b", text or "", re.I | re.A))
+    return not (failed or 10 * symbols > 3 * n or (lines >= 4 and 10 * dup > 6 * lines) or (n >= 20 and (chars < 2 * n or chars > 20 * n or 20 * pages > n)))
