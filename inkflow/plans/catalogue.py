@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from inkflow.functions import json_filter, lexical, vectors
 from inkflow.functions import text as T
 from inkflow.functions import tokens as K
-from inkflow.operators import blocks, captions, catalog, chunking, images, retrieval, routing, structure
+from inkflow.operators import blocks, captions, catalog, chunking, images, index, retrieval, routing, structure
 from inkflow.sources import html
 
 QUERIES = {}
@@ -319,6 +319,28 @@ def hybrid_null_tsv(spark, sf):
     return _shown(retrieval.hybrid_search(own, _query_vector(spark, sf), TERMS, 10))
 
 
+@query(f"""
+with t as (select doc_id, unnest({_WORDS}) as term, unnest(range(len({_WORDS}))) as p from documents)
+select term, doc_id, cast(count(*) as int) as tf, cast(min(p) as int) as first from t where term in ({", ".join(repr(t) for t in TERMS)}) group by all
+""")
+def inverted_index(spark, sf):
+    own = index.inverted_index(table(spark, sf, "documents").select("doc_id", lexical.words(F.col("text")).alias("lex")), "doc_id", "lex")
+    return own.filter(F.col("term").isin(*TERMS)).select("term", "doc_id", "tf", F.get("positions", F.lit(0)).alias("first"))
+
+
+@query(f"with t as (select doc_id, {_WORDS} as w from documents) select doc_id, cast({_TF['et']} + {_TF['et'].replace("'et'", "'la'")} as bigint) as tf from t where {_TF['et']} > 0 and {_TF['et'].replace("'et'", "'la'")} > 0")
+def index_match(spark, sf):
+    own = index.inverted_index(table(spark, sf, "documents").select("doc_id", lexical.words(F.col("text")).alias("lex")), "doc_id", "lex")
+    return index.matching(own, ["et", "la"], "doc_id")
+
+
+@query()
+def vec_lsh_topk(spark, sf):
+    own = table(spark, sf, "embeddings").withColumnRenamed("vec_id", "id")
+    found = index.near(own, index.fit_lsh(own), _query_vector(spark, sf), 10)
+    return found.select(F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"))
+
+
 @query(f"""
 with t as (select conv_id, turn, len(regexp_extract_all(text, {_TOKEN})) as n from conversations), s as (select *, sum(n) over (partition by conv_id order by turn) as r from t)
 select conv_id, turn, cast(n as int) as tokens, cast(r as bigint) as running_tokens from s where r <= 120

@@ -332,3 +332,35 @@ def test_backfills_and_pages(spark):
         catalog.page_of_documents(df, 0)
     chunks = spark.createDataFrame([(1, "los gatos")], "id int, content string")
     assert catalog.backfilled_chunks(chunks).first()["content_lex"] == lexical.query_lexemes("gatos")
+
+
+def test_providers(spark, monkeypatch):
+    from inkflow.sources import providers
+
+    monkeypatch.setattr(files, "PROVIDERS", {})
+    files.register("ocr", "aws", lambda content, kind: ["aws"])
+    files.register("ocr", "default", lambda content, kind: ["local"])
+    with pytest.raises(ValueError):
+        providers.cloud_reader("gcp")
+    with pytest.raises(ValueError):
+        providers.cloud_reader("aws", credentials=False)
+    read = providers.first_of(providers.cloud_reader("aws"), files.provider("ocr", "default"))
+    assert read(b"x", "pdf") == ["aws"] and read(b"x" * (providers.SYNC_BYTES + 1), "pdf") == ["local"]
+    files.register("caption", "default", lambda content: {b"a": "una casa"}[bytes(content)])
+    df = spark.createDataFrame([(1, bytearray(b"a")), (2, bytearray(b"b")), (3, None)], "id int, content binary")
+    got = {r.id: (r.caption, r.confidence) for r in providers.captioned(df).collect()}
+    assert got[1] == ("una casa", 0.95) and got[2][1] == 0.0 == got[3][1]
+    one = spark.range(1).select(providers.paragraph_text(F.array(F.lit("a"), F.lit(" "), F.lit(None), F.lit("b"))).alias("x"))
+    assert one.first()["x"] == "a\nb"
+
+
+def test_hashed_neighbours(spark, sf):
+    """Recall of the ten nearest by hashing against all distances."""
+    from inkflow.operators import index
+
+    own = spark.read.parquet(f"{sf}/embeddings.parquet").withColumnRenamed("vec_id", "id")
+    model, hits = index.fit_lsh(own), 0
+    for r in own.filter("id % 50 = 0").collect():
+        exact = {x.id for x in retrieval.vector_search(own, r.embedding, 10, "l2").collect()}
+        hits += len(exact & {x.id for x in index.near(own, model, r.embedding, 10).collect()})
+    assert hits >= 0.9 * 10 * own.filter("id % 50 = 0").count()
