@@ -163,32 +163,126 @@ def chunk_fixed_stats(spark, sf):
     return docs.agg(F.sum("k").alias("n_chunks"), F.max("k").alias("most"), F.sum("n").alias("n_tokens"))
 
 
-@query(f"""
+_SECTIONS = f"""
 with {_MARKED}, {_LINES.format("m")}, t as (select *, regexp_extract(c, '^(#{{1,6}})\\s+([^\\n]+)$', ['a', 'b']) as h from l),
 s as (select *, sum(case when h.a <> '' then 1 else 0 end) over (partition by doc_id order by line) as seg from t),
 u as (select *, max(case when {_PIPES.format("c")} >= 2 and h.a = '' then 1 else 0 end) over (partition by doc_id, seg order by line) as tbl from s),
-g as (select doc_id, seg, tbl, min(line) as f, string_agg(c, chr(10) order by line) as content, arg_min(h, line) as h from u group by doc_id, seg, tbl)
-select doc_id, cast(row_number() over (partition by doc_id order by f) - 1 as int) as ordinal, case when tbl = 1 then 'table' when h.a <> '' then 'heading' else 'text' end as type,
-  cast(case when tbl = 0 then length(h.a) else 0 end as int) as level, md5(case when tbl = 0 then h.b else '' end) as heading, md5(content) as content from g
-""")
+g as (select doc_id, seg, tbl, min(line) as f, string_agg(c, chr(10) order by line) as content, arg_min(h, line) as h from u group by doc_id, seg, tbl),
+sec as (select doc_id, cast(row_number() over (partition by doc_id order by f) - 1 as int) as ordinal, case when tbl = 1 then 'table' when h.a <> '' then 'heading' else 'text' end as type,
+  cast(case when tbl = 0 then length(h.a) else 0 end as int) as level, case when tbl = 0 then h.b else '' end as heading, content from g)"""
+
+
+@query(_SECTIONS + " select doc_id, ordinal, type, level, md5(heading) as heading, md5(content) as content from sec")
 def sections(spark, sf):
     own = structure.sections(marked(table(spark, sf, "documents")), "doc_id")
     return own.select("doc_id", "ordinal", "type", "level", F.md5("heading").alias("heading"), F.md5("content").alias("content"))
 
 
-@query()
+_N = "len(regexp_extract_all({0}, " + _TOKEN + "))"
+
+
+def _tail_sql(text: str, k: int) -> str:
+    return f"case when {_N.format(text)} <= {k} then {text} else array_to_string(regexp_extract_all({text}, {_TOKEN})[-{k}:], '') end"
+
+
+def _embed_sql(most: int) -> str:
+    return f"""
+with recursive p as (select doc_id, lang, x[i] as t, i, len(x) as k, {_N.format("x[i]")} as n, big from (select doc_id, lang, x, unnest(range(1, len(x) + 1)) as i, big from (select doc_id, lang, {_N.format("text")} > {most} as big, case when {_N.format("text")} > {most} then string_split(text, '. ') else [text] end as x from documents))),
+f as (
+  select doc_id, 0 as i, cast(null as varchar) as o, 0 as n, cast(null as varchar) as closed from documents
+  union all
+  select f.doc_id, p.i, case when f.o is null or f.n + p.n > {most} then p.t else f.o || '. ' || p.t end, case when f.o is not null and f.n + p.n > {most} then p.n else f.n + p.n end, case when f.o is not null and f.n + p.n > {most} then f.o || '.' end
+  from f join p on p.doc_id = f.doc_id and p.i = f.i + 1),
+c as (select doc_id, i, 0 as z, closed as t from f where closed is not null union all select f.doc_id, f.i, 1, f.o from f join p on p.doc_id = f.doc_id and p.i = f.i where p.k = f.i),
+r as (select *, row_number() over (partition by doc_id order by i, z) - 1 as s, count(*) over (partition by doc_id) as m from c)
+select r.doc_id, d.lang, 0 as original_chunk_index, cast(s as int) as split_index, md5(t) as content, cast({_N.format("t")} as int) as tokens, m > 1 as is_split, cast(case when m > 1 then s else 0 end as int) as chunk_index from r join documents d on d.doc_id = r.doc_id"""
+
+
+def _fold_sql(name: str, key: str, sep: str, most: int, overlap: int) -> str:
+    """CTEs that pack the parts {name}p (key, i, k, t, n, x: pieces of a part over `most`) into chunks {name}e (key, i, z, t)."""
+    begun = f"({_tail_sql('f.o', overlap)}) || {sep} || p.t"
+    full = f"(f.o is not null and f.n + p.n > {most})"
+    own = ", ".join(f"f.{k}" for k in key.split(", "))
+    same = " and ".join(f"p.{k} = f.{k}" for k in key.split(", "))
+    return f"""
+{name}f as (
+  select distinct {key}, 0 as i, cast(null as varchar) as o, 0 as n, cast([] as varchar[]) as closed from {name}p
+  union all
+  select {own}, p.i, case when p.n > {most} then null when {full} then {begun} when f.o is null then p.t else f.o || {sep} || p.t end,
+    case when p.n > {most} then 0 when {full} then {_N.format(begun)} else f.n + p.n end,
+    case when p.n > {most} then list_concat(case when f.o is null then [] else [f.o] end, p.x) when {full} then [f.o] else [] end
+  from {name}f f join {name}p p on {same} and p.i = f.i + 1),
+{name}c as (select {key}, i, closed as x from {name}f where len(closed) > 0 union all select {own}, f.i + 1, [f.o] from {name}f f join {name}p p on {same} and p.i = f.i where p.k = f.i and f.o is not null),
+{name}e as (select {key}, i, unnest(range(len(x))) as z, unnest(x) as t from {name}c)"""
+
+
+def _split_sql(text: str, what: str) -> str:
+    return f"list_filter(list_transform(string_split(regexp_replace({text}, '{what}', '\\1' || chr(1), 'g'), chr(1)), lambda x: {_STRIPPED.format('x')}), lambda x: x <> '')"
+
+
+def _parts_sql(name: str, key: str, source: str, text: str, what: str, pieces: str) -> str:
+    return f"{name}p as (select {key}, i, len(y) as k, y[i] as t, {_N.format('y[i]')} as n, {pieces} as x from (select {key}, y, unnest(range(1, len(y) + 1)) as i from (select {key}, {_split_sql(text, what)} as y from {source})))"
+
+
+_SENTENCE, _PARAGRAPH = "([.!?])[\\s\\x0B]+", "()\\n[\\s\\x0B]*\\n"
+
+
+def _cut_sql(most: int, overlap: int) -> str:
+    w = f"regexp_extract_all(y[i], {_TOKEN})"
+    return f"list_transform(range(0, len({w}), {most - overlap}), lambda a: array_to_string({w}[a + 1:a + {most}], ''))"
+
+
+_NUMBERED = """
+a as (select doc_id, i, z, t from {0}e union all select doc_id, 0, 0, text from {1} where doc_id not in (select doc_id from {0}e))
+select doc_id, cast(row_number() over (partition by doc_id order by i, z) - 1 as int) as chunk_index, md5(t) as content from a"""
+
+
+def _sentences_sql(most: int, overlap: int) -> str:
+    return f"with recursive {_parts_sql('s', 'doc_id', 'documents', 'text', _SENTENCE, _cut_sql(most, overlap))}, {_fold_sql('s', 'doc_id', repr(' '), most, overlap)}, {_NUMBERED.format('s', 'documents')}"
+
+
+def _paragraphs_sql(most: int, overlap: int) -> str:
+    return f"""with recursive {_MARKED}, {_parts_sql("q", "doc_id", "m", "text", _PARAGRAPH, "cast([] as varchar[])")},
+big as (select doc_id, i as para, t as text from qp where n > {most}), {_parts_sql("s", "doc_id, para", "big", "text", _SENTENCE, _cut_sql(most, overlap))}, {_fold_sql("s", "doc_id, para", "' '", most, overlap)},
+sx as (select doc_id, para, list(t order by i, z) as x from se group by all),
+wp as (select qp.doc_id, qp.i, qp.k, qp.t, qp.n, sx.x from qp left join sx on sx.doc_id = qp.doc_id and sx.para = qp.i), {_fold_sql("w", "doc_id", "chr(10) || chr(10)", most, overlap)}, {_NUMBERED.format("w", "m")}"""
+
+
+def _section_chunks_sql(most: int, overlap: int) -> str:
+    full = f"(f.k > 0 and f.n + p.n > {most})"
+    after = f"({_tail_sql('f.lc', overlap)}) || chr(10) || chr(10) || p.content"
+    short = f"{_N.format('f.lc')} <= {overlap}"
+
+    def choose(alone: str, over: str, added: str) -> str:
+        return f"case when f.k = 0 or ({full} and p.type = 'table') then {alone} when {full} then {over} else {added} end"
+
+    return _SECTIONS.replace("with m as", "with recursive m as") + f""",
+p as (select doc_id, ordinal + 1 as i, type, heading, content, {_N.format("content")} as n, count(*) over (partition by doc_id) as total from sec),
+f as (
+  select doc_id, 0 as i, 0 as k, 0 as n, '' as content, '' as section, false as tab, false as head, '' as lt, '' as lc, '' as lh, cast(null as struct(content varchar, section varchar, sections int, has_table boolean, has_heading boolean)) as closed from documents
+  union all
+  select f.doc_id, p.i, {choose("1", "2", "f.k + 1")}, {choose("p.n", _N.format(after), "f.n + p.n")}, {choose("p.content", after, "f.content || chr(10) || chr(10) || p.content")},
+    {choose("p.heading", f"case when {short} and f.lh <> '' then f.lh else p.heading end", "case when f.section <> '' then f.section else p.heading end")},
+    {choose("p.type = 'table'", f"({short} and f.lt = 'table') or p.type = 'table'", "f.tab or p.type = 'table'")}, {choose("p.type = 'heading'", f"({short} and f.lt = 'heading') or p.type = 'heading'", "f.head or p.type = 'heading'")},
+    p.type, p.content, p.heading, case when {full} then struct_pack(content := f.content, section := f.section, sections := f.k, has_table := f.tab, has_heading := f.head) end
+  from f join p on p.doc_id = f.doc_id and p.i = f.i + 1),
+c as (select doc_id, i, closed as x from f where closed is not null union all select f.doc_id, f.i + 1, struct_pack(content := f.content, section := f.section, sections := f.k, has_table := f.tab, has_heading := f.head) from f join p on p.doc_id = f.doc_id and p.i = f.i where p.total = f.i)
+select doc_id, cast(row_number() over (partition by doc_id order by i) - 1 as int) as chunk_index, md5(x.content) as content, cast({_N.format("x.content")} as int) as tokens, x.section as section, cast(x.sections as int) as sections, x.has_table as has_table, x.has_heading as has_heading from c"""
+
+
+@query(_section_chunks_sql(120, 20))
 def chunk_sections(spark, sf):
     own = chunking.semantic_chunks(marked(table(spark, sf, "documents")), "doc_id", most=120, overlap=20)
     return own.withColumn("content", F.md5("content"))
 
 
-@query()
+@query(_paragraphs_sql(120, 20))
 def chunk_paragraphs(spark, sf):
     own = marked(table(spark, sf, "documents")).select("doc_id", F.posexplode(chunking.paragraph_chunks(F.col("text"), 120, 20)).alias("chunk_index", "content"))
     return own.withColumn("content", F.md5("content"))
 
 
-@query()
+@query(_sentences_sql(120, 20))
 def chunk_sentences(spark, sf):
     own = table(spark, sf, "documents").select("doc_id", F.posexplode(chunking.sentence_chunks(F.col("text"), 120, 20)).alias("chunk_index", "content"))
     return own.withColumn("content", F.md5("content"))
@@ -198,7 +292,7 @@ def _whole_chunks(spark, sf) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", "lang", F.lit(0).alias("chunk_index"), F.col("text").alias("content"))
 
 
-@query()
+@query(_embed_sql(400))
 def embed_split(spark, sf):
     return chunking.split_for_embedding(_whole_chunks(spark, sf), most=400).withColumn("content", F.md5("content"))
 
