@@ -75,6 +75,30 @@ def valid_metadata(df: DataFrame, metadata: str = "metadata") -> tuple[DataFrame
     return own.filter("_own is not null").withColumn(metadata, F.col("_own")).drop("_own"), own.filter("_own is null").drop("_own")
 
 
+def built_metadata(**columns: F.Column) -> F.Column:
+    """Metadata built of columns, as JSON; nulls are left out."""
+    return F.to_json(F.struct(*(c.alias(name) for name, c in columns.items())))
+
+
+def inherited(chunks: DataFrame, documents: DataFrame, column: str = "metadata", key: str = "id", foreign: str = "document_id") -> DataFrame:
+    """chunks with a column's values taken from their documents; those of no document keep theirs."""
+    own = documents.select(F.col(key).alias("_key"), F.col(column).alias("_value"))
+    joined = chunks.join(own, chunks[foreign] == own["_key"], "left")
+    return joined.select(*(F.when(F.col("_key").isNotNull(), F.col("_value")).otherwise(F.col(c)).alias(c) if c == column else F.col(c) for c in chunks.columns))
+
+
+def aligned(texts: F.Column, vectors: F.Column) -> F.Column:
+    """An array of (position, text, vector); the job fails if there are not as many vectors as texts."""
+    both = F.arrays_zip(F.transform(texts, lambda x, i: i).alias("position"), texts.alias("text"), vectors.alias("vector"))
+    message = F.lit("texts and vectors differ in number")
+    return F.when(F.size(texts) == F.size(vectors), both).otherwise(F.raise_error(message).cast("array<struct<position:int,text:string,vector:array<float>>>"))
+
+
+def responses(df: DataFrame) -> DataFrame:
+    """One column `body`: each row as JSON."""
+    return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("body"))
+
+
 def create_tables(spark: SparkSession, prefix: str = "") -> None:
     for name, schema in (("documents", DOCUMENTS), ("document_chunks", CHUNKS)):
         spark.sql(f"create table if not exists {prefix}{name} ({schema}) using parquet")

@@ -639,6 +639,30 @@ def doc_filter(spark, sf):
     return json_filter.filtered(documents, {"priority": "1-URGENT"}).select("id")
 
 
+@query("select l_orderkey as document_id, cast(l_linenumber as int) as line, case when o_orderkey % 4 = 0 then null else '{\"priority\":\"' || o_orderpriority || '\"}' end as metadata from lineitem join orders on o_orderkey = l_orderkey where l_orderkey % 5 <> 0")
+def update_join(spark, sf):
+    documents, chunks = _catalogue(spark, sf)
+    own = catalog.inherited(chunks.withColumn("metadata", F.lit("old")), documents)
+    return own.select("document_id", F.col("l_linenumber").cast("int").alias("line"), "metadata")
+
+
+@query("select cast(sum(n) as bigint) as chunks_of_page from (select count(l_orderkey) as n from (select o_orderkey from orders order by o_orderdate desc nulls first, o_orderkey limit 100) left join lineitem on l_orderkey = o_orderkey and l_orderkey % 5 <> 0 group by o_orderkey)")
+def page_total(spark, sf):
+    documents, chunks = _catalogue(spark, sf)
+    return catalog.listed(documents, chunks)[0].agg(F.sum("chunk_count").alias("chunks_of_page"))
+
+
+@query("""select '{"id":' || n_nationkey || ',"name":"' || n_name || '","none":null}' as body from nation""")
+def json_responses(spark, sf):
+    return catalog.responses(table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.lit(None).cast("string").alias("none")))
+
+
+@query("select conv_id, list_sort(list_distinct(list(cast(turn // 3 + 1 as int)))) as pages, count(*) as n from conversations group by conv_id")
+def caption_pages(spark, sf):
+    own = table(spark, sf, "conversations").withColumn("page", (F.floor(F.col("turn") / 3) + 1).cast("int"))
+    return own.groupBy("conv_id").agg(F.array_sort(F.collect_set("page")).alias("pages"), F.count(F.lit(1)).alias("n"))
+
+
 @query("""select conv_id, md5(string_agg(role || ': ' || text, chr(10) || chr(10) order by turn)) as context, count(*) as turns from conversations group by conv_id""")
 def context_join(spark, sf):
     own = F.array_sort(F.collect_list(F.struct("turn", F.concat_ws(": ", "role", "text").alias("x"))))

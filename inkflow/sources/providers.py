@@ -7,9 +7,10 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from inkflow.functions import text as T
+from inkflow.operators.routing import IMAGES
 from inkflow.sources.files import provider
 
 #: Bytes that a synchronous call of the aws provider takes.
@@ -60,6 +61,25 @@ def paragraph_text(paragraphs: Column) -> Column:
     return F.array_join(F.filter(paragraphs, lambda p: p.isNotNull() & (T.strip(p) != "")), "\n")
 
 
+def images_of(files: DataFrame, *keys: str, name: str = "default") -> DataFrame:
+    """keys, ordinal, image_id, page, type, width, height, content, base64 of each image in a document.
+
+    The registered images provider takes (bytes, file type) and gives (page, type, width, height, bytes) for embedded images and
+    rendered pages; a file that is an image is the single image img_0 without a size.
+    """
+    read = provider("images", name)
+    own = StructType([StructField(n, t) for n, t in (("page", IntegerType()), ("type", StringType()), ("width", IntegerType()), ("height", IntegerType()), ("content", BinaryType()))])
+
+    @F.pandas_udf(ArrayType(own))
+    def found(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for contents, kinds in batches:
+            yield pd.Series([[dict(zip(own.names, x, strict=True)) for x in (read(c, k) if k == "pdf" else [(1, "embedded", None, None, c)])] for c, k in zip(contents, kinds, strict=True)])
+
+    rows = files.filter(F.col("file_type").isin("pdf", *IMAGES)).select(*keys, F.posexplode(found("content", "file_type")).alias("ordinal", "_i"))
+    image_id = F.concat_ws("_", F.lit("img"), F.col("ordinal").cast("string"))
+    return rows.select(*keys, "ordinal", image_id.alias("image_id"), "_i.*", F.base64("_i.content").alias("base64"))
+
+
 def captioned(images: DataFrame, name: str = "default", confidence: float = 0.95) -> DataFrame:
     """images (content, ...) with `caption` and `confidence`; an image that the model fails on, or without content, gets a
     placeholder with confidence 0."""

@@ -350,6 +350,10 @@ def test_providers(spark, monkeypatch):
     df = spark.createDataFrame([(1, bytearray(b"a")), (2, bytearray(b"b")), (3, None)], "id int, content binary")
     got = {r.id: (r.caption, r.confidence) for r in providers.captioned(df).collect()}
     assert got[1] == ("una casa", 0.95) and got[2][1] == 0.0 == got[3][1]
+    files.register("images", "default", lambda content, kind: [(1, "full_page", 800, 600, b"p1"), (1, "embedded", 10, 10, b"e")])
+    docs = spark.createDataFrame([(1, "pdf", bytearray(b"x")), (2, "png", bytearray(b"a")), (3, "txt", bytearray(b"t"))], "id int, file_type string, content binary")
+    found = sorted((r.id, r.image_id, r.type, r.width, r.base64) for r in providers.images_of(docs, "id").collect())
+    assert found == [(1, "img_0", "full_page", 800, "cDE="), (1, "img_1", "embedded", 10, "ZQ=="), (2, "img_0", "embedded", None, "YQ==")]
     one = spark.range(1).select(providers.paragraph_text(F.array(F.lit("a"), F.lit(" "), F.lit(None), F.lit("b"))).alias("x"))
     assert one.first()["x"] == "a\nb"
 
@@ -364,3 +368,15 @@ def test_hashed_neighbours(spark, sf):
         exact = {x.id for x in retrieval.vector_search(own, r.embedding, 10, "l2").collect()}
         hits += len(exact & {x.id for x in index.near(own, model, r.embedding, 10).collect()})
     assert hits >= 0.9 * 10 * own.filter("id % 50 = 0").count()
+
+
+def test_aligned_and_inherited(spark):
+    one = spark.range(1)
+    texts_, good, bad = F.array(F.lit("a"), F.lit("b")), F.array(F.array(F.lit(1.0)), F.array(F.lit(2.0))).cast("array<array<float>>"), F.array(F.array(F.lit(1.0))).cast("array<array<float>>")
+    assert [(x.position, x.text, x.vector) for x in one.select(catalog.aligned(texts_, good).alias("x")).first()["x"]] == [(0, "a", [1.0]), (1, "b", [2.0])]
+    with pytest.raises(Exception, match="differ in number"):
+        one.select(catalog.aligned(texts_, bad)).collect()
+    documents = spark.createDataFrame([("d", "new"), ("n", None)], "id string, metadata string")
+    chunks = spark.createDataFrame([("d", 0, "old"), ("n", 0, "old"), ("x", 0, "old")], "document_id string, id int, metadata string")
+    assert sorted((r.document_id, r.metadata or "") for r in catalog.inherited(chunks, documents).collect()) == [("d", "new"), ("n", ""), ("x", "old")]
+    assert one.select(catalog.built_metadata(a=F.lit(1), b=F.lit("x")).alias("m")).first()["m"] == '{"a":1,"b":"x"}'
