@@ -34,6 +34,8 @@ from . import common as C
 EDITS = 2
 #: Shorter lines are compared for equality only.
 LEAST = 30
+#: Bytes of texts whose lines one pass works on.
+SLICE = 512 << 10
 #: Pairs that one pass of the automaton works on.
 PAIRS = 200_000
 
@@ -60,7 +62,7 @@ class _Lines:
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in C.slices(batches, limit=2 << 20):
+    for batch in C.slices(batches, limit=SLICE):
         x = _Lines(batch.column("_text").to_pylist())
         ids, text_hash = batch.column("_id").to_numpy(), batch.column("_hash").to_numpy()
         yield pa.RecordBatch.from_arrays([pa.array(v) for v in (x.hash, ids[x.text], text_hash[x.text], x.number)], ["line", "_id", "_hash", "number"])
@@ -75,7 +77,7 @@ def _segment(length: np.ndarray, i: int, edits: int) -> tuple[np.ndarray, np.nda
 
 def _segments(batches: Iterator[pa.RecordBatch], edits: int, least: int) -> Iterator[pa.RecordBatch]:
     """Rows of (segment, line): index entries have an odd line, probes an even one (twice the line's hash)."""
-    for batch in C.slices(batches, limit=2 << 20):
+    for batch in C.slices(batches, limit=SLICE):
         x = _Lines(batch.column("_text").to_pylist())
         size = x.ends - x.starts
         one = np.unique(x.hash, return_index=True)[1]
