@@ -38,7 +38,7 @@ from . import common as C
 LENGTH = 400
 SPAN = 128
 GRAM = 16
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Bytes of buckets that one suffix array is built over, and the size beyond which a single bucket is hashed.
 BATCH_BYTES = 1 << 20
 HOT_BYTES = 8 << 20
