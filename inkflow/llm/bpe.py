@@ -1,7 +1,7 @@
 """BPE encoding and decoding by prefix-sharing trie traversal (operator 9).
 
 The distinct words of a slice are sorted, which is the depth-first order of their trie: consecutive words share the path
-of their common prefix. A path holds one state for each prefix, the last token of that prefix's encoding; the token is
+of their common prefix. A path holds one state for each prefix that is asked for, the last token of its encoding; it is
 the longest one that ends the prefix and that merges keep apart from the last token of what is before it. So each shared
 prefix is encoded once, and a word's tokens are read back along its states. A word's final character is another symbol
 (with the end mark), hence a leaf of its own.
@@ -34,6 +34,8 @@ from . import common as C
 
 MEMO = 250_000
 CHUNKS = 350_000
+#: Longer words have the states of all their prefixes filled in from the front rather than as they are asked for.
+DEEP = 200
 
 
 def _byte_symbols() -> list[str]:
@@ -119,31 +121,38 @@ class WordBpe:
             known = self.pairs[pair] = self.merged(self.split(left) + self.split(right)) == [left, right]
         return known
 
-    def _last(self, text: str, end: int, path: list[tuple[str, int]], known: set[str], mark: str) -> tuple[str, int]:
-        """The last token of text[:end] and where it starts. path[k]: the same of text[:k]."""
+    def _last(self, text: str, end: int, path: list, known: set[str], mark: str) -> tuple[str, int]:
+        """The last token of text[:end] and where it starts. path[k]: the same of text[:k], None until it is asked for."""
         for start in range(max(0, end - self.longest), end):
             piece = text[start:end]
             if piece in known:
                 token = piece + mark
-                if not start or self.apart(path[start][0], token):
+                if not start or self.apart(self._state(text, start, path)[0], token):
                     return token, start
         raise ValueError(f"no token ends {text[:end]!r}")
 
+    def _state(self, text: str, end: int, path: list) -> tuple[str, int]:
+        if path[end] is None:
+            path[end] = self._last(text, end, path, self.inner, "")
+        return path[end]
+
     def encode_words(self, words: list[str]) -> Iterator[tuple[str, list[str]]]:
         """(word, tokens) of distinct non-empty words given as byte symbols, along the trie of their prefixes."""
-        path: list[tuple[str, int]] = [("", 0)]
+        path: list[tuple[str, int] | None] = [("", 0)]
         before = ""
         for word in sorted(words):
             shared, most = 0, min(len(path) - 1, len(word) - 1)
             while shared < most and before[shared] == word[shared]:
                 shared += 1
             del path[shared + 1 :]
-            for end in range(shared + 1, len(word)):
-                path.append(self._last(word, end, path, self.inner, ""))
+            path += [None] * (len(word) - 1 - shared)
+            if len(word) > DEEP:
+                for end in range(1, len(word)):
+                    self._state(word, end, path)
             token, start = self._last(word, len(word), path, self.final, self.end)
             out = [token]
             while start:
-                token, start = path[start]
+                token, start = self._state(word, start, path)
                 out.append(token)
             before = word
             yield word, out[::-1]
