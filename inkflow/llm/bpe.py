@@ -7,9 +7,9 @@ prefix is encoded once, and a word's tokens are read back along its states. A wo
 (with the end mark), hence a leaf of its own.
 
 No word and no composed character crosses a space or a line end, so a text is the sequence of its chunks between them.
-Encoded words and chunks are remembered across a worker's slices: up to MEMO and CHUNKS of them, and as many again that
-were used before those; older ones are forgotten, so common ones stay. Texts are processed where they are read: nothing
-is shuffled.
+Encoded words and chunks are remembered across a task's slices: up to REMEMBERED of each, and as many again that were used
+before those; older ones are forgotten, so common ones stay, and all are at the end of the task, for an idle worker
+keeps its memory. Texts are processed where they are read: nothing is shuffled.
 
 Defined results: null and empty texts have no tokens and decode to an empty string; the strings of special tokens in a
 text are special tokens, as the file says; very long words and texts are encoded whole; an empty table gives an empty
@@ -32,8 +32,9 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-MEMO = 250_000
-CHUNKS = 350_000
+#: Words and chunks that a task remembers (and twice as many pairs of tokens); a slice has REMEMBERED_BYTES of text for each.
+REMEMBERED = 150_000
+REMEMBERED_BYTES = 20
 #: Longer words have the states of all their prefixes filled in from the front rather than as they are asked for.
 DEEP = 200
 
@@ -57,6 +58,10 @@ class Memory(dict):
         super().__init__()
         self.most, self.before = most, {}
 
+    def forget(self) -> None:
+        self.clear()
+        self.before = {}
+
     def room(self, wanted: set[str]) -> set[str]:
         """The wanted keys that are not known; all others of them are in the dict afterwards."""
         if len(self) > self.most:
@@ -92,7 +97,7 @@ class WordBpe:
         self.inner = {t for t in reachable if not t.endswith(self.end)}
         self.final = {t[: -len(self.end)] for t in reachable if t.endswith(self.end)}
         self.longest = max(map(len, self.ids), default=1)
-        self.memo, self.chunks = Memory(MEMO), Memory(CHUNKS)
+        self.memo, self.chunks = Memory(REMEMBERED), Memory(REMEMBERED)
 
     def split(self, token: str) -> list[str]:
         """A token's symbols."""
@@ -116,7 +121,7 @@ class WordBpe:
         pair = (left, right)
         known = self.pairs.get(pair)
         if known is None:
-            if len(self.pairs) > 4 * MEMO:
+            if len(self.pairs) > 2 * self.memo.most:
                 self.pairs.clear()
             known = self.pairs[pair] = self.merged(self.split(left) + self.split(right)) == [left, right]
         return known
@@ -198,19 +203,24 @@ def load(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], path: str, remembered: int) -> Iterator[pa.RecordBatch]:
     bpe = load(path)
-    for batch in C.slices(batches):
-        texts = [x.replace("\n", " ").split(" ") for x in batch.column("_text").to_pylist()]
-        bpe.learn_chunks(set().union(*texts))
-        get = bpe.chunks.__getitem__
-        ids, tokens, counts = [], [], []
-        for chunks in texts:
-            found = [get(x) for x in chunks]
-            ids.append(b"".join([x[0] for x in found]))
-            tokens.append(" ".join([x[1] for x in found if x[1]]))
-            counts.append(len(ids[-1]) // 4)
-        yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.binary()), pa.array(tokens, pa.string())], ["_id", "n_tokens", "ids", "decoded"])
+    bpe.memo.most = bpe.chunks.most = remembered
+    try:
+        for batch in C.slices(batches, limit=remembered * REMEMBERED_BYTES):
+            texts = [x.replace("\n", " ").split(" ") for x in batch.column("_text").to_pylist()]
+            bpe.learn_chunks(set().union(*texts))
+            get = bpe.chunks.__getitem__
+            ids, tokens, counts = [], [], []
+            for chunks in texts:
+                found = [get(x) for x in chunks]
+                ids.append(b"".join([x[0] for x in found]))
+                tokens.append(" ".join([x[1] for x in found if x[1]]))
+                counts.append(len(ids[-1]) // 4)
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.binary()), pa.array(tokens, pa.string())], ["_id", "n_tokens", "ids", "decoded"])
+    finally:
+        bpe.memo.forget()
+        bpe.chunks.forget()
 
 
 def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
@@ -220,9 +230,9 @@ def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "decoded"])
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
+def encode(docs: DataFrame, path: str, remembered: int = REMEMBERED) -> DataFrame:
     """One row for each row of docs: doc_id, n_tokens, ids (little-endian unsigned 32-bit), decoded."""
-    out = C.texts(docs).mapInArrow(lambda it: _encode(it, path), "_id long, n_tokens long, ids binary, decoded string")
+    out = C.texts(docs).mapInArrow(lambda it: _encode(it, path, remembered), "_id long, n_tokens long, ids binary, decoded string")
     return out.select(C.original_id(), "n_tokens", "ids", "decoded")
 
 
@@ -232,15 +242,15 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return rows.mapInArrow(lambda it: _decode(it, path), "_id long, ids binary, decoded string").select(C.original_id(), "ids", "decoded")
 
 
-def _digests(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    for batch in _encode(batches, path):
+def _digests(batches: Iterator[pa.RecordBatch], path: str, remembered: int) -> Iterator[pa.RecordBatch]:
+    for batch in _encode(batches, path, remembered):
         columns = [[hashlib.sha256(x).hexdigest() for x in batch.column("ids").to_pylist()], [hashlib.sha256(x.encode()).hexdigest() for x in batch.column("decoded").to_pylist()]]
         yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("n_tokens"), *map(pa.array, columns)], ["_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
-def encode_digests(docs: DataFrame, path: str) -> DataFrame:
+def encode_digests(docs: DataFrame, path: str, remembered: int = REMEMBERED) -> DataFrame:
     """As encode, with the digests of ids and decoded instead of both, so that they never leave their task."""
-    out = C.texts(docs).mapInArrow(lambda it: _digests(it, path), "_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = C.texts(docs).mapInArrow(lambda it: _digests(it, path, remembered), "_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return out.select(C.original_id(), "n_tokens", "ids_sha256", "decoded_sha256")
 
 
