@@ -38,9 +38,12 @@ def by_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def by_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode(docs, bpe.vocabulary()).select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.encode(docs, bpe.vocabulary(), REMEMBERED).select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+#: Fewer words are remembered than in a job of its own, for the workers keep their memory between stages.
+REMEMBERED = 40_000
+
 STAGES = [
     ("quality_rules", by_quality_rules),
     ("line_dedup", by_line_dedup),
