@@ -5,7 +5,8 @@ return the columns of documents:
 
 1. quality_rules: rows that fail the policy ("web", 2) go;
 2. line_dedup: repeated and nearly repeated lines are taken out of texts (n_chars follows), no row goes;
-3. simhash_near_dedup: of each group of near copies the row of the least doc_id stays;
+3. simhash_near_dedup: of each group of near copies (0.8 or more of their five-word shingles) the row of the least doc_id
+   stays;
 4. benchmark_decontamination: rows whose text holds a near copy of a benchmark item go;
 5. bpe: doc_id, n_tokens, ids (little-endian unsigned 32-bit) and the SHA-256 of the decoded text.
 
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkflow.llm import bpe, decontamination, line_dedup, quality_rules, simhash, warc
+from inkflow.llm import bpe, decontamination, line_dedup, near_copies, quality_rules, warc
 
 
 def by_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +31,7 @@ def by_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def by_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.simhash_dedup(docs)
+    return near_copies.near_dedup(docs)
 
 
 def by_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

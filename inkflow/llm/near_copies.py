@@ -1,0 +1,148 @@
+"""Near copies by exact similarity of five-word shingles (the pipeline's near-dedup stage).
+
+A text is lower-cased (A-Z), cut into words and into the set of its five-word shingles; two texts are near copies if the
+Jaccard similarity of their sets is 0.8 or more. A 64-bit SimHash is too coarse to place such pairs: they differ in about
+10 bits, so blocks that guarantee them are 3 bits wide and all texts meet. Candidates come from BANDS keys instead, each a
+hash of ROWS minima of the set under hash functions of its own; a pair at exactly 0.8 shares no key with a probability of
+1.3 in 10 million. Every candidate is verified on the sets, and verified links become components.
+
+Texts of one set are one node. A node is held against one member of its groups first (STARS times, another member each
+time), which joins large groups of near copies; then all pairs of a group that are not yet in one component are verified,
+however many there are. Keys are counted by partial aggregates and joined anew, so that hot ones may be split.
+
+Defined results: a null or empty text has the empty set, equal to other empty ones; a text of under five words is one
+shingle; a null doc_id comes last; of each component the row of the least doc_id and text hash stays, of equal rows one.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import common as C
+from .simhash import components
+
+SHINGLE = 5
+#: Similarity as a fraction of integers, so that the border is exact.
+SIMILAR = (8, 10)
+BANDS, ROWS = 40, 5
+STARS = 2
+
+_HASH = C.SpanHash(55)
+_ODD = 0x9E3779B97F4A7C15
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_FACTORS = np.random.default_rng(56).integers(1 << 62, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_sets(column: pa.Array, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
+    """The ascending distinct shingle hashes of each text."""
+    buf, off = C.buffer_of(column)
+    buf = _LOWER[buf]
+    starts, ends, text = C.word_spans(buf, off)
+    words = _HASH.spans(_HASH.sums(buf), starts, ends) if len(starts) else np.empty(0, np.uint64)
+    cuts = np.searchsorted(text, np.arange(len(column) + 1))
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        yield np.unique(C.ngram_hash(words[a:b], min(shingle, b - a), _ODD)) if b > a else np.empty(0, np.uint64)
+
+
+def band_keys(own: np.ndarray) -> np.ndarray:
+    """A hash of each band's minima; none for the empty set."""
+    if not len(own):
+        return np.empty(0, np.uint64)
+    least = np.full(len(_FACTORS), np.uint64((1 << 64) - 1))
+    for at in range(0, len(own), 4096):
+        np.minimum(least, C.mix(own[at : at + 4096, None] * _FACTORS).min(axis=0), out=least)
+    out = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for j in range(ROWS):
+        out = C.mix(out * np.uint64(_ODD) + least[j * BANDS : (j + 1) * BANDS])
+    return out
+
+
+def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in C.slices(batches):
+        sets = list(shingle_sets(batch.column("_text")))
+        nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+        keys = pa.array([band_keys(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_hash"), pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), keys], ["_id", "_hash", "node", "n", "keys"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in C.slices(batches):
+        sets = pa.array([s.view(np.int64) for s in shingle_sets(batch.column("_text"))], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column("node"), sets], ["node", "hs"])
+
+
+def hashed(docs: DataFrame) -> DataFrame:
+    """_id, _text and _hash of the text, which tell rows apart that share a doc_id or have none."""
+    return C.texts(docs).withColumn("_hash", F.xxhash64("_text"))
+
+
+def _may(n, m, similar: tuple[int, int]):
+    """Whether sets of n and m shingles can be as similar."""
+    return F.least(n, m) * similar[1] >= F.greatest(n, m) * similar[0]
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """The rows (a, b) whose sets are similar."""
+    left = sets.select(C.anew("node").alias("_a"), F.col("hs").alias("ha"))
+    right = sets.select(C.anew("node").alias("_b"), F.col("hs").alias("hb"))
+    both = pairs.join(left, C.anew("a") == F.col("_a")).join(right, C.anew("b") == F.col("_b"))
+    common = both.select("a", "b", (F.size("ha") + F.size("hb")).alias("sum"), F.size(F.array_intersect("ha", "hb")).alias("common"))
+    return common.filter(F.col("common") * similar[1] >= (F.col("sum") - F.col("common")) * similar[0]).select("a", "b")
+
+
+def near_links(nodes: DataFrame, sets_of, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """(node, root) of nodes in components of two or more, from rows (node, n, keys)."""
+    bands = nodes.select("node", "n", F.explode("keys").alias("key"))
+    shared = bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
+    met = bands.join(shared.select(C.anew("key").alias("_key")), C.anew("key") == F.col("_key"), "left_semi").checkpoint()
+    sets = sets_of(met.select("node").distinct()).checkpoint()
+    links, roots = None, None
+
+    def rooted() -> DataFrame:
+        if roots is None:
+            return met.withColumn("root", F.col("node"))
+        named = roots.select(C.anew("node").alias("_node"), F.col("root").alias("_root"))
+        return met.join(named, C.anew("node") == F.col("_node"), "left").select("key", "node", "n", F.coalesce("_root", "node").alias("root"))
+
+    for k in range(STARS + 1):
+        rows = rooted()
+        one = F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("order"), "node", "n", "root")).alias("p")
+        mixed = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), one).filter("lo < hi").select(C.anew("key").alias("_key"), "p")
+        if k < STARS:
+            away = rows.join(mixed, C.anew("key") == F.col("_key")).filter((F.col("root") != F.col("p.root")) & _may(F.col("n"), F.col("p.n"), similar))
+            pairs = away.groupBy("node").agg(F.min("p").alias("p")).select(F.col("node").alias("a"), F.col("p.node").alias("b"))
+        else:
+            apart = rows.join(mixed.select("_key"), C.anew("key") == F.col("_key"), "left_semi").checkpoint()
+            x = apart.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+            y = apart.select(F.col("key").alias("_key"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+            met_in = (F.col("key") == F.col("_key")) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _may(F.col("na"), F.col("nb"), similar)
+            pairs = x.join(y, met_in).select("a", "b").distinct()
+        new = verified(pairs, sets, similar).checkpoint()
+        links = new if links is None else links.union(new)
+        roots = components(links)
+    return roots
+
+
+def near_dedup(docs: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """The rows of docs, all columns, that stay: of each component of near copies the one of the least doc_id and text hash."""
+    C.with_checkpoints(docs.sparkSession)
+    prints = hashed(docs).mapInArrow(_prints, "_id long, _hash long, node long, n long, keys array<long>")
+    first = F.min(F.struct("_id", "_hash")).alias("first")
+    nodes = prints.groupBy("node").agg(first, F.first("n").alias("n"), F.first("keys").alias("keys")).checkpoint()
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        places = nodes.join(wanted, "node", "left_semi").select("node", "first.*")
+        return hashed(docs).join(places, ["_id", "_hash"]).select("node", "_text").mapInArrow(_sets, "node long, hs array<long>").dropDuplicates(["node"])
+
+    roots = near_links(nodes.select("node", "n", "keys"), sets_of, similar)
+    named = nodes.select("node", "first").join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
+    stay = named.groupBy("root").agg(F.min("first").alias("first")).select("first.*")
+    rows = C.packed_rows(docs).withColumn("_hash", F.xxhash64(F.coalesce("_row.text", F.lit(""))))
+    return rows.join(stay, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select("_row.*")

@@ -1,0 +1,94 @@
+"""The pipeline's near-dedup stage against all pairs of five-word shingle sets."""
+
+from __future__ import annotations
+
+import random
+from itertools import combinations
+
+import pytest
+from fixtures import corpus, frame, words
+
+import brute
+import corpus_pipeline
+from inkflow.llm import near_copies
+
+
+def shingles(text: str | None) -> frozenset:
+    w = brute.words_of(brute.lower(text or ""))
+    return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def kept(rows) -> list[tuple]:
+    """(id, text) of the rows that stay, of each component the least id; texts that share an id are told apart."""
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in combinations(range(len(rows)), 2):
+        if sets[a] == sets[b] or 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+            root[find(a)] = find(b)
+    groups: dict = {}
+    for k, (i, t) in enumerate(rows):
+        groups.setdefault(find(k), []).append((brute.NO_ID if i is None else i, t or ""))
+    return sorted([min(x[0] for x in g), {t for i, t in g if i == min(x[0] for x in g)}] for g in groups.values())
+
+
+def holds(got, want) -> bool:
+    left = [(brute.NO_ID if r.doc_id is None else r.doc_id, r.text or "") for r in got]
+    return len(left) == len(want) and all(sum(i == n and t in texts for i, t in left) >= 1 for n, texts in want)
+
+
+def full(rows):
+    return [(i, t, "en", "s", None if t is None else len(t), 7, "h", "l") for i, t in rows]
+
+
+def near(rng, text: str, changes: int) -> str:
+    """A text with words changed five or more apart, so that each change costs five shingles."""
+    w = text.split()
+    for at in rng.sample(range(5, len(w) - 5, 6), changes):
+        w[at] = f"other{rng.randrange(10**9)}"
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("changes", [1, 4, 8])
+def test_copies_at_the_border(spark, changes):
+    """400 words are 396 shingles: 8 changes leave 356 of 436 in common, a similarity of 0.817."""
+    rng = random.Random(changes)
+    base = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(400)) for _ in range(40)]
+    rows = list(enumerate(base)) + [(100 + k, near(rng, t, changes)) for k, t in enumerate(base)]
+    rows += [(200 + k, near(rng, t, 12)) for k, t in enumerate(base)]
+    out = corpus_pipeline.by_simhash(spark, frame(spark, full(rows)), "").collect()
+    want = kept(rows)
+    assert len(want) == 80 and holds(out, want)
+
+
+def test_chains_and_groups(spark):
+    """A chain of near copies, and texts that share a passage without being near copies."""
+    rng = random.Random(9)
+    chain = [" ".join(words(rng, 120, 10**6))]
+    for _ in range(12):
+        chain.append(near(rng, chain[-1], 2))
+    passage = " ".join(words(rng, 100, 10**6))
+    rows = [(50 - k, t) for k, t in enumerate(chain)] + [(100 + k, passage + " " + " ".join(words(rng, 20 + 6 * k, 10**6))) for k in range(25)]
+    out = near_copies.near_dedup(frame(spark, full(rows))).collect()
+    assert holds(out, kept(rows))
+
+
+def test_corpus(spark):
+    rows = [r[:2] for r in corpus() if r[0] not in (90, 91)]
+    df = frame(spark, full(rows))
+    out = near_copies.near_dedup(df)
+    assert out.columns == df.columns and holds(out.collect(), kept(rows))
+
+
+def test_rows_without_an_id_of_their_own(spark):
+    """Different texts without an id or under one id all stay; equal rows are one."""
+    rng = random.Random(4)
+    texts = [" ".join(words(rng, 60, 10**6)) for _ in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[4]), (9, texts[4]), (None, texts[5]), (1, texts[5])]
+    out = near_copies.near_dedup(frame(spark, full(rows))).collect()
+    assert sorted(((r.doc_id or 0), r.text) for r in out) == sorted([(0, texts[0]), (0, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[4]), (1, texts[5])])
