@@ -50,6 +50,11 @@ def packed_rows(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("_id"), F.struct("*").alias("_row"))
 
 
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """As packed_rows, with _hash of the text: rows are told apart by both where a doc_id is repeated or null."""
+    return packed_rows(docs).withColumn("_hash", F.xxhash64(F.coalesce("_row.text", F.lit(""))))
+
+
 def anew(key: str):
     """A join key equal to a long column one to one. Spark splits a skewed partition only of a join that both sides are
     dealt out for, so an aggregate that is dealt by the column itself is joined by this."""

@@ -76,11 +76,8 @@ def _blocks(radius: int) -> Column:
     return F.explode(F.array(*(F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long")).alias("value")) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)))))
 
 
-def contaminated(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int] = SIMILAR, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, item_id, common, total, start_word): each document and item that are similar, by their best window.
-
-    The similarity is common / total. Of windows of equal similarity, the first is reported.
-    """
+def similar_windows(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int] = SIMILAR, radius: int = RADIUS) -> DataFrame:
+    """Each window and item that are similar: _id and _text_hash of the document, start, item_id, _item, common and union."""
     spark = C.with_checkpoints(docs.sparkSession)
     keyed = items.select(F.xxhash64("item_id", "text").alias("_item"), F.col("item_id"), shingle_hashes(lowered(F.coalesce("text", F.lit(""))), shingle).alias("hs")).filter(F.size("hs") > 0)
     keyed = keyed.dropDuplicates(["_item"]).checkpoint()
@@ -111,16 +108,24 @@ def contaminated(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, simi
     common = close.join(counts, own).join(item_counts.select("_item", "h", F.col("c").alias("item_c")), ["_item", "h"])
     weighed = common.groupBy(*own, "_item", "total", "item_total").agg(F.sum(F.least("c", "item_c")).alias("common"))
     sure = weighed.withColumn("union", F.col("total") + F.col("item_total") - F.col("common")).filter(F.col("common") * similar[1] >= F.col("union") * similar[0])
-    named = sure.join(keyed.select("_item", "item_id"), "_item")
+    return sure.join(keyed.select("_item", "item_id"), "_item")
+
+
+def contaminated(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int] = SIMILAR, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, item_id, common, total, start_word): each document and item that are similar, by their best window.
+
+    The similarity is common / total. Of windows of equal similarity, the first is reported.
+    """
+    named = similar_windows(docs, items, shingle, similar, radius)
     best = Window.partitionBy("_id", "item_id").orderBy((F.col("common") / F.col("union")).desc(), "start", "_text_hash", "_item")
     top = named.withColumn("_rank", F.row_number().over(best)).filter("_rank = 1")
     return top.select(C.original_id(), "item_id", "common", F.col("union").alias("total"), F.col("start").cast("long").alias("start_word"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, of documents that are similar to no item."""
-    found = contaminated(docs, items).select(F.coalesce("doc_id", F.lit(C.NO_ID)).alias("_id")).distinct()
-    return C.packed_rows(docs).join(found, "_id", "left_anti").select("_row.*")
+    """The rows of docs, all columns, whose text is similar to no item; other texts of the same doc_id, or of none, stay."""
+    found = similar_windows(docs, items).select("_id", F.col("_text_hash").alias("_hash")).distinct()
+    return C.packed_texts(docs).join(found, ["_id", "_hash"], "left_anti").select("_row.*")
 
 
 def op8_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -144,5 +144,4 @@ def near_dedup(docs: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame
     roots = near_links(nodes.select("node", "n", "keys"), sets_of, similar)
     named = nodes.select("node", "first").join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
     stay = named.groupBy("root").agg(F.min("first").alias("first")).select("first.*")
-    rows = C.packed_rows(docs).withColumn("_hash", F.xxhash64(F.coalesce("_row.text", F.lit(""))))
-    return rows.join(stay, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select("_row.*")
+    return C.packed_texts(docs).join(stay, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select("_row.*")

@@ -23,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -52,10 +52,10 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int(sum(1 << b for b in np.flatnonzero(2 * counts > n).tolist()))
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int, *more: str) -> Iterator[pa.RecordBatch]:
     for batch in C.slices(batches):
         out = np.array([fingerprint(x.as_py(), shingle) for x in batch.column("_text")], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(out)], ["_id", "fp"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("_id", *more)), pa.array(out)], ["_id", *more, "fp"])
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -197,13 +197,18 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _rooted(prints: DataFrame, least, radius: int) -> DataFrame:
+    """fp, least and root (the least fp reachable) of each distinct fp of prints; least is an aggregate of that name."""
+    distinct = prints.groupBy("fp").agg(least)
+    roots = components(close_links(distinct.select("fp"), radius))
+    return distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row for each row of docs: _id, fp, component_id (the least _id reachable, itself included)."""
-    spark = C.with_checkpoints(docs.sparkSession)
+    C.with_checkpoints(docs.sparkSession)
     prints = fingerprints(docs, shingle).checkpoint()
-    distinct = prints.groupBy("fp").agg(F.min("_id").alias("least"))
-    roots = components(close_links(distinct.select("fp"), radius))
-    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(prints, F.min("_id").alias("least"), radius)
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(ids, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("_id", "fp", "component_id")
@@ -212,12 +217,15 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RA
 def simhash_dedup(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """The rows of docs, all columns, that stay: of each component the row of the least doc_id.
 
-    Of rows that repeat that doc_id, the one of the least text hash stays (equal texts: any of the equal rows).
+    Of rows that repeat that doc_id, or have none, the one of the least text hash stays (equal texts: any of the equal
+    rows). Texts of one doc_id, or of none, that lie in different components are told apart.
     """
-    found = simhash_components(docs, shingle, radius).filter("_id = component_id").select("_id").distinct()
-    rows = C.packed_rows(docs).join(found, "_id", "left_semi")
-    first = Window.partitionBy("_id").orderBy(F.xxhash64("_row.text"))
-    return rows.withColumn("_rank", F.row_number().over(first)).filter("_rank = 1").select("_row.*")
+    C.with_checkpoints(docs.sparkSession)
+    hashed = C.texts(docs).withColumn("_hash", F.xxhash64("_text"))
+    prints = hashed.mapInArrow(lambda it: _fingerprints(it, shingle, "_hash"), "_id long, _hash long, fp long").checkpoint()
+    rooted = _rooted(prints, F.min(F.struct("_id", "_hash")).alias("least"), radius)
+    stay = rooted.groupBy("root").agg(F.min("least").alias("least")).select("least.*")
+    return C.packed_texts(docs).join(stay, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select("_row.*")
 
 
 def op5_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
