@@ -1,7 +1,7 @@
 """Secret scans with a randomness test battery (operator 7), DataFrame functions only.
 
 Three kinds are found by their form (assign, access, hex). The method adds kind `random`: tokens of 20 or more
-characters of an encoding's alphabet whose encoding is inferred (hex, base32, base36 or base64; the smallest alphabet
+characters of an encoding's alphabet whose encoding is inferred (hex and base36 of either case, base32 or base64; the smallest alphabet
 that holds the token, with both letters and digits) and that pass as random:
 
 * alphabet uniformity: chi-squared of the characters over eight equal parts of the inferred alphabet;
@@ -35,7 +35,8 @@ from .quality_rules import let
 ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "(?<![0-9a-f])[0-9a-f]{24,}"
-TOKEN = "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+#: A token ends at '=', which no encoding has but at its end, so that the value of name=value is a token of its own.
+TOKEN = "(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}=*"
 #: Of a run that is long enough, the leftmost match is the whole run, so these patterns hold the least length themselves;
 #: a short value of an assignment is dropped after it is matched, for what it covers must not match again.
 KINDS = (("assign", ASSIGN, 6), ("access", ACCESS, 0), ("hex", HEX, 0))
@@ -48,7 +49,7 @@ REJECT = 0.001
 ALPHA = 1e-4
 
 #: Alphabets by inferred encoding, in order of size.
-ALPHABETS = (("hex", "0123456789abcdef"), ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), ("base36", "0123456789abcdefghijklmnopqrstuvwxyz"), ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"))
+ALPHABETS = (("hex", "0123456789abcdef"), ("upper hex", "0123456789ABCDEF"), ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), ("base36", "0123456789abcdefghijklmnopqrstuvwxyz"), ("upper base36", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"))
 PARTS = 8
 _Z = 3.0902  # of a normal's upper tail REJECT
 
@@ -75,7 +76,7 @@ def matches(text: Column, pattern: str, least: int = 0) -> Column:
 def _characters(token: Column, encoding: Column) -> Column:
     """The place of each character in the alphabet of the token's encoding, 0 to 1."""
     value = None
-    plain = F.translate(F.rtrim(F.lit("="), token), "-_", "+/")
+    plain = F.translate(F.regexp_replace(token, "=+$", ""), "-_", "+/")
     chars = F.filter(F.split(plain, ""), lambda c: c != "")
 
     def place_in(alphabet: str):
@@ -92,8 +93,10 @@ def encoding_of(token: Column) -> Column:
     mixed = token.rlike("[0-9]") & token.rlike("[A-Za-z]")
     return (
         F.when(mixed & token.rlike("^[0-9a-f]+$"), "hex")
+        .when(mixed & token.rlike("^[0-9A-F]+$"), "upper hex")
         .when(mixed & token.rlike("^[A-Z2-7]+=*$"), "base32")
         .when(mixed & token.rlike("^[0-9a-z]+$"), "base36")
+        .when(mixed & token.rlike("^[0-9A-Z]+$"), "upper base36")
         .when(mixed & token.rlike("^[A-Za-z0-9+/_-]+=*$") & token.rlike("[a-z]") & token.rlike("[A-Z]"), "base64")
     )
 
