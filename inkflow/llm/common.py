@@ -6,11 +6,14 @@ one byte buffer, and find and hash words in it with numpy.
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,10 +32,15 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def with_checkpoints(spark: SparkSession) -> SparkSession:
-    """Use the cluster's shared checkpoint folder; set one only where the session names none."""
+    """Use the cluster's shared checkpoint folder; only a local session that names none gets a folder of its own."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/inkflow-checkpoints")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", sc.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        sc.setCheckpointDir(folder)
     return spark
 
 
@@ -113,37 +121,91 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_PRIME = np.uint64((1 << 31) - 1)
+_BITS = np.uint64(31)
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """A number congruent to x modulo the prime 2^31 - 1 and under 2^33 + 2^31."""
+    return (x & _PRIME) + (x >> _BITS)
+
+
+def _rest(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime."""
+    x = _fold(_fold(x))
+    return np.minimum(x, x - _PRIME)
+
+
 class SpanHash:
-    """64-bit polynomial hashes of arbitrary spans of a byte buffer, from prefix sums."""
+    """62-bit hashes of arbitrary spans of a byte buffer: two polynomials modulo the prime 2^31 - 1, at bases of their own.
+
+    The bases are drawn from the seed; two strings of n symbols meet in both with a probability of (n / 2^31)^2 over the
+    bases. Prefix sums are exact integers, congruent to the polynomials; they hold up to 2^30 symbols.
+    """
 
     def __init__(self, seed: int):
         rng = np.random.default_rng(seed)
-        self.value = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.base = np.uint64(int(rng.integers(1 << 60, 1 << 62)) * 4 + 3)
-        self.inverse = np.uint64(pow(int(self.base), -1, 1 << 64))
-        self.powers = self.inverses = np.ones(1, np.uint64)
+        prime = int(_PRIME)
+        self.value = rng.integers(1, prime, (2, 256), dtype=np.uint64)
+        self.bases = [int(rng.integers(1 << 30, prime - 1)) for _ in range(2)]
+        self.inverse = [pow(b, -1, prime) for b in self.bases]
+        self.powers = [np.ones(1, np.uint64) for _ in range(2)]
+        self.inverses = [np.ones(1, np.uint64) for _ in range(2)]
 
     def _grow(self, n: int) -> None:
-        """Powers of the base and of its inverse up to n: a span's hash must not depend on where the span lies."""
-        if len(self.powers) <= n:
-            steps = np.full(n + (n >> 2) + 2, self.base, np.uint64)
-            steps[0] = 1
-            self.powers = np.multiply.accumulate(steps)
-            steps[1:] = self.inverse
-            self.inverses = np.multiply.accumulate(steps)
+        """Powers of the bases and of their inverses up to n: a span's hash must not depend on where the span lies."""
+        while len(self.powers[0]) <= n:
+            m = len(self.powers[0])
+            for lane in range(2):
+                for table, base in ((self.powers, self.bases[lane]), (self.inverses, self.inverse[lane])):
+                    table[lane] = np.concatenate([table[lane], _rest(table[lane] * np.uint64(pow(base, m, int(_PRIME))))])
 
     def sums(self, buf: np.ndarray) -> np.ndarray:
-        return self.sums_of(self.value[buf])
+        return self._sums([v[buf] for v in self.value])
 
     def sums_of(self, values: np.ndarray) -> np.ndarray:
-        n = len(values)
+        """As sums, for symbols given as well-mixed 64-bit values."""
+        return self._sums([values >> np.uint64(33), values & _PRIME])
+
+    def _sums(self, lanes: list[np.ndarray]) -> np.ndarray:
+        n = len(lanes[0])
         self._grow(n)
-        out = np.zeros(n + 1, np.uint64)
-        np.cumsum(values * self.powers[:n], out=out[1:])
+        out = np.zeros((2, n + 1), np.uint64)
+        for lane, values in enumerate(lanes):
+            np.cumsum(_fold(values * self.powers[lane][:n]), out=out[lane, 1:])
         return out
 
     def spans(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((sums[ends] - sums[starts]) * self.inverses[starts])
+        one, two = (_rest(_rest(sums[lane][ends] - sums[lane][starts]) * self.inverses[lane][starts]) for lane in range(2))
+        return mix((one << np.uint64(32)) | two)
+
+
+#: Words of more bytes are hashed one by one.
+_LONG_WORD = 64
+_STEPS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each word: eight bytes at a time, each step a bijection of the eight bytes."""
+    size = ends - starts
+    one, two = size.astype(np.uint64) * _STEPS[1], size.astype(np.uint64) * _STEPS[0]
+    if not len(size):
+        return one, two
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eights = np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
+    some = np.flatnonzero(size <= _LONG_WORD)
+    at = 0
+    while len(some):
+        left = np.minimum(size[some] - at, 8).astype(np.uint64)
+        value = eights[starts[some] + at] & (np.uint64((1 << 64) - 1) >> (np.uint64(64) - left * np.uint64(8)))
+        one[some] = mix(one[some] * _STEPS[0] + value)
+        two[some] = mix((two[some] ^ value) * _STEPS[1] + np.uint64(at + 1))
+        at += 8
+        some = some[size[some] > at]
+    for k in np.flatnonzero(size > _LONG_WORD).tolist():
+        whole = xxhash.xxh3_128_intdigest(buf[starts[k] : ends[k]])
+        one[k], two[k] = whole >> 64, whole & ((1 << 64) - 1)
+    return one, two
 
 
 def ngram_hash(words: np.ndarray, n: int, odd: int) -> np.ndarray:

@@ -33,7 +33,6 @@ SIMILAR = (8, 10)
 BANDS, ROWS = 40, 5
 STARS = 2
 
-_HASH = C.SpanHash(55)
 _ODD = 0x9E3779B97F4A7C15
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -45,7 +44,7 @@ def shingle_sets(column: pa.Array, shingle: int = SHINGLE) -> Iterator[np.ndarra
     buf, off = C.buffer_of(column)
     buf = _LOWER[buf]
     starts, ends, text = C.word_spans(buf, off)
-    words = _HASH.spans(_HASH.sums(buf), starts, ends) if len(starts) else np.empty(0, np.uint64)
+    words = C.word_hashes(buf, starts, ends)[0]
     cuts = np.searchsorted(text, np.arange(len(column) + 1))
     for a, b in zip(cuts, cuts[1:], strict=False):
         yield np.unique(C.ngram_hash(words[a:b], min(shingle, b - a), _ODD)) if b > a else np.empty(0, np.uint64)

@@ -77,7 +77,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
     np.maximum.at(longest, doc, long)
     out["longest_word"] = np.log1p(longest)
     sums = _HASH.sums(buf)
-    word = _HASH.spans(sums, starts, ends)
+    word = C.word_hashes(buf, starts, ends)[0]
     share, h, d = extra(word, doc, words)
     out["distinct_words"] = 1 - share
     new = np.ones(len(h), bool)

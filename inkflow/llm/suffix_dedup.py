@@ -5,7 +5,8 @@ A byte goes if a string of `length` bytes over it also starts at another place o
 1. Windows are grouped by an anchor: the least of the hashes of the first SPAN 16-byte grams, so equal windows have
    equal anchors at equal offsets, and consecutive windows that share an anchor form a run. Every window of a run holds the
    length - SPAN + 1 bytes from its anchor (its core). A core that occurs once rules its run out; runs with equal
-   strings repeat as a whole. Nothing is lost by either, and what is left are the runs at the borders of repeats.
+   strings repeat as a whole (strings are equal if two hashes of 62 bits with bases of their own are). What is left are
+   the runs at the borders of repeats.
 2. Those strings, one for each class of equal ones, go to the bucket of their core, and each bucket's suffixes are sorted
    by the difference-cover algorithm (mod 3): the sampled suffixes' leading symbols are sorted and named, names are
    recursed on, the remaining suffixes are sorted by one symbol and the rank that follows, and both are merged. Adjacent
@@ -17,7 +18,7 @@ Cores and classes are counted by partial aggregates and joined back, so Spark ma
 hold. A core of over HOT_CLASSES different strings has no bucket: its windows are dealt out by two 64-bit hashes each,
 and those are counted. A batch of buckets over HOT_BYTES is settled by such hashes where it lies.
 
-Shuffled: 16 bytes for each run's core (one run in about SPAN / 2 bytes), 48 for the run, border strings, the texts once.
+Shuffled: 16 bytes for each run's core (one run in about SPAN / 2 bytes), 56 for the run, border strings, the texts once.
 
 Defined results: a null text is empty; a text under `length` bytes loses nothing; rows that repeat a document repeat
 its strings, so they lose them; a null doc_id is a document like any other; an empty table gives an empty result;
@@ -45,7 +46,7 @@ HOT_BYTES = 8 << 20
 #: Different strings of one core beyond which they are not gathered in a bucket.
 HOT_CLASSES = 8_192
 
-_GRAMS, _STRINGS, _MORE = C.SpanHash(11), C.SpanHash(12), C.SpanHash(13)
+_STRINGS, _MORE = C.SpanHash(12), C.SpanHash(13)
 
 
 def _packed(columns: list[np.ndarray], bounds: list[int]) -> np.ndarray:
@@ -103,11 +104,7 @@ def suffix_array(symbols: np.ndarray, leading: int = 3) -> np.ndarray:
 
 def _eights(buf: np.ndarray) -> np.ndarray:
     """The eight bytes from each place as one integer."""
-    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
-    out = np.zeros(len(buf), np.uint64)
-    for j in range(8):
-        out = (out << np.uint64(8)) | padded[j : j + len(buf)]
-    return out
+    return np.ndarray((len(buf),), "<u8", np.concatenate([buf, np.zeros(8, np.uint8)]), strides=(1,)).copy()
 
 
 def repeated_by_suffixes(buf: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
@@ -137,7 +134,7 @@ def repeated_by_hashes(buf: np.ndarray, starts: np.ndarray, length: int) -> np.n
 
 
 def runs(batches: Iterator[pa.RecordBatch], length: int, cores: bool = False) -> Iterator[pa.RecordBatch]:
-    """Rows of (_id, _hash, core, whole, first, last): runs of window starts, hashes of core and of the run's string.
+    """Rows of (_id, _hash, core, whole, more, first, last): runs of window starts, a hash of the core and two of the run's string.
 
     cores: rows of (core) only.
     """
@@ -151,9 +148,9 @@ def runs(batches: Iterator[pa.RecordBatch], length: int, cores: bool = False) ->
         np.add.at(valid, off[full], 1)
         np.add.at(valid, off[full + 1] - length + 1, -1)
         at = np.flatnonzero(np.cumsum(valid))
-        places = np.arange(len(buf) - GRAM + 1)
-        grams = _GRAMS.spans(_GRAMS.sums(buf), places, places + GRAM)
-        least = (grams & np.uint64(0xFFFFFFFF00000000)) | places.astype(np.uint64)
+        eights = _eights(buf)
+        grams = C.mix(eights[: len(buf) - GRAM + 1] * np.uint64(0x9E3779B97F4A7C15) + eights[GRAM - 8 : len(buf) - 7])
+        least = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
         have = 1
         while have < SPAN:
             step = min(have, SPAN - have)
@@ -170,10 +167,12 @@ def runs(batches: Iterator[pa.RecordBatch], length: int, cores: bool = False) ->
         if cores:
             yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64))], ["core"])
             continue
-        whole = C.mix(_STRINGS.spans(sums, first, last + length) ^ C.mix(((anchor - first) * (length + SPAN) + last - first).astype(np.uint64)))
+        shape = C.mix(((anchor - first) * (length + SPAN) + last - first).astype(np.uint64))
+        whole = C.mix(_STRINGS.spans(sums, first, last + length) ^ shape)
+        more = C.mix(_MORE.spans(_MORE.sums(buf), first, last + length) ^ shape)
         doc = np.searchsorted(off, first, "right") - 1
         yield pa.RecordBatch.from_arrays(
-            [pa.array(x) for x in (ids[doc], text_hash[doc], core.view(np.int64), whole.view(np.int64), first - off[doc], last - off[doc])], ["_id", "_hash", "core", "whole", "first", "last"]
+            [pa.array(x) for x in (ids[doc], text_hash[doc], core.view(np.int64), whole.view(np.int64), more.view(np.int64), first - off[doc], last - off[doc])], ["_id", "_hash", "core", "whole", "more", "first", "last"]
         )
 
 
@@ -248,11 +247,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     source = _source(docs)
     # runs whose core occurs twice or more
     cores = source.mapInArrow(lambda it: runs(it, length, True), "core long").groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(C.anew("core").alias("key"))
-    found = source.mapInArrow(lambda it: runs(it, length), "_id long, _hash long, core long, whole long, first long, last long")
+    found = source.mapInArrow(lambda it: runs(it, length), "_id long, _hash long, core long, whole long, more long, first long, last long")
     shared = found.withColumn("key", C.anew("core")).join(cores, "key").checkpoint()
     # classes of equal runs: those of two or more repeat as a whole
-    classes = shared.groupBy("core", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_id", "_hash", "first", "last")).alias("one"))
-    whole = shared.join(classes.filter("n > 1").select(C.anew("core").alias("key"), "whole"), ["key", "whole"]).select("_id", "_hash", "first", (F.col("last") + length).alias("end"))
+    classes = shared.groupBy("core", "whole", "more").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_id", "_hash", "first", "last")).alias("one"))
+    whole = shared.join(classes.filter("n > 1").select(C.anew("core").alias("key"), "whole", "more"), ["key", "whole", "more"]).select("_id", "_hash", "first", (F.col("last") + length).alias("end"))
     # one string of each class of the cores that have a single run, which only its windows can tell about
     opened = classes.groupBy("core").agg(F.count_if(F.col("n") == 1).alias("single"), F.count(F.lit(1)).alias("k")).filter("single > 0 and k > 1").select(C.anew("core").alias("key"), (F.col("k") > HOT_CLASSES).alias("hot"))
     sent = classes.withColumn("key", C.anew("core")).join(opened, "key").select("core", "one.*", (F.col("n") > 1).alias("known"), "hot").checkpoint()
