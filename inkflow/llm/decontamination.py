@@ -1,19 +1,27 @@
 """Benchmark decontamination by SimHash of item-sized windows (operator 8), DataFrame functions only.
 
-Texts are lower-cased (A-Z) and cut into words; a shingle is five consecutive words (a shorter text: all of them). A
-window is as many words of a document as a benchmark item has, placed where a shingle of the document meets the same
-shingle of an item of that size. Windows and items get 64-bit SimHash fingerprints. Fingerprints of one window size meet on
-`radius` + 1 blocks of a multi-index, which guarantees every pair within `radius` bits; the exact weighted similarity of
-the shingles (the sum of the lesser counts over the sum of the greater) then decides.
-
-A window without a common shingle has similarity zero, so placing windows by shingles loses nothing. Shingles are hashed
-to 64 bits. The items' shingles are broadcast only while they are under BROADCAST_SHINGLES, which is counted first;
-beyond, the join is left to Spark. A shingle that many documents hold is a row each, joined to few items and never to
-other documents. Windows of one document and item that lie on one another are all verified; the best is reported.
-
-Defined results: null texts have no words, nor windows, on either side; items without words are ignored; a document shorter
-than an item is one window; rows that repeat a doc_id are texts of that document, an item_id's rows are items of their
-own under that id; a null doc_id or item_id is kept as null; an empty table gives an empty result; other columns are ignored.
+Texts are lower-cased (A-Z) and cut into words; a shingle is five consecutive words (a shorter text: all of them as one). A
+window is as many consecutive shingles of a document as a benchmark item has, at any place; a document shorter than the
+item is one window. A window and an item are similar if the weighted similarity of their shingles (the sum of the lesser
+counts over the sum of the greater) is `similar` or more.
+
+1. Seeds: a similar window lacks so few of an item's shingles that it holds one of any `size - need + 1` of them; the
+   rarest are taken. Documents meet items on seeds, at any offset.
+2. Windows: of those pairs, every window with as many places in common as similarity asks for, found by a running sum over
+   the places' first and last windows; occurrences are never paired with occurrences.
+3. SimHash: 64-bit fingerprints of those windows from running sums of bit counts. Windows and their items meet on `radius` + 1
+   blocks of a multi-index, which guarantees every pair within `radius` bits, and the Hamming distance is verified.
+4. The exact weighted similarity of what is left decides: an occurrence of a shingle counts in the windows in which it is
+   among the first as many as the item has, so the common weight is again a running sum.
+
+Steps 1, 2 and 4 lose nothing; step 3 loses pairs beyond the radius (see RADIUS). Shingles are hashed to 64 bits. The seeds,
+the items' shingles and the documents that meet any are broadcast only while they are under BROADCAST_ROWS, which is
+counted first; beyond, joins are left to Spark. All windows of a document and item are verified; the best is reported.
+
+Defined results: null texts have no words, nor windows, on either side; items without words are ignored; an item of under
+five words is similar to texts of just those words only; rows that repeat a doc_id are texts of that document, an item_id's
+rows are items of their own under that id; a null doc_id or item_id is kept as null; an empty table gives an empty
+result; other columns are ignored. Texts may have up to 2^31 shingles.
 """
 
 from __future__ import annotations
@@ -27,9 +35,9 @@ from .quality_rules import window_hashes, word_array
 SHINGLE = 5
 #: Similarity as a fraction of integers, so that the border is exact.
 SIMILAR = (8, 10)
-#: Pairs at the least similarity differ in about 10 of 64 bits; the probability of over 20 is about 3 in 10,000.
+#: Pairs at the least similarity differ in about 10 of 64 bits; test_recall_of_the_radius measures what lies beyond.
 RADIUS = 20
-BROADCAST_SHINGLES = 500_000
+BROADCAST_ROWS = 500_000
 
 
 def lowered(text: Column) -> Column:
@@ -46,29 +54,26 @@ def shingle_hashes(text: Column, n: int = SHINGLE) -> Column:
     return F.transform(F.array(word_array(text)), of)[0]
 
 
+#: Bits b and b + 32 of a hash are counted in one sum, 32 bits each.
+_LANES = range(32)
+
+
 def _votes() -> list[Column]:
-    """Counts of each of 64 bits over a group's hashes: four counters of 16 bits in each of 16 sums."""
-    lanes = 0x0001000100010001
-    return [F.sum(F.shiftrightunsigned("h", b).bitwiseAND(F.lit(lanes).cast("long")) * F.col("c")).alias(f"v{b}") for b in range(16)]
+    return [F.shiftrightunsigned("h", b).bitwiseAND(F.lit(0x100000001).cast("long")).alias(f"v{b}") for b in _LANES]
 
 
 def _fingerprint(total: Column) -> Column:
     """The bits that are set in over half of the hashes."""
     out = F.lit(0).cast("long")
-    for b in range(16):
-        for lane in range(4):
-            count = F.shiftrightunsigned(f"v{b}", 16 * lane).bitwiseAND(F.lit(0xFFFF).cast("long"))
-            bit = b + 16 * lane
+    for b in _LANES:
+        for lane in range(2):
+            count = F.shiftrightunsigned(f"v{b}", 32 * lane).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
+            bit = b + 32 * lane
             value = (1 << bit) - (1 << 64 if bit == 63 else 0)
             out = out.bitwiseOR(F.when(count * 2 > total, F.lit(value).cast("long")).otherwise(F.lit(0).cast("long")))
     return out
 
 
-def fingerprints(counts: DataFrame, *keys: str) -> DataFrame:
-    """keys, total and fp of each group of rows (keys, h, c). Groups are under 65,536 shingles, as items are."""
-    return counts.groupBy(*keys).agg(F.sum("c").alias("total"), *_votes()).select(*keys, "total", _fingerprint(F.col("total")).alias("fp"))
-
-
 def _blocks(radius: int) -> Column:
     """(block, value) of each of radius + 1 blocks of fp."""
     n = radius + 1
@@ -76,39 +81,92 @@ def _blocks(radius: int) -> Column:
     return F.explode(F.array(*(F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long")).alias("value")) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)))))
 
 
+def _bounded(rows: DataFrame) -> DataFrame:
+    """Rows that are counted already (a checkpoint), to be broadcast if they are few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+_DOC = ["_id", "_text_hash"]
+_PAIR = [*_DOC, "_item"]
+
+
+def _seeds(item_counts: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """(_item, h): the rarest shingles of each item, one of which every similar window holds."""
+    rare = item_counts.join(item_counts.groupBy("h").agg(F.count(F.lit(1)).alias("f")), "h")
+    before = F.sum("c").over(Window.partitionBy("_item").orderBy("f", "h").rowsBetween(Window.unboundedPreceding, -1))
+    lack = F.col("size") - F.floor((F.col("size") * similar[0] + similar[1] - 1) / F.lit(similar[1]))
+    return rare.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") <= lack).select("_item", "h")
+
+
+def _running(events: DataFrame) -> DataFrame:
+    """events (pair, s, delta, ...) with `sum`, of the deltas of the pair at s and before."""
+    return events.withColumn("sum", F.sum("delta").over(Window.partitionBy(*_PAIR).orderBy("s").rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+
+
+def _windows(hits: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """(pair, size, total, start) of windows with enough hits, from rows (pair, size, n, at)."""
+    ends = F.array(F.struct(F.greatest(F.lit(0), F.col("at") - F.col("size") + 1).alias("s"), F.lit(1).alias("delta")), F.struct((F.col("at") + 1).alias("s"), F.lit(-1).alias("delta")))
+    events = hits.select(*_PAIR, "size", "n", F.explode(ends).alias("e")).groupBy(*_PAIR, "size", "n", "e.s").agg(F.sum("e.delta").alias("delta"))
+    total = F.least("size", "n")
+    last = F.least(F.coalesce(F.lead("s").over(Window.partitionBy(*_PAIR).orderBy("s")), F.col("s") + 1) - 1, F.greatest(F.lit(0), F.col("n") - F.col("size")))
+    enough = F.col("sum") * (similar[0] + similar[1]) >= (total + F.col("size")) * similar[0]
+    ranges = _running(events).withColumn("last", last).filter(enough & (F.col("s") <= F.col("last")))
+    return ranges.select(*_PAIR, "size", total.alias("total"), F.explode(F.sequence("s", "last")).alias("start"))
+
+
+def _window_fingerprints(spots: DataFrame, windows: DataFrame) -> DataFrame:
+    """(document, start, total, fp) of distinct windows, from running sums of the votes of (document, at, h)."""
+    so_far = Window.partitionBy(*_DOC).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = spots.select(*_DOC, "at", *_votes()).select(*_DOC, "at", *(F.sum(f"v{b}").over(so_far).alias(f"v{b}") for b in _LANES))
+    distinct = windows.select(*_DOC, "start", "total").distinct()
+    ends = F.array(F.struct((F.col("start") + F.col("total") - 1).alias("at"), F.lit(1).alias("sign")), F.struct((F.col("start") - 1).alias("at"), F.lit(-1).alias("sign")))
+    both = distinct.select(*_DOC, "start", "total", F.explode(ends).alias("e")).select(*_DOC, "start", "total", "e.at", "e.sign")
+    votes = both.join(sums, [*_DOC, "at"]).groupBy(*_DOC, "start", "total").agg(*(F.sum(F.col(f"v{b}") * F.col("sign")).alias(f"v{b}") for b in _LANES))
+    return votes.select(*_DOC, "start", "total", _fingerprint(F.col("total")).alias("fp"))
+
+
+def _common(hits: DataFrame, windows: DataFrame) -> DataFrame:
+    """windows with `common`, the exact common weight, from rows (pair, size, at, h, c) and (pair, start, ...)."""
+    placed = hits.groupBy(*_PAIR, "size", "h", "c").agg(F.sort_array(F.collect_list("at")).alias("places")).select("*", F.posexplode("places").alias("j", "at"))
+    earlier = F.when(F.col("j") >= F.col("c"), F.try_element_at("places", (F.col("j") - F.col("c") + 1).cast("int"))).otherwise(F.lit(-1))
+    first = F.greatest(earlier, F.col("at") - F.col("size")) + 1
+    ends = F.array(F.struct(F.greatest(F.lit(0), first).alias("s"), F.lit(1).alias("delta")), F.struct((F.col("at") + 1).alias("s"), F.lit(-1).alias("delta")))
+    none = F.lit(None).cast("int")
+    events = placed.select(*_PAIR, F.explode(ends).alias("e")).select(*_PAIR, "e.s", "e.delta", none.alias("total"), none.alias("size"))
+    asked = windows.select(*_PAIR, F.col("start").alias("s"), F.lit(0).alias("delta"), "total", "size")
+    return _running(events.unionByName(asked)).filter(F.col("total").isNotNull()).select(*_PAIR, F.col("s").alias("start"), "total", "size", F.col("sum").alias("common"))
+
+
 def similar_windows(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int] = SIMILAR, radius: int = RADIUS) -> DataFrame:
     """Each window and item that are similar: _id and _text_hash of the document, start, item_id, _item, common and union."""
-    spark = C.with_checkpoints(docs.sparkSession)
+    C.with_checkpoints(docs.sparkSession)
     keyed = items.select(F.xxhash64("item_id", "text").alias("_item"), F.col("item_id"), shingle_hashes(lowered(F.coalesce("text", F.lit(""))), shingle).alias("hs")).filter(F.size("hs") > 0)
     keyed = keyed.dropDuplicates(["_item"]).checkpoint()
-    placed = keyed.select("_item", F.size("hs").alias("size"), F.posexplode("hs").alias("offset", "h"))
-    bounded = placed.count() <= BROADCAST_SHINGLES
-
-    rows = C.texts(docs).select("_id", F.xxhash64("_text").alias("_text_hash"), shingle_hashes(lowered(F.col("_text")), shingle).alias("hs"))
-    spread = rows.select("_id", "_text_hash", F.size("hs").alias("n"), F.posexplode("hs").alias("at", "h"))
-    # (1) windows: where a shingle of the document lies at its offset in an item of that size
-    met = spread.join(F.broadcast(placed) if bounded else placed, "h")
-    start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("offset"), F.col("n") - F.col("size")))
-    windows = met.select("_id", "_text_hash", start.alias("start"), "size").distinct().checkpoint()
-    # (2) the shingles of those windows, from the documents that have any
-    wanted = windows.groupBy("_id", "_text_hash").agg(F.collect_set(F.struct("start", "size")).alias("windows"))
-    inside = rows.join(wanted, ["_id", "_text_hash"]).select("_id", "_text_hash", "hs", F.explode("windows").alias("w"))
-    # rows that repeat a document repeat its places, so distinct places are counted
-    shingles = inside.select("_id", "_text_hash", "w.start", "w.size", F.posexplode(F.slice("hs", F.col("w.start") + 1, F.col("w.size"))).alias("place", "h")).distinct()
-    own = ["_id", "_text_hash", "start", "size"]
-    counts = shingles.groupBy(*own, "h").agg(F.count(F.lit(1)).alias("c")).checkpoint()
-    item_counts = placed.groupBy("_item", "size", "h").agg(F.count(F.lit(1)).alias("c"))
+    item_counts = keyed.select("_item", F.size("hs").alias("size"), F.explode("hs").alias("h")).groupBy("_item", "size", "h").agg(F.count(F.lit(1)).cast("int").alias("c")).checkpoint()
+    of_items = _bounded(item_counts)
+
+    def hashed(texts: DataFrame) -> DataFrame:
+        return texts.select(*_DOC, shingle_hashes(lowered(F.col("_text")), shingle).alias("hs"))
+
+    source = C.texts(docs).withColumn("_text_hash", F.xxhash64("_text"))
+    # (1) documents meet items on seeds
+    met = hashed(source).select(*_DOC, F.explode("hs").alias("h")).join(_bounded(_seeds(item_counts, similar).checkpoint()), "h")
+    pairs = met.select(*_PAIR).distinct().checkpoint()
+    wanted = _bounded(pairs.select(*_DOC).distinct().checkpoint())
+    inside = hashed(source.join(wanted, _DOC, "left_semi")).dropDuplicates(_DOC).checkpoint()
+    spots = inside.select(*_DOC, F.size("hs").alias("n"), F.posexplode("hs").alias("at", "h"))
+    # (2) windows with as many hits as similarity asks for
+    hits = spots.join(pairs, _DOC).join(of_items, ["_item", "h"]).select(*_PAIR, "size", "n", "at", "h", "c").checkpoint()
+    windows = _windows(hits, similar).checkpoint()
     # (3) fingerprints meet on blocks, and lie within the radius
-    left = fingerprints(counts, *own)
-    right = fingerprints(item_counts, "_item", "size").withColumnRenamed("total", "item_total").withColumnRenamed("fp", "item_fp")
-    blocks = right.withColumnRenamed("item_fp", "fp").select("_item", "size", "item_total", F.col("fp").alias("item_fp"), _blocks(radius).alias("b"))
-    pairs = left.select(*own, "total", "fp", _blocks(radius).alias("b")).join(blocks, ["size", "b"])
-    close = pairs.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select(*own, "total", "_item", "item_total").distinct()
+    left = windows.join(_window_fingerprints(spots, windows), [*_DOC, "start", "total"])
+    of_item = item_counts.select("_item", "size", "h", "c").select("_item", "size", "c", *_votes()).groupBy("_item", "size").agg(*(F.sum(F.col(f"v{b}") * F.col("c")).alias(f"v{b}") for b in _LANES))
+    blocks = of_item.select("_item", _fingerprint(F.col("size")).alias("fp")).select("_item", F.col("fp").alias("item_fp"), _blocks(radius).alias("b"))
+    met_in_blocks = left.select(*_PAIR, "size", "total", "start", "fp", _blocks(radius).alias("b")).join(blocks, ["_item", "b"])
+    close = met_in_blocks.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select(*_PAIR, "size", "total", "start").distinct()
     # (4) exact weighted similarity of the shingles
-    common = close.join(counts, own).join(item_counts.select("_item", "h", F.col("c").alias("item_c")), ["_item", "h"])
-    weighed = common.groupBy(*own, "_item", "total", "item_total").agg(F.sum(F.least("c", "item_c")).alias("common"))
-    sure = weighed.withColumn("union", F.col("total") + F.col("item_total") - F.col("common")).filter(F.col("common") * similar[1] >= F.col("union") * similar[0])
-    return sure.join(keyed.select("_item", "item_id"), "_item")
+    weighed = _common(hits, close).withColumn("union", F.col("total") + F.col("size") - F.col("common"))
+    return weighed.filter(F.col("common") * similar[1] >= F.col("union") * similar[0]).join(keyed.select("_item", "item_id"), "_item")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int] = SIMILAR, radius: int = RADIUS) -> DataFrame:
@@ -124,27 +182,27 @@ def contaminated(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, simi
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs, all columns, whose text is similar to no item; other texts of the same doc_id, or of none, stay."""
-    found = similar_windows(docs, items).select("_id", F.col("_text_hash").alias("_hash")).distinct()
-    return C.packed_texts(docs).join(found, ["_id", "_hash"], "left_anti").select("_row.*")
+    found = similar_windows(docs, items).select("_id", F.col("_text_hash").alias("_hash")).distinct().checkpoint()
+    return C.packed_texts(docs).join(_bounded(found), ["_id", "_hash"], "left_anti").select("_row.*")
 
 
 def op8_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
     return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-#: Every placement of an item by a common shingle, its exact similarity, and the best by document and item.
+#: Every window of every place that covers a common shingle, its exact similarity, and the best by document and item.
 OP8_SQL = """
 with dw as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
 iw as (select item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from benchmark),
 ds as (select doc_id, greatest(1, len(w) - 4) as n, unnest(range(greatest(1, len(w) - 4))) as p, w from dw where len(w) > 0),
 d as (select doc_id, n, p, w[p + 1:p + 5] as g from ds),
-its as (select item_id, greatest(1, len(w) - 4) as n, unnest(range(greatest(1, len(w) - 4))) as p, w from iw where len(w) > 0),
-i as (select item_id, n as size, p as o, w[p + 1:p + 5] as g from its),
-hit as (select distinct d.doc_id, i.item_id, i.size, greatest(0, least(d.p - i.o, d.n - i.size)) as s from d join i on d.g = i.g),
-win as (select h.doc_id, h.item_id, h.size, h.s, d.g, count(*) as c from hit h join d on d.doc_id = h.doc_id and d.p >= h.s and d.p < h.s + h.size group by all),
-ic as (select item_id, g, count(*) as c from i group by all),
-com as (select w.doc_id, w.item_id, w.size, w.s, sum(w.c) as total, sum(least(w.c, coalesce(ic.c, 0))) as common from win w left join ic on ic.item_id = w.item_id and ic.g = w.g group by all),
-sim as (select *, total + size - common as u from com where common * 10 >= (total + size - common) * 8)
-select doc_id, item_id, cast(common as bigint) as common, cast(u as bigint) as total, cast(s as bigint) as start_word from sim
-qualify row_number() over (partition by doc_id, item_id order by common / u desc, s) = 1
+its as (select item_id, greatest(1, len(w) - 4) as size, unnest(range(greatest(1, len(w) - 4))) as o, w from iw where len(w) > 0),
+ic as (select item_id, size, g, count(*) as c from (select item_id, size, w[o + 1:o + 5] as g from its) group by all),
+hit as (select d.doc_id, d.n, ic.item_id, ic.size, d.p, d.g, ic.c from d join ic on d.g = ic.g),
+place as (select doc_id, n, item_id, size, g, c, unnest(range(greatest(0, p - size + 1), least(p, greatest(0, n - size)) + 1)) as s from hit),
+shared as (select doc_id, n, item_id, size, s, least(count(*), c) as k from place group by doc_id, n, item_id, size, s, g, c),
+com as (select doc_id, item_id, s, least(size, n) + size as both, sum(k) as common from shared group by doc_id, item_id, s, size, n)
+select doc_id, item_id, cast(common as bigint) as common, cast(both - common as bigint) as total, cast(s as bigint) as start_word from com
+where common * 10 >= (both - common) * 8
+qualify row_number() over (partition by doc_id, item_id order by common / (both - common) desc, s) = 1
 """

@@ -88,6 +88,8 @@ def test_decontamination(spark):
         if k % 5 == 0:
             del w[7]
         docs.append((k, f"{some(30)}\n{' '.join(w)} {some(k)}"))
+    half = items[5][1].split()
+    docs += [(70, " ".join(half[30:] + half[:30])), (71, some(7) + " " + " ".join(half[30:] + half[:30]) + " " + some(9)), (72, " ".join(half[4:])), (73, " ".join(half[:20] + half[21:])), (74, " ".join(half[:-3])), (75, some(3) + " " + " ".join(half[3:]))]
     docs += [(60, docs[9][1]), (60, docs[9][1]), (61, "same " * 20), (62, items[10][1] + " x")]
     d, i = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string, doc_id long" if False else "item_id long, text string")
     found = decontamination.contaminated(d, i)
@@ -99,6 +101,30 @@ def test_decontamination(spark):
     assert decontamination.contaminated(d.limit(0), i).collect() == [] == decontamination.contaminated(d, i.limit(0)).collect()
 
 
+def test_recall_of_the_radius(spark):
+    """Windows at 0.8 to 0.85 of their items: at least 0.99 of them lie within the radius (0.9 is asked for)."""
+    rng = np.random.default_rng(8)
+    items = [(k, " ".join(f"w{x}" for x in rng.integers(0, 10**6, int(rng.integers(40, 120))))) for k in range(400)]
+    docs = []
+    for k, t in items:
+        w = t.split()
+        cut = (len(w) - 4) // 9 - 1  # shingles that one end loses, so that about 0.8 are common
+        docs.append((k, " ".join([*(f"x{x}" for x in rng.integers(0, 10**6, cut)), *w[cut:], "and", "on"])))
+    want = brute.contaminated(docs[:40], items[:40])
+    found = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id, r.common, r.total) for r in found.collect()}
+    assert len(want) == 40 and all(0.8 <= c / u < 0.9 for _, _, c, u in want)
+    assert len({g for g in got if g[0] < 40} & want) >= 39 and len(got) >= 396
+
+
+def test_long_items_of_equal_shingles(spark):
+    """Occurrences are not paired with occurrences: 70,000 equal words against 90,000, and counters do not overflow."""
+    items = [(0, "same " * 70_000), (1, " ".join(f"a{k}" for k in range(3000)))]
+    docs = [(0, "same " * 90_000), (1, "same " * 60_000), (2, "same " * 50_000), (3, items[1][1] + " tail")]
+    found = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r.doc_id, r.item_id, r.common, r.total, r.start_word) for r in found.collect()) == [(0, 0, 69_996, 69_996, 0), (1, 0, 59_996, 69_996, 0), (3, 1, 2996, 2996, 0)]
+
+
 TRICKY = ["<|startoftext|>a <|endoftext|>", "it's we'll I'VE don't 's 'LL x'd", "ΑΣ ΣΑΣ ς", "İstanbul İ", "é ẞ ǅ ß", "a\u0000b ​ 　x\x85y\x1cz", "漢字かな ١٢٣ ½ ② 1234", "\U0001f600‍\U0001f525 � ퟿", "!!!???...---***", "<|startoftext", "ﬁ Å Å ①", "x" * 3000, "ab " * 2000, "don’t “q” ‘s", "\r\n\t\v\f end", "À̧́ q̣̇", "naïve café Ω Ω K"]
 
 
