@@ -9,7 +9,8 @@ prefix is encoded once, and a word's tokens are read back along its states. A wo
 No word and no composed character crosses a space or a line end, so a text is the sequence of its chunks between them.
 Encoded words and chunks are remembered across a task's slices: up to REMEMBERED of each, and as many again that were used
 before those; older ones are forgotten, so common ones stay, and all are at the end of the task, for an idle worker
-keeps its memory. Texts are processed where they are read: nothing is shuffled.
+keeps its memory. Ids are decoded from nothing but themselves: they index a table of token bytes, gathered by numpy. Texts
+are processed where they are read: nothing is shuffled.
 
 Defined results: null and empty texts have no tokens and decode to an empty string; the strings of special tokens in a
 text are special tokens, as the file says; very long words and texts are encoded whole; an empty table gives an empty
@@ -25,6 +26,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -98,6 +100,22 @@ class WordBpe:
         self.final = {t[: -len(self.end)] for t in reachable if t.endswith(self.end)}
         self.longest = max(map(len, self.ids), default=1)
         self.memo, self.chunks = Memory(REMEMBERED), Memory(REMEMBERED)
+        # each id's token and a space, one after another
+        strings = [(self.tokens.get(i, "") + " ").encode() for i in range(max(self.tokens, default=-1) + 1)]
+        self.bytes = np.frombuffer(b"".join(strings), np.uint8)
+        self.places = np.append(0, np.cumsum([len(x) for x in strings])).astype(np.int64)
+
+    def decoded(self, ids: list[bytes]) -> Iterator[bytes]:
+        """The text of each sequence of ids: its tokens, joined by a space."""
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        ends = np.cumsum([len(x) // 4 for x in ids])
+        starts = self.places[flat]
+        buf, off = C.gather(self.bytes, starts, self.places[flat + 1])
+        view, at = memoryview(buf), 0
+        for end in ends.tolist():
+            to = int(off[end])
+            yield bytes(view[at : max(at, to - 1)])
+            at = to
 
     def split(self, token: str) -> list[str]:
         """A token's symbols."""
@@ -179,23 +197,22 @@ class WordBpe:
         return out
 
     def learn(self, pieces: set[str]) -> None:
-        """Remember (ids as bytes, tokens joined by a space) of each piece."""
+        """Remember the ids of each piece, as bytes."""
         todo: dict[str, str] = {}
         for p in self.memo.room(pieces):
             if p[0] == "\0" and p[1:] in self.specials:
-                self.memo[p] = (self.specials[p[1:]].to_bytes(4, "little"), p[1:])
+                self.memo[p] = self.specials[p[1:]].to_bytes(4, "little")
             else:
                 todo[p if p.isascii() and p.isalnum() else p.encode().decode("latin-1").translate(self.symbols)] = p
         for word, tokens in self.encode_words(list(todo)):
-            self.memo[todo[word]] = (b"".join(self.ids[t].to_bytes(4, "little") for t in tokens), " ".join(tokens))
+            self.memo[todo[word]] = b"".join([self.ids[t].to_bytes(4, "little") for t in tokens])
 
     def learn_chunks(self, chunks: set[str]) -> None:
         """Remember the same of each chunk; a chunk may have no token."""
         cut = {x: self.pieces(x) for x in self.chunks.room(chunks)}
         self.learn(set().union(*cut.values()))
         for x, pieces in cut.items():
-            found = [self.memo[p] for p in pieces]
-            self.chunks[x] = found[0] if len(found) == 1 else (b"".join([f[0] for f in found]), " ".join([f[1] for f in found]))
+            self.chunks[x] = b"".join([self.memo[p] for p in pieces])
 
 
 @lru_cache(2)
@@ -203,7 +220,8 @@ def load(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def _encode(batches: Iterator[pa.RecordBatch], path: str, remembered: int) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], path: str, remembered: int) -> Iterator[tuple[pa.Array, list[bytes]]]:
+    """The ids of documents and of their tokens, slice by slice."""
     bpe = load(path)
     bpe.memo.most = bpe.chunks.most = remembered
     try:
@@ -211,28 +229,27 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, remembered: int) -> It
             texts = [x.replace("\n", " ").split(" ") for x in batch.column("_text").to_pylist()]
             bpe.learn_chunks(set().union(*texts))
             get = bpe.chunks.__getitem__
-            ids, tokens, counts = [], [], []
-            for chunks in texts:
-                found = [get(x) for x in chunks]
-                ids.append(b"".join([x[0] for x in found]))
-                tokens.append(" ".join([x[1] for x in found if x[1]]))
-                counts.append(len(ids[-1]) // 4)
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.binary()), pa.array(tokens, pa.string())], ["_id", "n_tokens", "ids", "decoded"])
+            yield batch.column("_id"), [b"".join(map(get, chunks)) for chunks in texts]
     finally:
         bpe.memo.forget()
         bpe.chunks.forget()
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, remembered: int) -> Iterator[pa.RecordBatch]:
+    for own, ids in _encode(batches, path, remembered):
+        counts, texts = [len(x) // 4 for x in ids], pa.array(load(path).decoded(ids), pa.binary()).cast(pa.string())
+        yield pa.RecordBatch.from_arrays([own, pa.array(counts, pa.int64()), pa.array(ids, pa.binary()), texts], ["_id", "n_tokens", "ids", "decoded"])
+
+
 def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    bpe = load(path)
     for batch in C.slices(batches, "ids"):
-        out = [" ".join([bpe.tokens[int.from_bytes(x[k : k + 4], "little")] for k in range(0, len(x), 4)]) for x in (y or b"" for y in batch.column("ids").to_pylist())]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "decoded"])
+        out = load(path).decoded([x or b"" for x in batch.column("ids").to_pylist()])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary()).cast(pa.string())], [*batch.schema.names, "decoded"])
 
 
 def encode(docs: DataFrame, path: str, remembered: int = REMEMBERED) -> DataFrame:
-    """One row for each row of docs: doc_id, n_tokens, ids (little-endian unsigned 32-bit), decoded."""
-    out = C.texts(docs).mapInArrow(lambda it: _encode(it, path, remembered), "_id long, n_tokens long, ids binary, decoded string")
+    """One row for each row of docs: doc_id, n_tokens, ids (little-endian unsigned 32-bit), and what they decode to."""
+    out = C.texts(docs).mapInArrow(lambda it: _encoded(it, path, remembered), "_id long, n_tokens long, ids binary, decoded string")
     return out.select(C.original_id(), "n_tokens", "ids", "decoded")
 
 
@@ -243,9 +260,10 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def _digests(batches: Iterator[pa.RecordBatch], path: str, remembered: int) -> Iterator[pa.RecordBatch]:
-    for batch in _encode(batches, path, remembered):
-        columns = [[hashlib.sha256(x).hexdigest() for x in batch.column("ids").to_pylist()], [hashlib.sha256(x.encode()).hexdigest() for x in batch.column("decoded").to_pylist()]]
-        yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("n_tokens"), *map(pa.array, columns)], ["_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    for own, ids in _encode(batches, path, remembered):
+        counts = [len(x) // 4 for x in ids]
+        columns = [[hashlib.sha256(x).hexdigest() for x in ids], [hashlib.sha256(x).hexdigest() for x in load(path).decoded(ids)]]
+        yield pa.RecordBatch.from_arrays([own, pa.array(counts, pa.int64()), *map(pa.array, columns)], ["_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def encode_digests(docs: DataFrame, path: str, remembered: int = REMEMBERED) -> DataFrame:
