@@ -120,7 +120,9 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, file_byt
     fs.create_dir(path, recursive=True)
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html")).withColumn("_sha", F.sha1(F.col("html").cast("binary")))
     least = source.filter(F.octet_length("html") >= least_bytes).groupBy("_sha").agg(F.min("page_id").alias("response"))
-    rows = source.join(least, "_sha", "left").select("page_id", "url", "html", "response")
+    # joined by another key than the one it is grouped by, so that Spark may split a payload that very many pages have
+    least = least.select(F.reverse("_sha").alias("_key"), "response")
+    rows = source.withColumn("_key", F.reverse("_sha")).join(least, "_key", "left").select("page_id", "url", "html", "response")
     index = rows.mapInArrow(lambda it: _write(it, folder, file_bytes), _INDEX)
     index.write.mode("overwrite").parquet(f"{folder}/index")
     return spark.read.parquet(f"{folder}/index")
