@@ -8,7 +8,8 @@ is verified and a run emits one link for each fingerprint (to the least of its v
 become components by alternating star contractions over DataFrames.
 
 Documents of one fingerprint are one node, so exact copies never meet. A run of n fingerprints costs n^2 / 2 comparisons
-up to DENSE, and about radius^2 * 1,000 look-ups for each fingerprint beyond.
+up to DENSE, and about radius^2 * 1,000 look-ups for each fingerprint beyond. Runs of over LARGE fingerprints, which are
+counted first, are split by two blocks of their open bits in the same way, so a large family is no single task.
 
 Defined results: a null or empty text has fingerprint zero, linked like any other; a text of under three words is one
 shingle; a null doc_id belongs to the component of its fingerprint and comes last as its representative; rows that
@@ -32,6 +33,8 @@ SHINGLE = 3
 RADIUS = 2
 SEED = 42
 DENSE = 2_000
+#: Fingerprints of a run beyond which it is split further.
+LARGE = 50_000
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -149,6 +152,7 @@ def links_in_tables(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[
 
 def close_links(values: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b): enough links between distinct values of column fp to join all that are connected at this radius."""
+    C.with_checkpoints(values.sparkSession)
     n = C.shuffle_partitions(values.sparkSession)
     blocks = radius + 2
     cuts = [64 * k // blocks for k in range(blocks + 1)]
@@ -157,11 +161,32 @@ def close_links(values: DataFrame, radius: int = RADIUS) -> DataFrame:
     signed = [m - (1 << 64) if m >> 63 else m for m in keep]
     tables = F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("block")) for t, m in enumerate(signed)))
     rows = values.select("fp", F.explode(tables).alias("x")).select("x.t", "x.block", "fp")
+    # runs of over LARGE fingerprints are split by the same rule over the bits that the run leaves open
+    large = rows.groupBy("t", "block").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LARGE).select("t", C.anew("block").alias("_key")).checkpoint()
+    if not large.isEmpty():
+        keyed = rows.withColumn("_key", C.anew("block"))
+        hot = keyed.join(large, ["t", "_key"], "left_semi")
+        finer = F.when(F.lit(False), F.array().cast("array<struct<t:int,block:bigint>>"))
+        for t, m in enumerate(keep):
+            finer = finer.when(F.col("t") == t, _finer(t, len(keep), m, radius))
+        split = hot.select("t", "block", "fp", F.explode(finer).alias("x")).select("x.t", "x.block", "fp")
+        rows = keyed.join(large, ["t", "_key"], "left_anti").select("t", "block", "fp").unionByName(split)
     dealt = rows.repartition(n, "t", "block").sortWithinPartitions("block", "t", "fp")
     return dealt.mapInArrow(lambda it: links_in_tables(it, radius), "a long, b long").filter("a <> b").distinct()
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
+def _finer(t: int, tables: int, fixed: int, radius: int):
+    """Sub-tables of table t: its bits and two of radius + 2 blocks of the others; what stays open is a fourth of 64 bits
+    at radius 2, so that no run holds over 65,536 different fingerprints."""
+    rest = [b for b in range(64) if not fixed >> b & 1]
+    blocks = radius + 2
+    cuts = [len(rest) * k // blocks for k in range(blocks + 1)]
+    masks = [fixed | sum(1 << rest[b] for k in pair for b in range(cuts[k], cuts[k + 1])) for pair in combinations(range(blocks), 2)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    return F.array(*(F.struct(F.lit(tables + t * len(masks) + k).alias("t"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("block")) for k, m in enumerate(signed)))
+
+
+def components(links: DataFrame) -> DataFrame:
     """(node, root): the least node of each linked node's component, by alternating large and small stars.
 
     Each star is a grouped minimum joined back, so a node of very many links is aggregated before it is shuffled and its
@@ -186,14 +211,12 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
 
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
     seen = None
-    for _ in range(rounds):
+    while True:
         edges = star(star(edges, True), False).checkpoint()
         now = state(edges)
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
