@@ -11,7 +11,7 @@ return the columns of documents:
 5. bpe: doc_id, n_tokens, ids (little-endian unsigned 32-bit) and the SHA-256 of the decoded text.
 
 run() writes each stage's rows to the cluster's shared folder and reads them back, so a stage is computed once and a lost
-executor costs no earlier stage. Empty tables pass through; extra columns are kept up to the last stage.
+executor costs no earlier stage; a stage's rows are removed when the next one's are written. Empty tables pass through; extra columns are kept up to the last stage.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkflow.llm import bpe, decontamination, line_dedup, near_copies, quality_rules, warc
+from inkflow.llm import bpe, common, decontamination, line_dedup, near_copies, quality_rules, warc
 
 
 def by_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,4 +64,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if k:
+            common.remove_folder(spark, before)
+        before = path
     return docs
