@@ -35,9 +35,9 @@ from . import common as C
 WINDOW = 13
 GRAM = 2
 #: Buckets for each shuffle partition; a bucket is what one numpy sort works on.
-BUCKETS = 2
+BUCKETS = 4
 #: Cells that the windows of a bucket are counted by.
-CELLS = 8
+CELLS = 4
 #: Windows of a cell beyond which it may be hot; it is if it holds more than a bucket's share of all windows, too.
 HOT = 50_000
 
@@ -208,11 +208,13 @@ def repeated_runs(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa
             ids, text_hash, place, sizes, buf = (np.concatenate(v) for v in zip(*(_unpacked(v.as_py()) for v in table.column("packed").slice(a, b - a)), strict=True))
             off = np.append(0, np.cumsum(sizes))
             starts, ends, run = C.word_spans(buf, off)
-            one, two = _window_hashes(C.word_hashes(buf, starts, ends), window)
-            at = np.flatnonzero(run[: len(one)] == run[window - 1 :])
+            at = np.flatnonzero(run[: max(0, len(run) - window + 1)] == run[window - 1 :])
             own = run[at]
             ids, text_hash, place = ids[own], text_hash[own], place[own] + at - np.searchsorted(starts, off[:-1])[own]
-            gone = np.flatnonzero(_later(one[at], two[at], np.minimum(ids, _NULLS), at, (buf, starts, ends), window))
+            del run, own
+            one, two = (h[at] for h in _window_hashes(C.word_hashes(buf, starts, ends), window))
+            gone = np.flatnonzero(_later(one, two, np.minimum(ids, _NULLS), at, (buf, starts, ends), window))
+            del one, two
             if not len(gone):
                 continue
             ids, text_hash, place = ids[gone], text_hash[gone], place[gone]
