@@ -59,7 +59,7 @@ _LANES = range(32)
 
 
 def _votes() -> list[Column]:
-    return [F.shiftrightunsigned("h", b).bitwiseAND(F.lit(0x100000001).cast("long")).alias(f"v{b}") for b in _LANES]
+    return [F.shiftrightunsigned("h", b).bitwiseAND(F.lit(0x100000001).cast("long")) for b in _LANES]
 
 
 def _fingerprint(total: Column) -> Column:
@@ -114,11 +114,13 @@ def _windows(hits: DataFrame, similar: tuple[int, int]) -> DataFrame:
     return ranges.select(*_PAIR, "size", total.alias("total"), F.explode(F.sequence("s", "last")).alias("start"))
 
 
-def _window_fingerprints(spots: DataFrame, windows: DataFrame) -> DataFrame:
-    """(document, start, total, fp) of distinct windows, from running sums of the votes of (document, at, h)."""
+def _window_fingerprints(inside: DataFrame, windows: DataFrame) -> DataFrame:
+    """(document, start, total, fp) of distinct windows, from running sums of the votes of the documents' hashes."""
     so_far = Window.partitionBy(*_DOC).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = spots.select(*_DOC, "at", *_votes()).select(*_DOC, "at", *(F.sum(f"v{b}").over(so_far).alias(f"v{b}") for b in _LANES))
-    distinct = windows.select(*_DOC, "start", "total").distinct()
+    distinct = windows.select(*_DOC, "start", "total").distinct().checkpoint()
+    owners = _bounded(distinct.select(*_DOC).distinct().checkpoint())
+    spots = inside.join(owners, _DOC, "left_semi").select(*_DOC, F.posexplode("hs").alias("at", "h"))
+    sums = spots.select(*_DOC, "at", *(F.sum(v).over(so_far).alias(f"v{b}") for b, v in zip(_LANES, _votes(), strict=True)))
     ends = F.array(F.struct((F.col("start") + F.col("total") - 1).alias("at"), F.lit(1).alias("sign")), F.struct((F.col("start") - 1).alias("at"), F.lit(-1).alias("sign")))
     both = distinct.select(*_DOC, "start", "total", F.explode(ends).alias("e")).select(*_DOC, "start", "total", "e.at", "e.sign")
     votes = both.join(sums, [*_DOC, "at"]).groupBy(*_DOC, "start", "total").agg(*(F.sum(F.col(f"v{b}") * F.col("sign")).alias(f"v{b}") for b in _LANES))
@@ -151,16 +153,16 @@ def similar_windows(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, s
     source = C.texts(docs).withColumn("_text_hash", F.xxhash64("_text"))
     # (1) documents meet items on seeds
     met = hashed(source).select(*_DOC, F.explode("hs").alias("h")).join(_bounded(_seeds(item_counts, similar).checkpoint()), "h")
-    pairs = met.select(*_PAIR).distinct().checkpoint()
+    pairs = _bounded(met.select(*_PAIR).distinct().checkpoint())
     wanted = _bounded(pairs.select(*_DOC).distinct().checkpoint())
     inside = hashed(source.join(wanted, _DOC, "left_semi")).dropDuplicates(_DOC).checkpoint()
-    spots = inside.select(*_DOC, F.size("hs").alias("n"), F.posexplode("hs").alias("at", "h"))
     # (2) windows with as many hits as similarity asks for
-    hits = spots.join(pairs, _DOC).join(of_items, ["_item", "h"]).select(*_PAIR, "size", "n", "at", "h", "c").checkpoint()
+    spots = inside.join(pairs, _DOC).select(*_PAIR, F.size("hs").alias("n"), F.posexplode("hs").alias("at", "h"))
+    hits = spots.join(of_items, ["_item", "h"]).select(*_PAIR, "size", "n", "at", "h", "c").checkpoint()
     windows = _windows(hits, similar).checkpoint()
     # (3) fingerprints meet on blocks, and lie within the radius
-    left = windows.join(_window_fingerprints(spots, windows), [*_DOC, "start", "total"])
-    of_item = item_counts.select("_item", "size", "h", "c").select("_item", "size", "c", *_votes()).groupBy("_item", "size").agg(*(F.sum(F.col(f"v{b}") * F.col("c")).alias(f"v{b}") for b in _LANES))
+    left = windows.join(_window_fingerprints(inside, windows), [*_DOC, "start", "total"])
+    of_item = item_counts.groupBy("_item", "size").agg(*(F.sum(v * F.col("c")).alias(f"v{b}") for b, v in zip(_LANES, _votes(), strict=True)))
     blocks = of_item.select("_item", _fingerprint(F.col("size")).alias("fp")).select("_item", F.col("fp").alias("item_fp"), _blocks(radius).alias("b"))
     met_in_blocks = left.select(*_PAIR, "size", "total", "start", "fp", _blocks(radius).alias("b")).join(blocks, ["_item", "b"])
     close = met_in_blocks.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select(*_PAIR, "size", "total", "start").distinct()
