@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -106,6 +107,52 @@ def base_secrets(text: str | None) -> list[tuple[int, int, str]]:
     return [(kind, a, b) for a, _, b, kind in sorted(out)]
 
 
+ALPHABETS = {
+    "[0-9a-f]+": "0123456789abcdef", "[0-9A-F]+": "0123456789ABCDEF", "[A-Z2-7]+=*": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "[0-9a-z]+": "0123456789abcdefghijklmnopqrstuvwxyz",
+    "[0-9A-Z]+": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_-]+=*": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+}
+
+
+def log_p(token: str) -> float | None:
+    """The log of the battery's p-value, None for a token of no encoding."""
+    if not (re.search("[0-9]", token) and re.search("[A-Za-z]", token)):
+        return None
+    alphabet = next((a for p, a in ALPHABETS.items() if re.fullmatch(p, token)), None)
+    if alphabet is None:
+        return None
+    place = [alphabet.index({"-": "+", "_": "/"}.get(c, c)) / len(alphabet) for c in re.sub("=+$", "", token)]
+    n = len(place)
+    chi = 8 * sum(v * v for v in Counter(int(p * 8) for p in place).values()) / n - n
+    serial = abs(sum((a - 0.5) * (b - 0.5) for a, b in zip(place, place[1:], strict=False))) * 12 / math.sqrt(max(1, n - 1))
+    kinds = [0 if c.isupper() else 1 if c.islower() else 2 if c.isdigit() else 3 for c in token]
+    m = len(token) - 1
+    rate = min(max(sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / m, 1e-9), 1 - 1e-9)
+    root = math.sqrt(max(0, 2 * m * (rate * math.log(rate / 0.12) + (1 - rate) * math.log((1 - rate) / 0.88))))
+    even = (0.5 * n + 7 - chi) / math.sqrt(14 + 2 * n)
+    z = ((root if rate > 0.12 else -root) + 0.5 * even + 0.25 * (0.2 * math.sqrt(n) - serial)) / math.sqrt(1 + 0.25 + 0.0625)
+    normal = ((max(chi, 0) / 7) ** (1 / 3) - (1 - 2 / 63)) / math.sqrt(2 / 63)
+    return math.log(0.5) - z * z / 2 if z > 0 and normal <= 3.0902 and serial <= 3.0902 else 0.0
+
+
+def random_secrets(text: str | None) -> list[tuple]:
+    """Spans of kind random: the step-up over a text's tokens that touch no other span."""
+    taken = base_secrets(text)
+    tested = []
+    for m in re.finditer("(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}=*", text or ""):
+        p = log_p(m[0])
+        if p is not None and not any(a < m.end() and m.start() < b for _, a, b in taken):
+            tested.append((m.start(), m.end(), p))
+    mean = sum(b - a for a, b, _ in tested) / max(1, len(tested))
+    ordered = sorted((p - math.log((b - a) / mean), p, a, b) for a, b, p in tested)
+    top = max((k for k, x in enumerate(ordered, 1) if x[0] <= math.log(1e-4 * k / len(ordered))), default=0)
+    return sorted(("random", a, b) for _, p, a, b in ordered[:top] if p < 0)
+
+
+def all_spans(text: str | None) -> str:
+    rank = ("assign", "access", "hex", "random")
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(base_secrets(text) + random_secrets(text), key=lambda x: (x[1], rank.index(x[0]))))
+
+
 def edit_distance(a: str, b: str) -> int:
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -171,5 +218,5 @@ def contaminated(docs, items) -> set[tuple]:
 def kept_by_policy(text: str | None) -> bool:
     n, chars, symbols, dup, _, failed = rules(text)
     lines = sum(1 for x in (text or "").split("\n") if words_of(x))
-    pages = len(re.findall(r"\b(?:lorem ipsum|javascript|cookie policy|terms of use)\b", text or "", re.I | re.A))
-    return not (failed or 10 * symbols > 3 * n or (lines >= 4 and 10 * dup > 6 * lines) or (n >= 20 and (chars < 2 * n or chars > 20 * n or 20 * pages > n)))
+    marks, longest = len(re.findall(r"[\x21-\x40\x5B-\x60\x7B-\x7E]", text or "")), max(map(len, words_of(text)), default=0)
+    return not (failed or 10 * symbols > 3 * n or (lines >= 4 and 10 * dup > 6 * lines) or (n >= 20 and (chars < 2 * n or chars > 20 * n or 2 * marks > chars or 2 * longest > chars)))
