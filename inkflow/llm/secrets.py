@@ -4,14 +4,18 @@ Three kinds are found by their form (assign, access, hex). The method adds kind
 characters of an encoding's alphabet whose encoding is inferred (hex and base36 of either case, base32 or base64; the smallest alphabet
 that holds the token, with both letters and digits) and that pass as random:
 
-* alphabet uniformity: chi-squared of the characters over eight equal parts of the inferred alphabet;
-* runs: the runs of letters, digits and cases; text changes class at few places, so the probability of so many changes in
-  text is bounded by exp(-n KL(rate, TEXT_RATE)), an exact tail bound that depends on the token's length;
-* serial correlation of neighbouring characters' places in the alphabet.
-
-Uniformity and correlation must not reject randomness at level REJECT. The bound of the runs test is the p-value of "this is
-text"; false discoveries are controlled by the Benjamini-Hochberg step-up over the tokens of a document with weights in
-proportion to length, so that long tokens are asked for less. Every span comes from its own row: nothing is shuffled.
+* alphabet uniformity: chi-squared of the characters over eight equal parts of the inferred alphabet. Text uses an alphabet
+  unevenly, by TEXT_SPREAD of noncentrality a character or more;
+* runs: the runs of letters, digits and cases. Text changes class at a rate of TEXT_RATE or less; the deviate is the signed
+  root of the likelihood ratio;
+* serial correlation of neighbouring characters' places in the alphabet. Text stays within a class, so its neighbours
+  correlate by TEXT_SERIAL or more.
+
+Each test gives a normal deviate against "this is text"; they are combined by Stouffer's weighted sum into one p-value. A
+token whose uniformity or correlation rejects randomness itself at level REJECT has p-value 1. False discoveries are
+controlled by the Benjamini-Hochberg step-up at ALPHA over the tokens of one document, with weights in proportion to length,
+so that long tokens are asked for less. Control is by document, not over the table: of the documents with tokens but no
+secret, about ALPHA get a false span. Every span comes from its own row: nothing is shuffled.
 
 Positions are code points, ends exclusive. Matches are leftmost and do not overlap within a kind; they come from one
 lazy pattern that extracts each gap and match in turn, so a position is a sum of lengths. Texts without a match of a
@@ -41,8 +45,13 @@ TOKEN = "(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}=*"
 #: a short value of an assignment is dropped after it is matched, for what it covers must not match again.
 KINDS = (("assign", ASSIGN, 6), ("access", ACCESS, 0), ("hex", HEX, 0))
 
-#: Rate of class changes between neighbouring characters that text reaches at most.
+#: Rate of class changes between neighbouring characters that text reaches at most, the least noncentrality a character of
+#: its chi-squared, and the least correlation of its neighbours.
 TEXT_RATE = 0.12
+TEXT_SPREAD = 0.5
+TEXT_SERIAL = 0.2
+#: Weights of the runs, uniformity and serial deviates, by how well they tell short random tokens from text.
+WEIGHTS = (1.0, 0.5, 0.25)
 #: Level at which uniformity and serial correlation reject that a token is random.
 REJECT = 0.001
 #: False discovery rate over the tokens of a document.
@@ -101,8 +110,8 @@ def encoding_of(token: Column) -> Column:
     )
 
 
-def _uniform(places: Column) -> Column:
-    """Chi-squared over PARTS equal parts as an approximately normal deviate (Wilson and Hilferty)."""
+def _chi_squared(places: Column) -> Column:
+    """Chi-squared over PARTS equal parts of the alphabet."""
     n = F.size(places).cast("double")
 
     def part(k: int):
@@ -112,7 +121,11 @@ def _uniform(places: Column) -> Column:
     total = counts[0] * counts[0]
     for c in counts[1:]:
         total = total + c * c
-    chi = total * F.lit(float(PARTS)) / n - n
+    return total * F.lit(float(PARTS)) / n - n
+
+
+def _deviate(chi: Column) -> Column:
+    """A chi-squared of a uniform sequence as an approximately normal deviate (Wilson and Hilferty)."""
     df = float(PARTS - 1)
     return (F.pow(F.greatest(chi, F.lit(0.0)) / F.lit(df), F.lit(1 / 3)) - F.lit(1 - 2 / (9 * df))) / F.lit(math.sqrt(2 / (9 * df)))
 
@@ -124,14 +137,29 @@ def _serial(places: Column) -> Column:
     return F.abs(F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x)) * 12 / F.sqrt(F.greatest(n - 1, F.lit(1)).cast("double"))
 
 
-def _text_bound(token: Column) -> Column:
-    """log of a bound on the probability that text of this length changes class as often."""
+def _runs(token: Column) -> Column:
+    """The class changes of a token as a deviate from text, positive if there are more."""
     classes = F.translate(token, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", "A" * 26 + "a" * 26 + "0" * 10 + "+" * 5)
     n = F.length(token) - 1
     changes = n - F.length(classes) + F.length(F.regexp_replace(classes, r"(.)\1+", "$1"))
     rate = F.least(F.greatest(changes.cast("double") / n, F.lit(1e-9)), F.lit(1 - 1e-9))
     kl = rate * F.log(rate / F.lit(TEXT_RATE)) + (1 - rate) * F.log((1 - rate) / F.lit(1 - TEXT_RATE))
-    return F.when(rate > TEXT_RATE, -n * kl).otherwise(F.lit(0.0))
+    root = F.sqrt(F.greatest(2 * n * kl, F.lit(0.0)))
+    return F.when(rate > TEXT_RATE, root).otherwise(-root)
+
+
+def _log_p(token: Column, places: Column) -> Column:
+    """log of the p-value of "this is text" by the three tests together; 0 if the token can't be random."""
+    n = F.size(places).cast("double")
+
+    def combined(m: Column) -> Column:
+        even = (n * TEXT_SPREAD + (PARTS - 1) - m["chi"]) / F.sqrt(2.0 * (PARTS - 1) + 4 * TEXT_SPREAD * n)
+        apart = F.lit(TEXT_SERIAL) * F.sqrt(n) - m["serial"]
+        z = (WEIGHTS[0] * m["runs"] + WEIGHTS[1] * even + WEIGHTS[2] * apart) / F.lit(math.sqrt(sum(w * w for w in WEIGHTS)))
+        # the upper tail of a normal is at most half of exp(-z^2 / 2)
+        return F.when((z > 0) & (_deviate(m["chi"]) <= _Z) & (m["serial"] <= _Z), F.lit(math.log(0.5)) - z * z / 2).otherwise(F.lit(0.0))
+
+    return let(F.struct(_chi_squared(places).alias("chi"), _serial(places).alias("serial"), _runs(token).alias("runs")), combined)
 
 
 def random_spans(text: Column, taken: Column) -> Column:
@@ -145,7 +173,7 @@ def random_spans(text: Column, taken: Column) -> Column:
         free,
         lambda x: let(
             _characters(x["value"], x["encoding"]),
-            lambda p: F.struct(F.when((_uniform(p) <= _Z) & (_serial(p) <= _Z), _text_bound(x["value"])).otherwise(F.lit(0.0)).alias("log_p"), x["start"].alias("start"), x["end"].alias("end")),
+            lambda p: F.struct(_log_p(x["value"], p).alias("log_p"), x["start"].alias("start"), x["end"].alias("end")),
         ),
     )
 

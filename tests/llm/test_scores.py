@@ -69,8 +69,10 @@ def test_secrets(spark):
 def test_secrets_in_documents(spark, sf):
     df = spark.read.parquet(f"{sf}/documents.parquet")
     got = {r.doc_id: r.base for r in secrets.scan_secrets(df).collect()}
+    spans = {r.doc_id: r.spans for r in secrets.scan_secrets(df).collect()}
     for r in df.collect():
         assert got[r.doc_id] == ",".join(f"{k}:{a}:{b}" for k, a, b in brute.base_secrets(r.text))
+        assert spans[r.doc_id] == brute.all_spans(r.text)
 
 
 def test_decontamination(spark):
