@@ -203,8 +203,8 @@ ic as (select item_id, size, g, count(*) as c from (select item_id, size, w[o +
 hit as (select d.doc_id, d.n, ic.item_id, ic.size, d.p, d.g, ic.c from d join ic on d.g = ic.g),
 place as (select doc_id, n, item_id, size, g, c, unnest(range(greatest(0, p - size + 1), least(p, greatest(0, n - size)) + 1)) as s from hit),
 shared as (select doc_id, n, item_id, size, s, least(count(*), c) as k from place group by doc_id, n, item_id, size, s, g, c),
-com as (select doc_id, item_id, s, least(size, n) + size as both, sum(k) as common from shared group by doc_id, item_id, s, size, n)
-select doc_id, item_id, cast(common as bigint) as common, cast(both - common as bigint) as total, cast(s as bigint) as start_word from com
-where common * 10 >= (both - common) * 8
-qualify row_number() over (partition by doc_id, item_id order by common / (both - common) desc, s) = 1
+com as (select doc_id, item_id, s, least(size, n) + size as sizes, sum(k) as common from shared group by doc_id, item_id, s, size, n)
+select doc_id, item_id, cast(common as bigint) as common, cast(sizes - common as bigint) as total, cast(s as bigint) as start_word from com
+where common * 10 >= (sizes - common) * 8
+qualify row_number() over (partition by doc_id, item_id order by common / (sizes - common) desc, s) = 1
 """
