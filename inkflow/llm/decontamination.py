@@ -116,14 +116,16 @@ def _windows(hits: DataFrame, similar: tuple[int, int]) -> DataFrame:
 
 def _window_fingerprints(inside: DataFrame, windows: DataFrame) -> DataFrame:
     """(document, start, total, fp) of distinct windows, from running sums of the votes of the documents' hashes."""
-    so_far = Window.partitionBy(*_DOC).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     distinct = windows.select(*_DOC, "start", "total").distinct().checkpoint()
     owners = _bounded(distinct.select(*_DOC).distinct().checkpoint())
-    spots = inside.join(owners, _DOC, "left_semi").select(*_DOC, F.posexplode("hs").alias("at", "h"))
-    sums = spots.select(*_DOC, "at", *(F.sum(v).over(so_far).alias(f"v{b}") for b, v in zip(_LANES, _votes(), strict=True)))
+    none = F.lit(None).cast("int")
+    spots = inside.join(owners, _DOC, "left_semi").select(*_DOC, F.posexplode("hs").alias("at", "h")).select("*", none.alias("start"), none.alias("total"), none.alias("sign"))
     ends = F.array(F.struct((F.col("start") + F.col("total") - 1).alias("at"), F.lit(1).alias("sign")), F.struct((F.col("start") - 1).alias("at"), F.lit(-1).alias("sign")))
-    both = distinct.select(*_DOC, "start", "total", F.explode(ends).alias("e")).select(*_DOC, "start", "total", "e.at", "e.sign")
-    votes = both.join(sums, [*_DOC, "at"]).groupBy(*_DOC, "start", "total").agg(*(F.sum(F.col(f"v{b}") * F.col("sign")).alias(f"v{b}") for b in _LANES))
+    asked = distinct.select(*_DOC, "start", "total", F.explode(ends).alias("e")).select(*_DOC, "e.at", F.lit(None).cast("long").alias("h"), "start", "total", "e.sign")
+    # the windows' ends are rows among the hashes, so sums of 32 numbers are made where they are asked for
+    so_far = Window.partitionBy(*_DOC).orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = spots.unionByName(asked).select(*_DOC, "start", "total", "sign", *(F.sum(v).over(so_far).alias(f"v{b}") for b, v in zip(_LANES, _votes(), strict=True)))
+    votes = sums.filter(F.col("start").isNotNull()).groupBy(*_DOC, "start", "total").agg(*(F.sum(F.col(f"v{b}") * F.col("sign")).alias(f"v{b}") for b in _LANES))
     return votes.select(*_DOC, "start", "total", _fingerprint(F.col("total")).alias("fp"))
 
 
@@ -152,7 +154,8 @@ def similar_windows(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, s
 
     source = C.texts(docs).withColumn("_text_hash", F.xxhash64("_text"))
     # (1) documents meet items on seeds
-    met = hashed(source).select(*_DOC, F.explode("hs").alias("h")).join(_bounded(_seeds(item_counts, similar).checkpoint()), "h")
+    # (explode would have its array computed once more, to leave out rows of none)
+    met = hashed(source).select(*_DOC, F.explode_outer("hs").alias("h")).join(_bounded(_seeds(item_counts, similar).checkpoint()), "h")
     pairs = _bounded(met.select(*_PAIR).distinct().checkpoint())
     wanted = _bounded(pairs.select(*_DOC).distinct().checkpoint())
     inside = hashed(source.join(wanted, _DOC, "left_semi")).dropDuplicates(_DOC).checkpoint()
