@@ -5,8 +5,8 @@ return the columns of documents:
 
 1. quality_rules: rows that fail the policy ("web", 2) go;
 2. line_dedup: repeated and nearly repeated lines are taken out of texts (n_chars follows), no row goes;
-3. simhash_near_dedup: of each group of near copies (0.8 or more of their five-word shingles) the row of the least doc_id
-   stays;
+3. simhash_near_dedup: of each group of near copies (fingerprints of five-word shingles within RADIUS bits) the row of the
+   least doc_id stays;
 4. benchmark_decontamination: rows whose text holds a near copy of a benchmark item go;
 5. bpe: doc_id, n_tokens, ids (little-endian unsigned 32-bit) and the SHA-256 of the decoded text.
 
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkflow.llm import bpe, common, decontamination, line_dedup, near_copies, quality_rules, warc
+from inkflow.llm import bpe, common, decontamination, line_dedup, quality_rules, simhash, warc
 
 
 def by_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def by_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def by_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_copies.near_dedup(docs)
+    return simhash.simhash_dedup(docs, SHINGLE, RADIUS)
 
 
 def by_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,6 +42,10 @@ def by_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, bpe.vocabulary(), REMEMBERED).select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+#: Five-word shingles, and the bits in which their fingerprints may differ. Pairs of similarity s differ in about 64 / pi *
+#: arccos(2 s / (1 + s)) bits; larger radii need keys so short that unrelated texts meet.
+SHINGLE, RADIUS = 5, 6
+
 #: Fewer words are remembered than in a job of its own, for the workers keep their memory between stages.
 REMEMBERED = 40_000
 
