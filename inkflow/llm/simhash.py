@@ -8,7 +8,7 @@ is verified and a run emits one link for each fingerprint (to the least of its v
 become components by alternating star contractions over DataFrames.
 
 Documents of one fingerprint are one node, so exact copies never meet. A run of n fingerprints costs n^2 / 2 comparisons
-up to DENSE, and about radius^2 * 1,000 look-ups for each fingerprint beyond. Runs of over LARGE fingerprints, which are
+up to DENSE, and at a radius of 1 or 2 about radius^2 * 1,000 look-ups for each fingerprint beyond. Runs of over LARGE fingerprints, which are
 counted first, are split by two blocks of their open bits in the same way, so a large family is no single task.
 
 Defined results: a null or empty text has fingerprint zero, linked like any other; a text of under three words is one
@@ -33,6 +33,8 @@ SHINGLE = 3
 RADIUS = 2
 SEED = 42
 DENSE = 2_000
+#: Pairs that a task holds before it joins their groups.
+HELD = 1_000_000
 #: Fingerprints of a run beyond which it is split further.
 LARGE = 50_000
 
@@ -66,25 +68,6 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return C.texts(docs).mapInArrow(lambda it: _fingerprints(it, shingle), "_id long, fp long")
 
 
-def _close_in_runs(values: np.ndarray, run: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of pairs of one run whose values differ in at most `radius` bits; runs are contiguous."""
-    n, found = len(values), []
-    step = 1
-    alive = np.arange(n)
-    while True:
-        alive = alive[alive + step < n]
-        alive = alive[run[alive] == run[alive + step]]
-        if not len(alive):
-            break
-        hit = alive[np.bitwise_count(values[alive] ^ values[alive + step]) <= radius]
-        if len(hit):
-            found.append((hit, hit + step))
-        step += 1
-    if not found:
-        return (np.empty(0, np.int64),) * 2
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
-
-
 def _least_labels(n: int, a: np.ndarray, b: np.ndarray, labels: np.ndarray | None = None) -> np.ndarray:
     """The least index of each index's component."""
     labels = np.arange(n) if labels is None else labels
@@ -105,6 +88,30 @@ def _least_labels(n: int, a: np.ndarray, b: np.ndarray, labels: np.ndarray | Non
     return labels
 
 
+def _labels_of_runs(values: np.ndarray, run: np.ndarray, radius: int) -> np.ndarray:
+    """The least index that each value is connected to by values of its run within `radius` bits; runs are contiguous."""
+    n, labels = len(values), np.arange(len(values))
+    found, held = [], 0
+    step = 1
+    alive = np.arange(n)
+    while True:
+        alive = alive[alive + step < n]
+        alive = alive[run[alive] == run[alive + step]]
+        if not len(alive):
+            break
+        hit = alive[np.bitwise_count(values[alive] ^ values[alive + step]) <= radius]
+        if len(hit):
+            found.append((hit, hit + step))
+            held += len(hit)
+        if held > HELD:
+            labels = _least_labels(n, *(np.concatenate(x) for x in zip(*found, strict=True)), labels)
+            found, held = [], 0
+        step += 1
+    if found:
+        labels = _least_labels(n, *(np.concatenate(x) for x in zip(*found, strict=True)), labels)
+    return labels
+
+
 def _dense_labels(values: np.ndarray, radius: int) -> np.ndarray:
     """As _least_labels, for one large run of distinct ascending values: each looks up its neighbours' values."""
     bits = [np.uint64(1 << b) for b in range(64) if len(np.unique((values >> np.uint64(b)) & np.uint64(1))) > 1]
@@ -132,14 +139,14 @@ def links_in_tables(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[
         first = np.flatnonzero(new)
         size = np.diff(np.append(first, len(t)))
         run = np.cumsum(new) - 1
-        small = np.flatnonzero((size[run] > 1) & (size[run] <= DENSE))
+        dense = DENSE if radius <= 2 else len(t)
+        small = np.flatnonzero((size[run] > 1) & (size[run] <= dense))
         out = []
         if len(small):
-            a, b = _close_in_runs(values[small], run[small], radius)
-            labels = _least_labels(len(small), a, b)
+            labels = _labels_of_runs(values[small], run[small], radius)
             moved = np.flatnonzero(labels != np.arange(len(small)))
             out.append((fp[small[moved]], fp[small[labels[moved]]]))
-        for k in np.flatnonzero(size > DENSE):
+        for k in np.flatnonzero(size > dense):
             own = slice(first[k], first[k] + size[k])
             order = np.argsort(values[own])
             labels = _dense_labels(values[own][order], radius)
@@ -176,8 +183,8 @@ def close_links(values: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def _finer(t: int, tables: int, fixed: int, radius: int):
-    """Sub-tables of table t: its bits and two of radius + 2 blocks of the others; what stays open is a fourth of 64 bits
-    at radius 2, so that no run holds over 65,536 different fingerprints."""
+    """Sub-tables of table t: its bits and two of radius + 2 blocks of the others; at radius 2, a fourth of the 64 bits
+    stay open, so that no run holds over 65,536 different fingerprints."""
     rest = [b for b in range(64) if not fixed >> b & 1]
     blocks = radius + 2
     cuts = [len(rest) * k // blocks for k in range(blocks + 1)]

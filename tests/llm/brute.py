@@ -65,11 +65,11 @@ def lower(text: str) -> str:
     return re.sub("[A-Z]+", lambda m: m[0].lower(), text)
 
 
-def fingerprint(text: str | None) -> int:
+def fingerprint(text: str | None, shingle: int = 3) -> int:
     w = words_of(lower(text or ""))
     if not w:
         return 0
-    shingles = [" ".join(w[k : k + 3]) for k in range(max(1, len(w) - 2))]
+    shingles = [" ".join(w[k : k + shingle]) for k in range(max(1, len(w) - shingle + 1))]
     h = [xxhash.xxh64_intdigest(s.encode(), seed=42) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 

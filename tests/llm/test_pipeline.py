@@ -25,8 +25,8 @@ def test_run(spark, tables):
     folder, items = tables
     rows = [r[:2] for r in corpus() if brute.kept_by_policy(r[1])]
     rows = [(i, None if t is None else kept) for (i, t), (_, _, _, kept) in zip(rows, brute.lines(rows), strict=True)]
-    values = [(i, brute.fingerprint(t)) for i, t in rows]
-    least = brute.components(values)
+    values = [(i, brute.fingerprint(t, corpus_pipeline.SHINGLE)) for i, t in rows]
+    least = brute.components(values, corpus_pipeline.RADIUS)
     first = {brute.NO_ID if i is None else i for (i, v) in values if least[v] == (brute.NO_ID if i is None else i)}
     one: dict = {}
     for i, t in rows:
@@ -56,3 +56,19 @@ def test_stages(spark, tables):
         assert name == "bpe" or out.dtypes == docs.dtypes
         empty = stage(spark, docs.limit(0), folder)
         assert empty.collect() == [] and empty.columns == out.columns
+
+
+def test_recall_of_near_dedup():
+    """Of near copies at 0.95 of their five-word shingles most lie within the radius, at 0.8 few do; unrelated texts don't."""
+    rng = np.random.default_rng(7)
+    caught = {}
+    for share in (0.8, 0.9, 0.95):
+        near = []
+        for _ in range(150):
+            w = [f"w{x}" for x in rng.integers(0, 10**6, 400)]
+            n = round(396 * (1 - share) / (1 + share))  # shingles that differ on either side
+            v = w[:-n] + [f"x{x}" for x in rng.integers(0, 10**6, n)]
+            a, b = (brute.fingerprint(" ".join(t), corpus_pipeline.SHINGLE) for t in (w, v))
+            near.append((a ^ b).bit_count() <= corpus_pipeline.RADIUS)
+        caught[share] = np.mean(near)
+    assert caught[0.8] < 0.4 and caught[0.9] > 0.35 and caught[0.95] > 0.7, caught
