@@ -27,7 +27,9 @@ def is_object(v: Column) -> Column:
 def metadata_of(text: Column) -> Column:
     """Metadata as given: `{}` for blank or null, null where it is not a JSON object."""
     own = F.when(F.trim(F.coalesce(text, F.lit(""))) == "", F.lit("{}")).otherwise(text)
-    return F.when(is_object(parsed(own)), own)
+    # the parser takes what follows a whole value; within a list it does not
+    alone = F.size(F.try_variant_get(parsed(F.concat(F.lit("["), own, F.lit("]"))), "$", "array<variant>")) == 1
+    return F.when(is_object(parsed(own)) & alone, own)
 
 
 def _path(key: str) -> str:

@@ -44,3 +44,8 @@ def injected(docs: DataFrame, captions: DataFrame, key: str = "doc_id", text: st
     rows = rows.unionByName(lines.select(key, "line", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("rank"), F.lit(0).cast("long").alias("ordinal"), "content"))
     whole = rows.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "kind", "rank", "ordinal", "content"))), lambda x: x["content"]), "\n").alias("_with"))
     return docs.join(whole, key, "left").select(*(F.coalesce("_with", text).alias(text) if c == text else c for c in docs.columns))
+
+
+def caption_pages(captions: DataFrame, *keys: str, page: str = "page") -> DataFrame:
+    """The distinct pages that have captions, ascending, and the number of captions of each group."""
+    return captions.groupBy(*keys).agg(F.array_sort(F.collect_set(page)).alias("pages"), F.count(F.lit(1)).alias("n"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,6 +59,68 @@ def vector_search(chunks: DataFrame, query: Sequence[float], k: int, metric: str
     return top(own.drop(embedding), "distance", k, key, False)
 
 
+#: Queries that one scan of the chunks answers; it bounds what is sent to every task.
+QUERY_BLOCK = 1_000
+
+
+def vector_search_many(chunks: DataFrame, queries: DataFrame, k: int, metric: str = "l2", filters=None, by: str | None = None, key: str = "id", embedding: str = "embedding") -> DataFrame:
+    """(query_id, key, distance) of the k nearest chunks of each row (query_id, embedding) of queries; ties go to the lesser
+    key. by: a column of chunks, to give k for each of its values.
+
+    Queries are sent to the tasks in blocks of QUERY_BLOCK; a task keeps the k best of each query and value, so at most
+    those are shuffled.
+    """
+    groups = [by] if by else []
+    own = json_filter.filtered(chunks, filters).select(F.col(key).alias("_key"), F.col(embedding).alias("_v"), *(F.col(by).cast("string").alias("_by") for by in groups))
+    ids = queries.select(F.col("query_id").cast("long").alias("query_id")).filter("query_id is not null")
+    blocks = max(1, -(-ids.count() // QUERY_BLOCK))
+    schema = f"query_id long, _key {dict(own.dtypes)['_key']}, distance double" + ", _by string" * len(groups)
+    parts = []
+    for b in range(blocks):
+        rows = queries.filter(F.pmod(F.xxhash64(F.col("query_id").cast("long")), F.lit(blocks)) == b).select("query_id", embedding).filter(F.col(embedding).isNotNull()).toArrow()
+        wanted, vectors_ = rows.column("query_id").to_numpy(), np.array(rows.column(embedding).to_pylist(), np.float64)
+        parts.append(own.filter("_v is not null").mapInArrow(lambda it, w=wanted, q=vectors_: _nearest(it, w, q, k, metric, bool(groups)), schema))
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    best = Window.partitionBy("query_id", *(["_by"] if groups else [])).orderBy("distance", "_key")
+    top_k = found.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= k)
+    return top_k.select("query_id", F.col("_key").alias(key), "distance", *(F.col("_by").alias(by) for by in groups))
+
+
+def _nearest(batches, ids: np.ndarray, queries: np.ndarray, k: int, metric: str, grouped: bool):
+    """Of each query (and group), the k nearest rows of a task."""
+    best: dict = {}
+    for batch in batches:
+        if not batch.num_rows or not len(ids):
+            continue
+        keys = batch.column("_key").to_pylist()
+        groups = batch.column("_by").to_pylist() if grouped else [None] * len(keys)
+        v = np.array(batch.column("_v").to_pylist(), np.float64)
+        for j, (i, q) in enumerate(zip(ids.tolist(), queries, strict=True)):
+            if metric == "l2":
+                d = np.sqrt(((v - q) ** 2).sum(axis=1))
+            else:
+                d = 1 - (v @ q) / np.maximum(np.sqrt((v * v).sum(axis=1)) * np.sqrt(q @ q), 1e-300)
+            for g in set(groups):
+                rows = [r for r in range(len(keys)) if groups[r] == g] if grouped else range(len(keys))
+                some = np.fromiter(rows, np.int64)
+                if len(some) > k:
+                    worst = np.partition(d[some], k - 1)[k - 1]
+                    some = some[d[some] <= worst]
+                best[j, g] = sorted(best.get((j, g), []) + [(float(d[r]), keys[r]) for r in some.tolist()])[:k]
+    out = [(int(ids[j]), key, d, *([g] if grouped else [])) for (j, g), own in best.items() for d, key in own]
+    names = ["query_id", "_key", "distance", *(["_by"] if grouped else [])]
+    if out:
+        yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*out, strict=True)), strict=True)))
+
+
+def joined_context(turns: DataFrame, *keys: str, order: str, content: str, name: str = "context", between: str = "\n\n") -> DataFrame:
+    """One text for each group: its contents in order, a blank line between them, and their number `n`."""
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(content).alias("x"))))
+    return turns.groupBy(*keys).agg(F.array_join(F.transform(rows, lambda r: r["x"]), between).alias(name), F.count(F.lit(1)).alias("n"))
+
+
 def hybrid_search(
     chunks: DataFrame, query: Sequence[float], terms: Sequence[str], k: int, filters=None, metric: str = "l2", scorer: str = "bm25", key: str = "id", lex: str = "content_lex", embedding: str = "embedding", settings: Settings = DEFAULTS,
 ) -> DataFrame:

@@ -327,23 +327,42 @@ _V = "cast(embedding as double[])"
 _Q = "(select cast(embedding as double[]) from embeddings where vec_id = 0)"
 
 
-@query(f"select vec_id, round(list_distance({_V}, {_Q}), 6) as distance from embeddings order by list_distance({_V}, {_Q}), vec_id limit 10")
+def _query_rows(spark, sf) -> DataFrame:
+    """The stated queries: every vector whose id is divisible by 50."""
+    return table(spark, sf, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def _many_sql(distance: str, k: int, by: str = "", where: str = "true") -> str:
+    return f"""
+with q as (select vec_id as query_id, cast(embedding as double[]) as q from embeddings where vec_id % 50 = 0),
+d as (select query_id, vec_id, label, {distance} as d from q, (select vec_id, label, cast(embedding as double[]) as v from embeddings where {where}) as e)
+select query_id, vec_id{by}, round(d, 6) as distance from d qualify row_number() over (partition by query_id{by} order by d, vec_id) <= {k}"""
+
+
+def _found(spark, sf, k: int, metric: str, filters=None, by: str | None = None) -> DataFrame:
+    own = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", "embedding", F.to_json(F.struct("label")).alias("metadata"))
+    found = retrieval.vector_search_many(own, _query_rows(spark, sf), k, metric, filters, by)
+    return found.select("query_id", F.col("id").alias("vec_id"), *([F.col("label").cast("int").alias("label")] if by else []), F.round("distance", 6).alias("distance"))
+
+
+@query(_many_sql("list_distance(v, q)", 10))
 def vec_l2_topk(spark, sf):
-    own = table(spark, sf, "embeddings").withColumnRenamed("vec_id", "id")
-    return retrieval.vector_search(own, _query_vector(spark, sf), 10, "l2").select(F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"))
+    return _found(spark, sf, 10, "l2")
 
 
-@query(f"select vec_id, round(1 - list_cosine_similarity({_V}, {_Q}), 6) as distance from embeddings order by 1 - list_cosine_similarity({_V}, {_Q}), vec_id limit 10")
+@query(_many_sql("1 - list_cosine_similarity(v, q)", 10))
 def vec_cosine_topk(spark, sf):
-    own = table(spark, sf, "embeddings").withColumnRenamed("vec_id", "id")
-    return retrieval.vector_search(own, _query_vector(spark, sf), 10, "cosine").select(F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"))
+    return _found(spark, sf, 10, "cosine")
 
 
-@query(f"select vec_id, label, round(list_distance({_V}, {_Q}), 6) as distance from embeddings qualify row_number() over (partition by label order by list_distance({_V}, {_Q}), vec_id) <= 3")
+@query(_many_sql("list_distance(v, q)", 3, ", label"))
 def vec_topk_by_label(spark, sf):
-    own = table(spark, sf, "embeddings").select("vec_id", "label", vectors.l2_distance(F.col("embedding"), vectors.literal(_query_vector(spark, sf))).alias("d"))
-    ranked = own.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("d", "vec_id")))
-    return ranked.filter("k <= 3").select("vec_id", "label", F.round("d", 6).alias("distance"))
+    return _found(spark, sf, 3, "l2", by="label")
+
+
+@query(_many_sql("1 - list_cosine_similarity(v, q)", 5, where="label = 3"))
+def vec_filtered_topk(spark, sf):
+    return _found(spark, sf, 5, "cosine", {"label": 3})
 
 
 @query("select event_id, user_id from events where try_cast(json_extract_string(props, '$.k') as double) = 42 and json_type(props, '$.k') in ('BIGINT', 'UBIGINT', 'DOUBLE')")
@@ -415,11 +434,11 @@ def hybrid_null_tsv(spark, sf):
 
 @query(f"""
 with t as (select doc_id, unnest({_WORDS}) as term, unnest(range(len({_WORDS}))) as p from documents)
-select term, doc_id, cast(count(*) as int) as tf, cast(min(p) as int) as first from t where term in ({", ".join(repr(t) for t in TERMS)}) group by all
+select term, doc_id, cast(count(*) as int) as tf, md5(string_agg(p::varchar, ',' order by p)) as positions from t group by term, doc_id
 """)
 def inverted_index(spark, sf):
     own = index.inverted_index(table(spark, sf, "documents").select("doc_id", lexical.words(F.col("text")).alias("lex")), "doc_id", "lex")
-    return own.filter(F.col("term").isin(*TERMS)).select("term", "doc_id", "tf", F.get("positions", F.lit(0)).alias("first"))
+    return own.select("term", "doc_id", "tf", F.md5(F.array_join(F.col("positions").cast("array<string>"), ",")).alias("positions"))
 
 
 @query(f"with t as (select doc_id, {_WORDS} as w from documents) select doc_id, cast({_TF['et']} + {_TF['et'].replace("'et'", "'la'")} as bigint) as tf from t where {_TF['et']} > 0 and {_TF['et'].replace("'et'", "'la'")} > 0")
@@ -591,10 +610,10 @@ def _catalogue(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Orders as documents and their lines as chunks."""
     orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("timestamp").alias("uploaded_at"), F.when(F.col("o_orderkey") % 4 != 0, F.to_json(F.struct(F.col("o_orderpriority").alias("priority")))).alias("metadata"))
     lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("document_id"), "l_linenumber")
-    return orders, lines.filter("document_id % 5 <> 0")
+    return orders, lines
 
 
-@query("select o_orderkey as id, cast(coalesce(n, 0) as bigint) as chunk_count from orders left join (select l_orderkey, count(*) as n from lineitem where l_orderkey % 5 <> 0 group by l_orderkey) on l_orderkey = o_orderkey")
+@query("select o_orderkey as id, cast(coalesce(n, 0) as bigint) as chunk_count from orders left join (select l_orderkey, count(*) as n from lineitem group by l_orderkey) on l_orderkey = o_orderkey")
 def doc_chunk_counts(spark, sf):
     documents, chunks = _catalogue(spark, sf)
     return catalog.with_chunk_counts(documents, chunks).select("id", "chunk_count")
@@ -602,7 +621,7 @@ def doc_chunk_counts(spark, sf):
 
 @query("""
 with p as (select o_orderkey as id, o_orderdate from orders order by o_orderdate desc nulls first, o_orderkey limit 100 offset 40)
-select id, cast((select count(*) from lineitem where l_orderkey = id and l_orderkey % 5 <> 0) as bigint) as chunk_count from p
+select id, cast((select count(*) from lineitem where l_orderkey = id) as bigint) as chunk_count from p
 """)
 def doc_page(spark, sf):
     documents, chunks = _catalogue(spark, sf)
@@ -618,7 +637,7 @@ def doc_totals(spark, sf):
 
 @query("""
 select 'documents' as kind, count(*) as n from orders where o_custkey % 10 <> 3
-union all select 'chunks', count(*) from lineitem where l_orderkey % 5 <> 0 and l_orderkey not in (select o_orderkey from orders where o_custkey % 10 = 3)
+union all select 'chunks', count(*) from lineitem where l_orderkey not in (select o_orderkey from orders where o_custkey % 10 = 3)
 """)
 def delete_cascade(spark, sf):
     documents, chunks = _catalogue(spark, sf)
@@ -639,14 +658,14 @@ def doc_filter(spark, sf):
     return json_filter.filtered(documents, {"priority": "1-URGENT"}).select("id")
 
 
-@query("select l_orderkey as document_id, cast(l_linenumber as int) as line, case when o_orderkey % 4 = 0 then null else '{\"priority\":\"' || o_orderpriority || '\"}' end as metadata from lineitem join orders on o_orderkey = l_orderkey where l_orderkey % 5 <> 0")
+@query("select l_orderkey as document_id, cast(l_linenumber as int) as line, case when o_orderkey % 4 = 0 then null else '{\"priority\":\"' || o_orderpriority || '\"}' end as metadata from lineitem join orders on o_orderkey = l_orderkey")
 def update_join(spark, sf):
     documents, chunks = _catalogue(spark, sf)
     own = catalog.inherited(chunks.withColumn("metadata", F.lit("old")), documents)
     return own.select("document_id", F.col("l_linenumber").cast("int").alias("line"), "metadata")
 
 
-@query("select cast(sum(n) as bigint) as chunks_of_page from (select count(l_orderkey) as n from (select o_orderkey from orders order by o_orderdate desc nulls first, o_orderkey limit 100) left join lineitem on l_orderkey = o_orderkey and l_orderkey % 5 <> 0 group by o_orderkey)")
+@query("select cast(sum(n) as bigint) as chunks_of_page from (select count(l_orderkey) as n from (select o_orderkey from orders order by o_orderdate desc nulls first, o_orderkey limit 100) left join lineitem on l_orderkey = o_orderkey group by o_orderkey)")
 def page_total(spark, sf):
     documents, chunks = _catalogue(spark, sf)
     return catalog.listed(documents, chunks)[0].agg(F.sum("chunk_count").alias("chunks_of_page"))
@@ -660,13 +679,13 @@ def json_responses(spark, sf):
 @query("select conv_id, list_sort(list_distinct(list(cast(turn // 3 + 1 as int)))) as pages, count(*) as n from conversations group by conv_id")
 def caption_pages(spark, sf):
     own = table(spark, sf, "conversations").withColumn("page", (F.floor(F.col("turn") / 3) + 1).cast("int"))
-    return own.groupBy("conv_id").agg(F.array_sort(F.collect_set("page")).alias("pages"), F.count(F.lit(1)).alias("n"))
+    return captions.caption_pages(own, "conv_id")
 
 
 @query("""select conv_id, md5(string_agg(role || ': ' || text, chr(10) || chr(10) order by turn)) as context, count(*) as turns from conversations group by conv_id""")
 def context_join(spark, sf):
-    own = F.array_sort(F.collect_list(F.struct("turn", F.concat_ws(": ", "role", "text").alias("x"))))
-    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.md5(F.array_join(F.transform(own, lambda x: x["x"]), "\n\n")).alias("context"), F.count(F.lit(1)).alias("turns"))
+    own = table(spark, sf, "conversations").withColumn("said", F.concat_ws(": ", "role", "text"))
+    return retrieval.joined_context(own, "conv_id", order="turn", content="said").select("conv_id", F.md5("context").alias("context"), F.col("n").alias("turns"))
 
 
 @query("""

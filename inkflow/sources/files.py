@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
@@ -67,10 +68,18 @@ def docx_parts(content: bytes) -> tuple[list[str], list[list[list[str]]]]:
     return paragraphs, tables
 
 
+def readable(content: bytes | None) -> tuple[list[str], list[list[list[str]]]]:
+    """docx_parts, and nothing for a file that is no docx: it is rejected as empty, and others go on."""
+    try:
+        return docx_parts(content) if content is not None else ([], [])
+    except (zipfile.BadZipFile, KeyError, AttributeError, ElementTree.ParseError, EOFError, zlib.error):
+        return [], []
+
+
 @F.pandas_udf(html.TEXT_AND_TABLES)
 def _docx(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for contents in batches:
-        parts = [docx_parts(c) if c is not None else ([], []) for c in contents]
+        parts = [readable(c) for c in contents]
         yield pd.DataFrame({"text": ["\n".join(p) for p, _ in parts], "tables": [t for _, t in parts]})
 
 
