@@ -24,8 +24,7 @@ def last(text: Column, n: int) -> Column:
     """The last n tokens of a text; the whole text if it has no more."""
     if n <= 0:
         return F.lit("")
-    own = tokens(text)
-    return F.when(F.size(own) <= n, text).otherwise(F.array_join(F.slice(own, -n, n), ""))
+    return F.transform(F.array(tokens(text)), lambda own: F.when(F.size(own) <= n, text).otherwise(F.array_join(F.slice(own, -n, n), "")))[0]
 
 
 def windows(text: Column, size: int, overlap: int) -> Column:

@@ -37,22 +37,29 @@ def _pack(parts: Column, sep: str, most: int, overlap: int, too_large: Callable[
     A part over `most` closes the open chunk and becomes the pieces of too_large(part). A chunk that is closed for lack of
     room passes its last `overlap` tokens on to the next.
     """
-    sized = F.transform(parts, lambda p: F.struct(p.alias("text"), K.count(p).alias("n"), F.when(K.count(p) > most, too_large(p)).otherwise(_empty()).alias("pieces")))
+    # values that are used more than once are bound by a transform of one element, for lambdas have no common subexpressions
+    counted = F.transform(parts, lambda p: F.struct(p.alias("text"), K.count(p).alias("n")))
+    sized = F.transform(counted, lambda c: F.struct(c["text"].alias("text"), c["n"].alias("n"), F.when(c["n"] > most, too_large(c["text"])).otherwise(_empty()).alias("pieces")))
 
     def closed(a: Column) -> Column:
         return F.when(a["open"].isNull(), a["done"]).otherwise(F.array_append(a["done"], a["open"]))
 
+    def state(text: Column, n: Column, done: Column) -> Column:
+        return F.struct(text.alias("open"), n.alias("n"), done.alias("done"))
+
     def step(a: Column, p: Column) -> Column:
-        tail = K.last(a["open"], overlap)
-        begun = F.when(tail == "", p["text"]).otherwise(F.concat(tail, F.lit(sep), p["text"]))
-        split = p["n"] > most
-        full = a["open"].isNotNull() & (a["n"] + p["n"] > most)
+        def begun(tail: Column) -> Column:
+            return F.when(tail == "", p["text"]).otherwise(F.concat(tail, F.lit(sep), p["text"]))
+
+        if overlap:
+            texts = F.transform(F.transform(F.array(K.last(a["open"], overlap)), begun), lambda t: state(t, K.count(t), closed(a)))
+            next_chunk = texts[0]
+        else:
+            next_chunk = state(p["text"], p["n"], closed(a))
         added = F.when(a["open"].isNull(), p["text"]).otherwise(F.concat(a["open"], F.lit(sep), p["text"]))
-        return F.struct(
-            F.when(split, _no_text()).when(full, begun).otherwise(added).alias("open"),
-            F.when(split, F.lit(0)).when(full, K.count(begun) if overlap else p["n"]).otherwise(a["n"] + p["n"]).alias("n"),
-            F.when(split, F.concat(closed(a), p["pieces"])).when(full, closed(a)).otherwise(a["done"]).alias("done"),
-        )
+        split = state(_no_text(), F.lit(0), F.concat(closed(a), p["pieces"]))
+        full = a["open"].isNotNull() & (a["n"] + p["n"] > most)
+        return F.when(p["n"] > most, split).when(full, next_chunk).otherwise(state(added, a["n"] + p["n"], a["done"]))
 
     return F.aggregate(sized, F.struct(_no_text().alias("open"), F.lit(0).alias("n"), _empty().alias("done")), step, closed)
 
