@@ -1,7 +1,7 @@
 """Word tokens as Column expressions.
 
 A token is a word with the white space before it, so tokens joined give the text back but for white space at its end. A
-tokenizer with a vocabulary can take its place in `counted` as a pandas UDF; the algorithms on counts stay the same.
+tokenizer with a vocabulary would take the place of `tokens` and `count`, on which the other functions and the folds rest.
 """
 
 from __future__ import annotations
