@@ -594,7 +594,24 @@ def ocr_text(spark, sf):
     return blocks.block_text(lines).select("doc_id", F.md5("text").alias("text"))
 
 
-@query()
+@query("""
+with l as (select doc_id, unnest(string_split(text, chr(10))) as x, unnest(range(len(string_split(text, chr(10))))) as i from documents),
+t as (select doc_id, i, x || case when i % 10 = 6 then ' página ' || (i // 10 + 2) when i % 8 = 3 then ' PUNTO ' || (i // 8 + 1) else '' end as x from l),
+m as (select *, try_cast(regexp_extract(x, '[Pp]ágina\\s+(\\d+)', 1) as bigint) as mark, nullif(regexp_extract(x, '(?i)punto\\s+(\\d+(?:\\.\\d+)?)', 1), '') as section from t),
+g as (select doc_id, i, x, section, coalesce(last_value(mark ignore nulls) over (partition by doc_id order by i rows unbounded preceding), 1) as page from m),
+claims as (
+  select a.doc_id, b.page, a.i, 0 as kind, min(b.i) as rank, a.section from g a join g b on a.doc_id = b.doc_id and a.section = b.section group by all
+  union all select doc_id, page + unnest([0, 1, -1]), i, 1, unnest([0, 1, 2]), section from g where section is not null
+  union all select doc_id, page, i, 2, 0, null from g),
+f as (select *, exists (select 1 from g where g.doc_id = o.doc_id and g.page = o.page and g.section is not null) as sectioned from (select *, row_number() over (partition by doc_id, page order by i, kind, rank) as k from claims) o where k = 1),
+c as (select doc_id, unnest([1, 2, 3, 4]) as ordinal from documents),
+p as (
+  select c.doc_id, coalesce(i, 1000000000) as i, coalesce(kind + 1, 9) as kind, coalesce(rank, ordinal) as rank,
+    chr(10) || case when kind < 2 then '[Contenido de la página ' || (ordinal * 2 - 1) || ' - PUNTO ' || section else '[Contenido visual de la página ' || (ordinal * 2 - 1) end || ']: caption ' || ordinal || chr(10) as x
+  from c left join f on f.doc_id = c.doc_id and f.page = ordinal * 2 - 1 where kind is null or kind < 2 or not sectioned
+  union all select doc_id, i, 0, 0, x from g)
+select doc_id, md5(string_agg(x, chr(10) order by i, kind, rank)) as text from p group by doc_id
+""")
 def caption_inject(spark, sf):
     """Every line of index 6 names a page and every line of index 3 a section; each document has captions of four pages."""
     own = F.transform(T.lines(F.col("text")), lambda x, i: F.concat(x, F.when(i % 10 == 6, F.concat(F.lit(" página "), (i / 10 + 2).cast("int").cast("string"))).when(i % 8 == 3, F.concat(F.lit(" PUNTO "), (i / 8 + 1).cast("int").cast("string"))).otherwise("")))
