@@ -1,7 +1,7 @@
-"""Indexes over chunks: an inverted index of lexemes, and locality-sensitive hashing of vectors.
+"""Indexes over chunks: an inverted index of lexemes, and codes or hashes of vectors.
 
-Both are tables to write beside the chunks. The inverted index prunes a lexical query to the chunks that hold a term, and
-hashing gives candidates for the nearest vectors; scores are exact in both.
+All are tables to write beside the chunks. The inverted index prunes a lexical query to the chunks that hold a term; codes
+(or locality-sensitive hashes) give candidates for the nearest vectors; scores are exact in all.
 """
 
 from __future__ import annotations
@@ -11,10 +11,11 @@ from collections.abc import Sequence
 from pyspark.ml.feature import BucketedRandomProjectionLSH, BucketedRandomProjectionLSHModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkflow.functions import vectors
+from inkflow.operators import retrieval
 
 
 def inverted_index(chunks: DataFrame, key: str = "id", lex: str = "content_lex") -> DataFrame:
@@ -37,15 +38,51 @@ def fit_lsh(chunks: DataFrame, embedding: str = "embedding", bucket: float = 1.0
 
 
 def near(chunks: DataFrame, model: BucketedRandomProjectionLSHModel, query: Sequence[float], k: int, embedding: str = "embedding", key: str = "id") -> DataFrame:
-    """key and distance of the k nearest of the chunks that share a bucket with the query; all are scored if too few do."""
+    """key and distance of the k nearest of the chunks that share a bucket with the query; if too few do, the nearest others follow.
+
+    Buckets prune only where vectors lie in clusters; `near_by_code` is for those that don't.
+    """
     one = model.transform(chunks.sparkSession.createDataFrame([(Vectors.dense(list(query)),)], ["_v"])).first()
-    mine = [float(h[0]) for h in one["_h"]]
     hashed = model.transform(chunks.withColumn("_v", array_to_vector(F.col(embedding).cast("array<double>"))))
     met = F.lit(False)
-    for t, value in enumerate(mine):
-        met = met | (vector_to_array(F.col("_h")[t])[0] == value)
-    scored = hashed.filter(met).select(key, vectors.l2_distance(F.col(embedding), vectors.literal(query)).alias("distance"))
-    found = scored.orderBy("distance", key).limit(k)
-    if found.count() >= k:
-        return found
-    return chunks.select(key, vectors.l2_distance(F.col(embedding), vectors.literal(query)).alias("distance")).orderBy("distance", key).limit(k)
+    for t, h in enumerate(one["_h"]):
+        met = met | (vector_to_array(F.col("_h")[t])[0] == float(h[0]))
+    scored = hashed.select(key, met.alias("_met"), vectors.l2_distance(F.col(embedding), vectors.literal(query)).alias("distance"))
+    return scored.orderBy(F.desc("_met"), "distance", key).limit(k).drop("_met").orderBy("distance", key)
+
+
+def quantised(chunks: DataFrame, embedding: str = "embedding") -> DataFrame:
+    """chunks with `code` (each value in 255 steps of the vector's largest) and `step`; write them beside the embeddings.
+
+    A null vector has a null code; a vector of zeros has step 0.
+    """
+    values = F.col(embedding)
+    step = (F.array_max(F.transform(values, F.abs)) / 127).cast("float")
+    with_step = chunks.withColumn("step", step)
+    return with_step.withColumn("code", F.transform(values, lambda x: F.when(F.col("step") > 0, F.round(x / F.col("step"))).otherwise(0).cast("tinyint")))
+
+
+def near_by_code(coded: DataFrame, query: Sequence[float], k: int, widened: int = 8, embedding: str = "embedding", key: str = "id") -> DataFrame:
+    """key and distance of the k nearest (L2): candidates by codes, then exact distances of these.
+
+    The scan for candidates reads codes only, a fourth of the vectors' bytes or less; of each partition k * widened rows
+    survive. That bounds the side that is broadcast, and the embeddings of the candidates are read by key.
+    """
+    about = vectors.l2_distance(F.transform("code", lambda c: c.cast("double") * F.col("step")), vectors.literal(query))
+    candidates = coded.select(key, about.alias("_about")).filter("_about is not null").orderBy("_about", key).limit(k * widened).select(key)
+    exact = coded.select(key, embedding).join(F.broadcast(candidates), key)
+    return exact.select(key, vectors.l2_distance(F.col(embedding), vectors.literal(query)).alias("distance")).orderBy("distance", key).limit(k)
+
+
+def near_by_code_many(coded: DataFrame, queries: DataFrame, k: int, widened: int = 8, embedding: str = "embedding", key: str = "id") -> DataFrame:
+    """query_id, key and distance of the k nearest (L2) of each row (query_id, embedding) of queries.
+
+    Codes give k * widened candidates a query; their embeddings come by a join, and the k best are kept.
+    """
+    rough = coded.select(key, F.transform("code", lambda c: c.cast("float") * F.col("step")).alias(embedding))
+    candidates = retrieval.vector_search_many(rough, queries, k * widened, "l2", key=key, embedding=embedding).select("query_id", key)
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col(embedding).alias("_q"))
+    both = candidates.join(coded.select(key, F.col(embedding).alias("_v")), key).join(asked, "query_id")
+    scored = both.select("query_id", key, vectors.l2_distance(F.col("_v"), F.col("_q")).alias("distance"))
+    best = Window.partitionBy("query_id").orderBy("distance", key)
+    return scored.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= k).drop("_rank")

@@ -447,6 +447,13 @@ def index_match(spark, sf):
     return index.matching(own, ["et", "la"], "doc_id")
 
 
+@query(_many_sql("list_distance(v, q)", 10))
+def vec_code_topk(spark, sf):
+    """Candidates by codes of one byte a value; their recall is that of the exact result."""
+    own = index.quantised(table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding"))
+    return index.near_by_code_many(own, _query_rows(spark, sf), 10).select("query_id", F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"))
+
+
 @query()
 def vec_lsh_topk(spark, sf):
     own = table(spark, sf, "embeddings").withColumnRenamed("vec_id", "id")

@@ -370,6 +370,27 @@ def test_hashed_neighbours(spark, sf):
     assert hits >= 0.9 * 10 * own.filter("id % 50 = 0").count()
 
 
+def test_coded_neighbours(spark, sf, tmp_path):
+    """Codes find the ten nearest; the scan for candidates reads no embedding; null, zero and few vectors are no error."""
+    from inkflow.operators import index
+
+    own = spark.read.parquet(f"{sf}/embeddings.parquet").withColumnRenamed("vec_id", "id")
+    index.quantised(own).write.parquet(f"{tmp_path}/coded")
+    coded, hits = spark.read.parquet(f"{tmp_path}/coded"), 0
+    for r in own.filter("id % 100 = 0").collect():
+        exact = {x.id for x in retrieval.vector_search(own, r.embedding, 10, "l2").collect()}
+        found = index.near_by_code(coded, r.embedding, 10)
+        hits += len(exact & {x.id for x in found.collect()})
+    assert hits >= 0.99 * 10 * own.filter("id % 100 = 0").count()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    scans = set(re.findall(r"FileScan parquet \[([^\]]*)\]", plan))
+    assert sorted("embedding" in x for x in scans) == [False, True] and all(("code" in x) != ("embedding" in x) for x in scans)
+    odd = index.quantised(spark.createDataFrame([(1, None), (2, [0.0, 0.0]), (3, [1.0, -3.0])], "id long, embedding array<float>"))
+    assert [r.id for r in index.near_by_code(odd, [0.0, 1.0], 5).collect()] == [2, 3]
+    many = index.near_by_code_many(odd, spark.createDataFrame([(7, [1.0, -3.0]), (8, None)], "query_id long, embedding array<float>"), 1)
+    assert [(r.query_id, r.id, r.distance) for r in many.collect()] == [(7, 3, 0.0)]
+
+
 def test_aligned_and_inherited(spark):
     one = spark.range(1)
     texts_, good, bad = F.array(F.lit("a"), F.lit("b")), F.array(F.array(F.lit(1.0)), F.array(F.lit(2.0))).cast("array<array<float>>"), F.array(F.array(F.lit(1.0))).cast("array<array<float>>")
