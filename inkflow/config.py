@@ -22,6 +22,7 @@ class Settings:
     ocr: bool = False
     cloud_ocr: bool = False
     cloud_ready: bool = False
+    cloud: str | None = None
     image_captions: bool = True
     max_images: int = 20
     preserve_tables: bool = True

@@ -111,15 +111,23 @@ def with_captions(text: Column, captions: Column) -> Column:
     return _bound(T.lines(F.coalesce(text, F.lit(""))), lambda lines: _bound(_bound(_paged(lines), placed), lambda own: woven(lines, own)))
 
 
-def injected(docs: DataFrame, captions: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with captions (key, ordinal, page, caption) in their text; a null page is page 1.
+def gathered(captions: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key and `_captions`, the captions (key, ordinal, page, caption) of each document; a null page is page 1."""
+    one = F.struct(F.col("ordinal").cast("long").alias("ordinal"), F.coalesce("page", F.lit(1)).cast("long").alias("page"), "caption")
+    return captions.groupBy(key).agg(F.collect_list(one).alias("_captions"))
+
+
+def injected(docs: DataFrame, captions: DataFrame, key: str = "doc_id", text: str = "text", wanted: Column | None = None, count: str | None = None) -> DataFrame:
+    """docs with captions (key, ordinal, page, caption) in their text, where `wanted` holds; count: a column for their number.
 
     Captions are gathered by document and joined once; documents without any keep their text as it is, null included.
     """
-    one = F.struct(F.col("ordinal").cast("long").alias("ordinal"), F.coalesce("page", F.lit(1)).cast("long").alias("page"), "caption")
-    gathered = captions.groupBy(key).agg(F.collect_list(one).alias("_captions"))
+    own = docs.join(gathered(captions, key), key, "left")
+    if wanted is not None:
+        own = own.withColumn("_captions", F.when(wanted, F.col("_captions")))
     whole = F.when(F.col("_captions").isNull(), F.col(text)).otherwise(with_captions(F.col(text), F.col("_captions")))
-    return docs.join(gathered, key, "left").select(*(whole.alias(text) if c == text else c for c in docs.columns))
+    number = [F.when(F.col("_captions").isNull(), 0).otherwise(F.size("_captions")).alias(count)] if count else []
+    return own.select(*(whole.alias(text) if c == text else c for c in docs.columns), *number)
 
 
 def caption_pages(captions: DataFrame, *keys: str, page: str = "page") -> DataFrame:

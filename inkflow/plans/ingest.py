@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkflow.config import DEFAULTS, Settings
@@ -13,6 +13,7 @@ from inkflow.functions import text as T
 from inkflow.functions.embedding import embedded, hashing_embedder
 from inkflow.operators import captions, catalog, chunking, routing, structure
 from inkflow.sources import files as S
+from inkflow.sources.providers import cloud_reader
 
 
 def extracted(files: DataFrame, settings: Settings = DEFAULTS, pages: DataFrame | None = None) -> DataFrame:
@@ -36,32 +37,62 @@ def extracted(files: DataFrame, settings: Settings = DEFAULTS, pages: DataFrame
 
     parts = [S.extract_text(of("txt")), S.extract_html(of("html")), S.extract_docx(of("docx"))]
     by_ocr = F.col("strategy").isin(routing.LOCAL_OCR, routing.CLOUD_OCR)
+    local = S.PROVIDERS.get(("ocr", "default"))
+    cloud = cloud_reader(settings.cloud) if settings.cloud_available and settings.cloud else None
     if pages is not None:
         parsed = S.pages_text(pages, "id")
         parts.append(of("pdf", way=~by_ocr).join(parsed, "id", "left"))
-    if settings.ocr and ("ocr", "default") in S.PROVIDERS:
-        parts.append(S.extract_ocr(of("pdf", *routing.IMAGES, way=by_ocr)))
+    if settings.ocr and (local or cloud):
+        parts.append(S.extract_ocr(of("pdf", *routing.IMAGES, way=by_ocr), local, cloud, F.col("strategy") == routing.CLOUD_OCR))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def identified(files: DataFrame) -> DataFrame:
+    """files with `id`, which documents and captions go by: a digest of the name and the content."""
+    return files.withColumn("id", catalog.document_id("filename", F.sha2("content", 256)))
+
+
+def _read_once(files: DataFrame, settings: Settings, pages: DataFrame | None, stage: str | None) -> DataFrame:
+    """The extracted rows without content; written to `stage` and read back if it is given."""
+    named = catalog.valid_metadata(S.accepted(identified(files))[0])[0]
+    whole = extracted(named, settings, pages).drop("content")
+    if stage is None:
+        return whole
+    whole.write.mode("overwrite").parquet(stage)
+    return files.sparkSession.read.parquet(stage)
+
+
+def _full(text: Column) -> Column:
+    return F.length(T.strip(F.coalesce(text, F.lit("")))) > 0
+
+
+def rejected(files: DataFrame, settings: Settings = DEFAULTS, pages: DataFrame | None = None, stage: str | None = None) -> DataFrame:
+    """id, filename and reason of the files that give no rows: unknown type, metadata that is no JSON object, the error of
+    the extraction, or no text. stage: the folder that `ingest` has written, so that nothing is extracted again."""
+    known, unknown = S.accepted(identified(files))
+    good, bad = catalog.valid_metadata(known)
+    whole = files.sparkSession.read.parquet(stage) if stage else extracted(good, settings, pages)
+    empty = whole.filter(~_full(F.col("extracted.text"))).select("id", "filename", F.coalesce("extracted.error", F.lit("no text")).alias("reason"))
+    other = unknown.select("id", "filename", F.lit("unknown type").alias("reason")).unionByName(bad.select("id", "filename", F.lit("metadata is no object").alias("reason")))
+    return other.unionByName(empty)
+
+
 def ingest(
-    files: DataFrame, settings: Settings = DEFAULTS, model: Callable | None = None, image_captions: DataFrame | None = None, pages: DataFrame | None = None, language: str | None = "spanish",
+    files: DataFrame, settings: Settings = DEFAULTS, model: Callable | None = None, image_captions: DataFrame | None = None, pages: DataFrame | None = None, language: str | None = "spanish", stage: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(documents, chunks) from files (filename, file_type, uploaded_at, content, metadata as JSON text).
 
-    image_captions: (filename, ordinal, page, caption). Files of unknown type, without text or with metadata that is no
-    JSON object give no rows.
+    image_captions: (id, ordinal, page, caption) by the ids of `identified`; with filename in place of id, which must then be
+    unique. stage: a folder for the extracted rows; both results read it, and providers are called once for each file.
+    Files that `rejected` tells of give no rows.
     """
-    named = catalog.valid_metadata(S.accepted(files)[0])[0].withColumn("id", catalog.document_id("filename", F.sha2("content", 256)))
-    docs = extracted(named, settings, pages).filter(F.length(T.strip(F.coalesce("extracted.text", F.lit("")))) > 0).withColumn("text", F.col("extracted.text"))
+    docs = _read_once(files, settings, pages, stage).withColumn("text", F.col("extracted.text")).filter(_full(F.col("text")))
     if image_captions is not None and settings.ocr:
-        own = image_captions.join(docs.filter(routing.captions_wanted(F.col("file_type"), F.col("strategy"), settings)).select("id", "filename"), "filename")
-        docs = captions.injected(docs, own.select("id", "ordinal", "page", "caption"), "id")
-        counts = own.groupBy("id").agg(F.count(F.lit(1)).alias("n_captions"))
-        docs = docs.join(counts, "id", "left")
+        by = "id" if "id" in image_captions.columns else "filename"
+        docs = captions.injected(docs, image_captions, by, wanted=routing.captions_wanted(F.col("file_type"), F.col("strategy"), settings), count="n_captions")
     else:
         docs = docs.withColumn("n_captions", F.lit(0))
     docs = docs.withColumn("text", T.clean_tables(F.col("text"), settings.strict_parity))

@@ -13,8 +13,9 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from inkflow.functions import text as T
 from inkflow.sources import html
@@ -68,19 +69,32 @@ def docx_parts(content: bytes) -> tuple[list[str], list[list[list[str]]]]:
     return paragraphs, tables
 
 
-def readable(content: bytes | None) -> tuple[list[str], list[list[list[str]]]]:
-    """docx_parts, and nothing for a file that is no docx: it is rejected as empty, and others go on."""
+def readable(content: bytes | None) -> tuple[list[str], list[list[list[str]]], str | None]:
+    """docx_parts and no error; for a file that is no docx nothing and the error, so that others go on."""
     try:
-        return docx_parts(content) if content is not None else ([], [])
-    except (zipfile.BadZipFile, KeyError, AttributeError, ElementTree.ParseError, EOFError, zlib.error):
-        return [], []
+        return (*docx_parts(content), None) if content is not None else ([], [], "no content")
+    except (zipfile.BadZipFile, KeyError, AttributeError, ElementTree.ParseError, EOFError, zlib.error) as e:
+        return [], [], _named(e)
 
 
-@F.pandas_udf(html.TEXT_AND_TABLES)
+def _named(error: Exception) -> str:
+    return f"{type(error).__name__}: {error}"[:200]
+
+
+def _extracted(text: Column, tables: Column | None = None, pages: Column | None = None, confidence: Column | None = None, error: Column | None = None) -> Column:
+    """What every way of extraction gives; a file that could not be read has an error and no text."""
+    none = F.array().cast(TABLES)
+    return F.struct(
+        text.alias("text"), F.coalesce(tables, none).alias("tables") if tables is not None else none.alias("tables"), (F.lit(1) if pages is None else pages).alias("pages_processed"),
+        (F.lit(1.0) if confidence is None else confidence).alias("confidence"), (F.lit(None) if error is None else error).cast("string").alias("error"),
+    )
+
+
+@F.pandas_udf(StructType([*html.TEXT_AND_TABLES.fields, StructField("error", StringType())]))
 def _docx(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for contents in batches:
         parts = [readable(c) for c in contents]
-        yield pd.DataFrame({"text": ["\n".join(p) for p, _ in parts], "tables": [t for _, t in parts]})
+        yield pd.DataFrame({"text": ["\n".join(p) for p, _, _ in parts], "tables": [t for _, t, _ in parts], "error": pd.Series([e for _, _, e in parts], dtype=object)})
 
 
 def extract_docx(files: DataFrame) -> DataFrame:
@@ -89,17 +103,16 @@ def extract_docx(files: DataFrame) -> DataFrame:
     tables = F.transform("_x.tables", T.format_table)
     marked = F.transform(F.filter(tables, lambda t: t != ""), lambda t: F.concat(F.lit("\n\n[Tabla]\n"), t, F.lit("\n")))
     whole = T.strip(F.concat(F.col("_x.text"), F.array_join(marked, "")))
-    return own.withColumn("extracted", F.struct(whole.alias("text"), F.col("_x.tables").alias("tables"), F.lit(1).alias("pages_processed"), F.lit(1.0).alias("confidence"))).drop("_x")
+    return own.withColumn("extracted", _extracted(whole, F.col("_x.tables"), error=F.col("_x.error"))).drop("_x")
 
 
 def extract_text(files: DataFrame) -> DataFrame:
-    none = F.array().cast(TABLES)
-    return files.withColumn("extracted", F.struct(T.decoded(F.col("content")).alias("text"), none.alias("tables"), F.lit(1).alias("pages_processed"), F.lit(1.0).alias("confidence")))
+    return files.withColumn("extracted", _extracted(T.decoded(F.col("content"))))
 
 
 def extract_html(files: DataFrame) -> DataFrame:
     own = files.withColumn("_x", html.parsed(T.decoded(F.col("content"))))
-    return own.withColumn("extracted", F.struct(F.col("_x.text").alias("text"), F.col("_x.tables").alias("tables"), F.lit(1).alias("pages_processed"), F.lit(1.0).alias("confidence"))).drop("_x")
+    return own.withColumn("extracted", _extracted(F.col("_x.text"), F.col("_x.tables"))).drop("_x")
 
 
 # Marks of pages that may hold tables.
@@ -118,34 +131,61 @@ def pages_text(pages: DataFrame, *keys: str) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("page_no", own.alias("own"), kept.alias("tables"))))
     grouped = pages.groupBy(*keys).agg(ordered.alias("_p"))
     whole = T.strip(F.array_join(F.transform(F.filter("_p", lambda p: p["own"] != ""), lambda p: p["own"]), "\n"))
-    return grouped.select(*keys, F.struct(whole.alias("text"), F.flatten(F.transform("_p", lambda p: F.coalesce(p["tables"], F.array().cast(TABLES)))).alias("tables"), F.size("_p").alias("pages_processed"), F.when(whole != "", 1.0).otherwise(0.0).alias("confidence")).alias("extracted"))
+    all_tables = F.flatten(F.transform("_p", lambda p: F.coalesce(p["tables"], F.array().cast(TABLES))))
+    return grouped.select(*keys, _extracted(whole, all_tables, F.size("_p"), F.when(whole != "", 1.0).otherwise(0.0)).alias("extracted"))
 
 
-def _pages_by(read: Callable, with_type: bool):
-    """A UDF of (content, file_type) that gives pages (page_no, text, tables) by a provider; a page that fails is left out."""
+def _pages(read: Callable, *args) -> list[dict]:
+    """A provider's pages of one file; a page that failed is left out."""
+    return [{"page_no": n, "text": p[0] if isinstance(p, tuple) else p, "tables": p[1] if isinstance(p, tuple) else []} for n, p in enumerate(read(*args), 1) if p is not None]
+
+
+def pdf_pages(files: DataFrame, *keys: str, name: str = "default") -> DataFrame:
+    """keys, page_no, text, tables by the registered pdf provider; a file that it fails on has no pages."""
+    read = provider("pdf", name)
 
     @F.pandas_udf(f"array<struct<page_no:int,text:string,tables:{TABLES}>>")
-    def pages(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for contents, types in batches:
+    def pages(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for contents in batches:
             out = []
-            for content, kind in zip(contents, types, strict=True):
-                read_pages = read(content, kind) if with_type else read(content)
-                out.append([{"page_no": n, "text": p[0] if isinstance(p, tuple) else p, "tables": p[1] if isinstance(p, tuple) else []} for n, p in enumerate(read_pages, 1) if p is not None])
+            for content in contents:
+                try:
+                    out.append(_pages(read, content))
+                except Exception:  # noqa: BLE001  one file must not stop the others
+                    out.append([])
             yield pd.Series(out)
 
-    return pages
+    return files.select(*keys, F.explode(pages("content")).alias("_p")).select(*keys, "_p.*")
 
 
-def pdf_pages(files: DataFrame, *keys: str, name: str = "default") -> DataFrame:
-    """keys, page_no, text, tables by the registered pdf provider."""
-    own = _pages_by(provider("pdf", name), False)(F.col("content"), F.col("file_type"))
-    return files.select(*keys, F.explode(own).alias("_p")).select(*keys, "_p.*")
-
-
-def extract_ocr(files: DataFrame, *keys: str, name: str = "default", confidence: float = 0.85) -> DataFrame:
-    """files with `extracted` by the registered OCR provider: pages under their marks; images are one page without."""
-    pages = _pages_by(provider("ocr", name), True)(F.col("content"), F.col("file_type"))
-    own = files.withColumn("_p", pages)
-    marked = F.transform("_p", lambda p: F.concat(F.lit("[Página "), p["page_no"].cast("string"), F.lit("]\n"), p["text"], F.lit("\n")))
-    text = F.when(F.col("file_type") == "pdf", F.array_join(marked, "\n\n")).otherwise(F.array_join(F.transform("_p", lambda p: p["text"]), "\n\n"))
-    return own.withColumn("extracted", F.struct(T.strip(text).alias("text"), F.array().cast(TABLES).alias("tables"), F.size("_p").alias("pages_processed"), F.lit(confidence).alias("confidence"))).drop("_p")
+#: How sure a text is that a cloud or a local engine has read.
+CLOUD_CONFIDENCE, LOCAL_CONFIDENCE = 0.95, 0.85
+
+
+def extract_ocr(files: DataFrame, local: Callable | None, cloud: Callable | None = None, by_cloud: Column | None = None) -> DataFrame:
+    """files (content, file_type, ...) with `extracted` by readers of (bytes, type): pages under their marks, images as they are.
+
+    Where by_cloud holds, the cloud's reader comes first and the local one takes what it fails on. A file that none can read
+    has no text and the last error.
+    """
+
+    @F.pandas_udf("pages array<struct<page_no:int,text:string>>, confidence double, error string")
+    def read(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for contents, types, clouds in batches:
+            rows = []
+            for content, kind, first in zip(contents, types, clouds, strict=True):
+                ways = [(cloud, CLOUD_CONFIDENCE)] * bool(first and cloud) + [(local, LOCAL_CONFIDENCE)] * bool(local)
+                row = ([], 0.0, "no reader")
+                for way, confidence in ways:
+                    try:
+                        row = ([{"page_no": p["page_no"], "text": p["text"]} for p in _pages(way, content, kind)], confidence, None)
+                        break
+                    except Exception as e:  # noqa: BLE001  another way, or the other files
+                        row = ([], 0.0, _named(e))
+                rows.append(row)
+            yield pd.DataFrame({"pages": [r[0] for r in rows], "confidence": [r[1] for r in rows], "error": pd.Series([r[2] for r in rows], dtype=object)})
+
+    own = files.withColumn("_p", read("content", "file_type", F.lit(False) if by_cloud is None else by_cloud))
+    marked = F.transform("_p.pages", lambda p: F.concat(F.lit("[Página "), p["page_no"].cast("string"), F.lit("]\n"), p["text"], F.lit("\n")))
+    text = F.when(F.col("file_type") == "pdf", F.array_join(marked, "\n\n")).otherwise(F.array_join(F.transform("_p.pages", lambda p: p["text"]), "\n\n"))
+    return own.withColumn("extracted", _extracted(T.strip(text), None, F.size("_p.pages"), F.col("_p.confidence"), F.col("_p.error"))).drop("_p")

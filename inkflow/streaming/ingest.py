@@ -17,12 +17,13 @@ _FILES = "path string, modificationTime timestamp, length long, content binary"
 def ingest_stream(spark: SparkSession, folder: str, checkpoint: str, prefix: str = "", metadata: str = "{}", settings: Settings = DEFAULTS, language: str | None = "spanish") -> StreamingQuery:
     """Append the files that are in the folder and not ingested yet to the tables, then stop.
 
-    A batch that is run again after a failure leaves no duplicates: rows whose id is there already are not appended.
+    A batch that is run again after a failure leaves no duplicates: rows whose id is there already are not appended. Each
+    batch overwrites the extracted rows of the one before in a folder of the checkpoint.
     """
     catalog.create_tables(spark, prefix)
 
     def batch(files: DataFrame, _: int) -> None:
-        documents, chunks = ingest(described(files).withColumn("metadata", F.lit(metadata)), settings, language=language)
+        documents, chunks = ingest(described(files).withColumn("metadata", F.lit(metadata)), settings, language=language, stage=f"{checkpoint}/extracted")
         new_documents = documents.join(spark.table(f"{prefix}documents").select("id"), "id", "left_anti")
         new_chunks = chunks.join(spark.table(f"{prefix}document_chunks").select("id"), "id", "left_anti")
         catalog.append(spark, new_documents, new_chunks, prefix)

@@ -18,7 +18,7 @@ from inkflow.functions import text as T
 from inkflow.functions import tokens as K
 from inkflow.functions.embedding import hashing_embedder
 from inkflow.operators import blocks, captions, catalog, chunking, images, retrieval, routing, structure
-from inkflow.plans.ingest import ingest
+from inkflow.plans.ingest import identified, ingest, rejected
 from inkflow.sources import files, html
 from inkflow.streaming.ingest import ingest_stream
 
@@ -306,6 +306,43 @@ def test_pdf_and_ocr_by_providers(spark, monkeypatch):
         files.provider("ocr", "other")
 
 
+def test_cloud_falls_back_and_bad_files_stay_out(spark, monkeypatch, tmp_path):
+    """A cloud reads what routing gives it and local OCR what it refuses; each file is read once; rejected files have reasons."""
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def cloud(content, kind):
+        open(calls / f"{hash(bytes(content))}-{random.random()}", "w").close()
+        if content.startswith(b"big"):
+            raise RuntimeError("too big")
+        return ["by cloud"]
+
+    def local(content, kind):
+        if content.endswith(b"bad"):
+            raise ValueError("unreadable")
+        return ["by local"]
+
+    monkeypatch.setattr(files, "PROVIDERS", {})
+    files.register("ocr", "aws", cloud)
+    files.register("ocr", "default", local)
+    contents = {"a.pdf": b"a", "big.pdf": b"big", "big2.pdf": b"big bad", "x.docx": b"no zip", "e.txt": b" ", "u.exe": b"x", "m.txt": b"text", "t.txt": b"text"}
+    rows = [(n, n.rpartition(".")[2].replace("exe", "unknown"), bytearray(c), "[1]" if n == "m.txt" else "{}") for n, c in contents.items()]
+    df = spark.createDataFrame(rows, "filename string, file_type string, content binary, metadata string").withColumn("uploaded_at", F.lit(None).cast("timestamp"))
+    settings, stage = Settings(ocr=True, cloud_ocr=True, cloud_ready=True, cloud="aws"), f"{tmp_path}/stage"
+    pages = identified(df).filter("file_type = 'pdf'").select("id", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("page_no"), F.lit("").alias("text"), F.array().cast(files.TABLES).alias("tables"))
+    documents, chunks = ingest(df, settings, pages=pages, stage=stage)
+    meta = {r.filename: json.loads(r.metadata) for r in documents.collect()}
+    names = {r.id: r.filename for r in documents.collect()}
+    assert {names[r.document_id]: r.content for r in chunks.collect()} == {"a.pdf": "[Página 1]\nby cloud", "big.pdf": "[Página 1]\nby local", "t.txt": "text"} and set(meta) == {"a.pdf", "big.pdf", "t.txt"}
+    assert len(list(calls.iterdir())) == 3
+    confidence = {r.filename: r.c for r in spark.read.parquet(stage).select("filename", F.col("extracted.confidence").alias("c")).collect()}
+    assert confidence["a.pdf"] == 0.95 and confidence["big.pdf"] == 0.85 and confidence["t.txt"] == 1.0
+    reasons = {r.filename: r.reason for r in rejected(df, settings, stage=stage).collect()}
+    assert reasons == {"big2.pdf": "ValueError: unreadable", "x.docx": "BadZipFile: File is not a zip file", "e.txt": "no text", "u.exe": "unknown type", "m.txt": "metadata is no object"}
+    caps = identified(df).filter("filename = 'a.pdf'").select("id", F.lit(0).alias("ordinal"), F.lit(1).alias("page"), F.lit("una").alias("caption"))
+    assert {r.filename for r in ingest(df, settings, pages=pages, image_captions=caps)[0].collect()} == set(meta)
+
+
 def test_catalogue_of_tables(spark, folder):
     for name in ("t_documents", "t_document_chunks"):
         spark.sql(f"drop table if exists {name}")
