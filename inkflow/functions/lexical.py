@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -55,18 +55,20 @@ def _stemmed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield lists.map(lambda own: None if own is None else [memo[w] for w in own])
 
 
-def lexemes(text: Column, language: str | None = "spanish", stemmed: bool = True) -> Column:
-    """The words of a text without stop words, stemmed for Spanish; unstemmed lexemes need no Python."""
+def lexemes(text: Column, language: str | None = "spanish", stemmed: bool = True, stops: Sequence[str] | None = None) -> Column:
+    """The words of a text without stop words (those of the language, or `stops`), stemmed for Spanish; unstemmed lexemes
+    need no Python."""
     own = words(text)
-    if language:
-        stop = F.array(*(F.lit(w) for w in stop_words(language)))
+    left_out = stops if stops is not None else stop_words(language) if language else ()
+    if left_out:
+        stop = F.array(*(F.lit(w) for w in left_out))
         own = F.filter(own, lambda w: ~F.array_contains(stop, w))
     return _stemmed(own) if stemmed and language == "spanish" else own
 
 
-def query_lexemes(text: str, language: str | None = "spanish", stemmed: bool = True) -> list[str]:
+def query_lexemes(text: str, language: str | None = "spanish", stemmed: bool = True, stops: Sequence[str] | None = None) -> list[str]:
     own = dict.fromkeys(re.findall(r"[^\W_]+", text.lower()))
-    stop = set(stop_words(language)) if language else set()
+    stop = set(stops if stops is not None else stop_words(language) if language else ())
     return list(dict.fromkeys(light_stem(w) if stemmed and language == "spanish" else w for w in own if w not in stop))
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from inkflow.config import Settings
 from inkflow.functions import json_filter, lexical
 from inkflow.functions import text as T
-from inkflow.operators import catalog, routing
+from inkflow.operators import catalog, chunking, routing
+from inkflow.plans import ingest
 from inkflow.plans.catalogue import _STRIPPED, _WORDS, query, table
 from inkflow.sources import files, html, providers
 
@@ -158,3 +159,85 @@ def query_terms(spark, sf):
     terms = lexical.query_lexemes("Person, tiempo! PERSON", None)
     own = table(spark, sf, "documents").select("doc_id", lexical.lexemes(F.col("text"), None).alias("lex"))
     return own.select("doc_id", sum((lexical.frequency(F.col("lex"), t) for t in terms), F.lit(0)).cast("int").alias("hits"))
+
+
+def _list(words) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
+#: The words that `spanish_lexemes` leaves out, in place of the language's whole list.
+STOPS = ("de", "el", "en", "la", "los", "y")
+
+#: A word's stem: without its first ending that leaves three letters, then without accents, plural and final vowel.
+_STEM = f"""
+e as (select w, list_filter({_list(lexical.NOUN_ENDINGS + lexical.VERB_ENDINGS)}, lambda x: suffix(w, x) and len(w) - len(x) >= 3)[1] as x from (select distinct w from t)),
+a as (select w, translate(case when x is null then w else w[:len(w) - len(x)] end, 'áéíóúü', 'aeiouu') as s from e),
+p as (select w, case when len(s) > 4 and suffix(s, 'es') then s[:len(s) - 2] when len(s) > 3 and suffix(s, 's') then s[:len(s) - 1] else s end as s from a),
+stems as (select w, case when len(s) > 3 and s[-1] in ('a', 'e', 'o') then s[:len(s) - 1] else s end as stem from p)
+"""
+
+
+@query(f"""
+with d as (select doc_id, list_filter({_WORDS}, lambda x: not list_contains({_list(STOPS)}, x)) as w from documents),
+t as (select doc_id, unnest(w) as w, unnest(range(len(w))) as i from d), {_STEM}
+select d.doc_id, cast(count(stem) as int) as n, md5(coalesce(string_agg(stem, ' ' order by i), '')) as lexemes, cast(count(*) filter (where stem in ('person', 'tiemp')) as int) as hits
+from d left join t using (doc_id) left join stems on stems.w = t.w group by d.doc_id
+""")
+def spanish_lexemes(spark, sf):
+    """Stemmed lexemes of all texts, and how many are those of a question."""
+    terms = lexical.query_lexemes("¿La persona y el TIEMPO, persona?", stops=STOPS)
+    own = table(spark, sf, "documents").select("doc_id", lexical.lexemes(F.col("text"), stops=STOPS).alias("lex"))
+    hits = sum((lexical.frequency(F.col("lex"), t) for t in terms), F.lit(0))
+    return own.select("doc_id", F.size("lex").alias("n"), F.md5(F.array_join("lex", " ")).alias("lexemes"), hits.cast("int").alias("hits"))
+
+
+@query("""
+select case doc_id % 5 when 1 then 'unknown type' when 2 then 'metadata is no object' else 'no text' end as reason, count(*) as n from documents
+where doc_id % 5 in (1, 2, 3) group by 1
+""")
+def rejected_files(spark, sf):
+    """Of five texts one is a file of unknown type, one has a list as metadata, one is blank; one is text, one HTML."""
+    kind = F.col("doc_id") % 5
+    name = F.concat(F.col("doc_id").cast("string"), F.when(kind == 1, ".exe").when(kind == 4, ".html").otherwise(".txt"))
+    content = F.encode(F.when(kind == 3, " \n\t").otherwise(F.concat(F.lit("x "), F.col("text"))), "UTF-8")
+    own = table(spark, sf, "documents").select(name.alias("filename"), T.file_type(name).alias("file_type"), content.alias("content"), F.when(kind == 2, "[1]").otherwise("{}").alias("metadata"))
+    return ingest.rejected(own).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+with p as (select conv_id, turn, case when turn % 4 = 3 then '' when turn % 4 = 1 then text || ' | ' else replace(replace(text, '|', ' '), chr(9), ' ') end as own, turn % 4 as k from conversations),
+q as (select conv_id, turn, k, own || case when contains(own, '|') or contains(own, 'Tabla') or contains(own, 'CUOTA') or contains(own, 'COEF') or contains(own, 'CH ') or contains(own, 'CHALET')
+  then chr(10) || chr(10) || '[Tabla 1]' || chr(10) || turn || ' | a' || chr(10) || chr(10) || chr(10) || '[Tabla 2]' || chr(10) || 'b' || chr(10) else '' end as x from p)
+select conv_id, count(*) as pages, md5(coalesce(trim(string_agg(x, chr(10) order by turn) filter (where x <> ''), ' ' || chr(9) || chr(10) || chr(13)), '')) as text from q group by conv_id
+""")
+def pdf_text(spark, sf):
+    """Conversations as parsed pdf files of a page a turn, each with two tables and a blank one; every fourth page is empty."""
+    turn = F.col("turn")
+    plain = F.translate("text", "|\t", "  ")
+    text = F.when(turn % 4 == 3, "").when(turn % 4 == 1, F.concat("text", F.lit(" | "))).otherwise(plain)
+    tables = F.array(F.array(F.array(turn.cast("string"), F.lit(" a "))), F.array(F.array(F.lit(" "))), F.array(F.array(F.lit("b"))))
+    pages = table(spark, sf, "conversations").select("conv_id", (turn + 1).cast("int").alias("page_no"), text.alias("text"), tables.alias("tables"))
+    own = files.pages_text(pages, "conv_id")
+    return own.select("conv_id", F.col("extracted.pages_processed").cast("long").alias("pages"), F.md5("extracted.text").alias("text"))
+
+
+@query("select doc_id, doc_id % 4 in (0, 1) as marked from documents")
+def table_marks(spark, sf):
+    """Marks of tables in either case, one without a number, and one that is not at the start."""
+    n = F.col("doc_id")
+    line = F.when(n % 4 == 0, F.concat(F.lit("[Tabla "), n.cast("string"), F.lit("] x"))).when(n % 4 == 1, "[TABLA  7]").when(n % 4 == 2, "[Tabla]").otherwise("x [Tabla 1]")
+    return table(spark, sf, "documents").select("doc_id", line.rlike(T.TABLE_MARK).alias("marked"))
+
+
+@query("""
+with c as (select doc_id, unnest(range(3)) as chunk_index from documents)
+select doc_id, cast(chunk_index as int) as chunk_index, case chunk_index when 0 then 'one ' || lang || chr(10) || 'three'
+  when 1 then '[Tabla ' || doc_id || ']' || chr(10) || '| a ' || source || ' |' || chr(10) || '| b |' else 'after ' || doc_id || ' end' end as content
+from c join documents using (doc_id)
+""")
+def marked_table_chunks(spark, sf):
+    """A marked table ends at the blank line after it and is a chunk of its own where its neighbours don't fit beside it."""
+    table_ = F.concat(F.lit("[Tabla "), F.col("doc_id").cast("string"), F.lit("]\n| a "), F.col("source"), F.lit(" |\n| b |\n\n"))
+    text = F.concat(F.lit("one "), F.col("lang"), F.lit("\nthree\n"), table_, F.lit("after "), F.col("doc_id").cast("string"), F.lit(" end"))
+    own = table(spark, sf, "documents").select("doc_id", chunking.paragraph_chunks(text, 10, 0).alias("c"))
+    return own.select("doc_id", F.posexplode("c").alias("chunk_index", "content"))
