@@ -73,29 +73,41 @@ def images_of(files: DataFrame, *keys: str, name: str = "default") -> DataFrame:
     @F.pandas_udf(ArrayType(own))
     def found(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for contents, kinds in batches:
-            yield pd.Series([[dict(zip(own.names, x, strict=True)) for x in (read(c, k) if k == "pdf" else [(1, "embedded", None, None, c)])] for c, k in zip(contents, kinds, strict=True)])
+            yield pd.Series([[dict(zip(own.names, x, strict=True)) for x in (read(c, k) if k == "pdf" else [(1, "photo", None, None, c)])] for c, k in zip(contents, kinds, strict=True)])
 
     rows = files.filter(F.col("file_type").isin("pdf", *IMAGES)).select(*keys, F.posexplode(found("content", "file_type")).alias("ordinal", "_i"))
     image_id = F.concat_ws("_", F.lit("img"), F.col("ordinal").cast("string"))
     return rows.select(*keys, "ordinal", image_id.alias("image_id"), "_i.*", F.base64("_i.content").alias("base64"))
 
 
-def captioned(images: DataFrame, name: str = "default", confidence: float = 0.95) -> DataFrame:
-    """images (content, ...) with `caption` and `confidence`; an image that the model fails on, or without content, gets a
-    placeholder with confidence 0."""
-    model = provider("caption", name)
+# What stands for a caption that could not be made: of a rendered page without a model, of one that failed,
+# and of any other image.
+PAGE_WITHOUT_MODEL, PAGE_FAILED, IMAGE_WITHOUT_CAPTION = "[Page {} content]", "[Page {} content - extraction failed]", "[Image on page {}]"
+
+
+def captioned(images: DataFrame, name: str | None = "default", confidence: float = 0.95) -> DataFrame:
+    """images (content, page, type, ...) with `caption` and `confidence`.
+
+    Without a model (name None), without content and where the model fails, a placeholder stands with confidence 0. A null
+    page is "unknown".
+    """
+    model = provider("caption", name) if name else None
+
+    def one(content, page: str, kind: str) -> tuple[str, float]:
+        whole = kind == "full_page"
+        if model is None:
+            return (PAGE_WITHOUT_MODEL if whole else IMAGE_WITHOUT_CAPTION).format(page), 0.0
+        try:
+            if not content:
+                raise ValueError("no image data")
+            return model(content), confidence
+        except Exception:  # noqa: BLE001  one image must not stop the others
+            return (PAGE_FAILED if whole else IMAGE_WITHOUT_CAPTION).format(page), 0.0
 
     @F.pandas_udf(CAPTION)
-    def captions(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for contents in batches:
-            rows = []
-            for content in contents:
-                try:
-                    text = model(content) if content else None
-                except Exception:  # noqa: BLE001  one image must not stop the others
-                    text = None
-                rows.append((text, confidence) if text is not None else ("[Imagen sin descripción]", 0.0))
-            yield pd.DataFrame(rows, columns=["text", "confidence"])
-
-    own = images.withColumn("_c", captions("content"))
+    def captions(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for columns in batches:
+            yield pd.DataFrame([one(*x) for x in zip(*columns, strict=True)], columns=["text", "confidence"])
+
+    own = images.withColumn("_c", captions("content", F.coalesce(F.col("page").cast("string"), F.lit("unknown")), F.coalesce("type", F.lit(""))))
     return own.withColumn("caption", F.col("_c.text")).withColumn("confidence", F.col("_c.confidence")).drop("_c")
