@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, exact_dedup, line_dedup, quality_classifier, quality_rules, secrets, simhash, substring_dedup, suffix_dedup, warc
+from . import bpe, decontamination, exact_dedup, line_dedup, quality_classifier, quality_rules, secrets, simhash, substring_dedup, suffix_dedup, vector_codes, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_benchmark_decontamination": decontamination.op8_benchmark_decontamination,
     "op9_bpe": bpe.op9_bpe,
     "op10_warc": warc.op10_warc,
+    "op12_vector_codes": vector_codes.op12_vector_codes,
     "op13_exact_dedup": exact_dedup.op13_exact_dedup,
 }
 
@@ -24,5 +25,6 @@ SQL = {
     "op3b_rule_ablations": quality_rules.OP3B_SQL,
     "op8_benchmark_decontamination": decontamination.OP8_SQL,
     "op10_warc": warc.OP10_SQL,
+    "op12_vector_codes": vector_codes.OP12_SQL,
     "op13_exact_dedup": exact_dedup.OP13_SQL,
 }
