@@ -65,6 +65,8 @@ def update(spark: SparkSession, path: str, folder: str, digest=sha256, batch_byt
     # all stores of an executor share one bounded memory; what does not fit is read from disk
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "256")
+    # files grow as they are written; space set aside would be 4 MB for each of the stores, however little it holds
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
     spark.createDataFrame([], _STATE).coalesce(1).write.mode("overwrite").parquet(f"{folder}/changes/batch=-1")
     # a stream's path is a folder or a pattern: the pattern matches a single file, or a folder, of just this name
     arriving = own.readStream.schema(_COLUMNS).option("maxBytesPerTrigger", batch_bytes).parquet(f"{path[:-1]}[{path[-1]}]")
