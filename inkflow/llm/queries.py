@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, exact_dedup, line_dedup, quality_classifier, quality_rules, secrets, simhash, substring_dedup, suffix_dedup, vector_codes, warc
+from . import bpe, decontamination, exact_dedup, line_dedup, quality_classifier, quality_rules, secrets, simhash, substring_dedup, suffix_dedup, token_alignment, vector_codes, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_benchmark_decontamination": decontamination.op8_benchmark_decontamination,
     "op9_bpe": bpe.op9_bpe,
     "op10_warc": warc.op10_warc,
+    "op11_token_alignment": token_alignment.op11_token_alignment,
     "op12_vector_codes": vector_codes.op12_vector_codes,
     "op13_exact_dedup": exact_dedup.op13_exact_dedup,
 }
