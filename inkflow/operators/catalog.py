@@ -104,13 +104,16 @@ def create_tables(spark: SparkSession, prefix: str = "") -> None:
         spark.sql(f"create table if not exists {prefix}{name} ({schema}) using parquet")
 
 
+def insert(spark: SparkSession, table: str, rows: DataFrame) -> None:
+    """Append rows to a table by its column names."""
+    rows.select(*spark.table(table).columns).write.mode("append").insertInto(table)
+    spark.catalog.refreshTable(table)
+
+
 def append(spark: SparkSession, documents: DataFrame, chunks: DataFrame, prefix: str = "") -> None:
     """Documents go last, so that a document that is listed has its chunks."""
-    chunks.select(*spark.table(f"{prefix}document_chunks").columns).write.mode("append").insertInto(f"{prefix}document_chunks")
-    documents.select(*spark.table(f"{prefix}documents").columns).write.mode("append").insertInto(f"{prefix}documents")
-    # rows may come from another session (a stream's), whose writes this one does not notice
-    spark.catalog.refreshTable(f"{prefix}documents")
-    spark.catalog.refreshTable(f"{prefix}document_chunks")
+    insert(spark, f"{prefix}document_chunks", chunks)
+    insert(spark, f"{prefix}documents", documents)
 
 
 def replaced(spark: SparkSession, name: str, rows: DataFrame) -> None:

@@ -20,7 +20,8 @@ def extracted(files: DataFrame, settings: Settings = DEFAULTS, pages: DataFrame
     """files (id, file_type, content, ...) with strategy and `extracted`.
 
     pages: (id, page_no, text, tables) of parsed pdf files, for their sampling and extraction; without it pdf files need a
-    registered provider.
+    registered provider. Every file gives one row: what needs OCR and has no reader is parsed if its pages are given, and
+    a file that no way takes has the error `no reader`.
     """
     pdf = files.filter("file_type = 'pdf'")
     if pages is None and ("pdf", "default") in S.PROVIDERS:
@@ -29,8 +30,10 @@ def extracted(files: DataFrame, settings: Settings = DEFAULTS, pages: DataFrame
     others = files.filter("file_type <> 'pdf'").withColumns({"page_count": F.lit(1), "coverage": coverage, "confidence": confidence, "sample": F.lit("")})
     if pages is not None:
         sampled = pdf.join(routing.text_coverage(pages, "id"), "id", "left")
-        others = others.unionByName(sampled.withColumns({"page_count": F.coalesce("page_count", F.lit(1)), "coverage": F.coalesce("coverage", F.lit(0.0)), "confidence": F.coalesce("confidence", F.lit(0.0)), "sample": F.coalesce("sample", F.lit(""))}))
-    routed = routing.route(others, settings)
+        sampled = sampled.withColumns({"page_count": F.coalesce("page_count", F.lit(1)), "coverage": F.coalesce("coverage", F.lit(0.0)), "confidence": F.coalesce("confidence", F.lit(0.0)), "sample": F.coalesce("sample", F.lit(""))})
+    else:
+        sampled = pdf.withColumns({"page_count": F.lit(1), "coverage": F.lit(0.0), "confidence": F.lit(0.0), "sample": F.lit("")})
+    routed = routing.route(others.unionByName(sampled), settings)
 
     def of(*types: str, way=F.lit(True)) -> DataFrame:
         return routed.filter(F.col("file_type").isin(*types) & way)
@@ -39,11 +42,17 @@ def extracted(files: DataFrame, settings: Settings = DEFAULTS, pages: DataFrame
     by_ocr = F.col("strategy").isin(routing.LOCAL_OCR, routing.CLOUD_OCR)
     local = S.PROVIDERS.get(("ocr", "default"))
     cloud = cloud_reader(settings.cloud) if settings.cloud_available and settings.cloud else None
+    reads = bool(settings.ocr and (local or cloud))
+    left = F.lit(True)
     if pages is not None:
         parsed = S.pages_text(pages, "id")
-        parts.append(of("pdf", way=~by_ocr).join(parsed, "id", "left"))
-    if settings.ocr and (local or cloud):
+        own = ~by_ocr if reads else F.lit(True)
+        parts.append(S.without_pages(of("pdf", way=own).join(parsed, "id", "left")))
+        left = left & ~((F.col("file_type") == "pdf") & own)
+    if reads:
         parts.append(S.extract_ocr(of("pdf", *routing.IMAGES, way=by_ocr), local, cloud, F.col("strategy") == routing.CLOUD_OCR))
+        left = left & ~by_ocr
+    parts.append(S.unread(routed.filter(~F.col("file_type").isin("txt", "html", "docx") & left)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

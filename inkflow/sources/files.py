@@ -52,7 +52,8 @@ def described(files: DataFrame) -> DataFrame:
 
 def accepted(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Files of known types, and the others for a quarantine."""
-    return files.filter("file_type <> 'unknown'"), files.filter("file_type = 'unknown'")
+    kind = F.coalesce("file_type", F.lit("unknown"))
+    return files.filter(kind != "unknown"), files.filter(kind == "unknown")
 
 
 def docx_parts(content: bytes) -> tuple[list[str], list[list[list[str]]]]:
@@ -112,7 +113,18 @@ def extract_text(files: DataFrame) -> DataFrame:
 
 def extract_html(files: DataFrame) -> DataFrame:
     own = files.withColumn("_x", html.parsed(T.decoded(F.col("content"))))
-    return own.withColumn("extracted", _extracted(F.col("_x.text"), F.col("_x.tables"))).drop("_x")
+    return own.withColumn("extracted", _extracted(F.col("_x.text"), F.col("_x.tables"), error=F.col("_x.error"))).drop("_x")
+
+
+def unread(files: DataFrame, reason: str = "no reader") -> DataFrame:
+    """files with an `extracted` without text, for those that no way of extraction takes."""
+    return files.withColumn("extracted", _extracted(F.lit(""), pages=F.lit(0), confidence=F.lit(0.0), error=F.lit(reason)))
+
+
+def without_pages(files: DataFrame) -> DataFrame:
+    """files (extracted, null where a parsed file has no page) with an error in its place."""
+    none = _extracted(F.lit(""), pages=F.lit(0), confidence=F.lit(0.0), error=F.lit("no page could be read"))
+    return files.withColumn("extracted", F.coalesce("extracted", none))
 
 
 # Marks of pages that may hold tables.

@@ -12,6 +12,7 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 #: Types as objects, for this module is imported in workers, where no session can read a type's text.
 TABLES = ArrayType(ArrayType(ArrayType(StringType())))
 TEXT_AND_TABLES = StructType([StructField("text", StringType()), StructField("tables", TABLES)])
+PARSED = StructType([*TEXT_AND_TABLES.fields, StructField("error", StringType())])
 _SKIPPED = ("script", "style")
 
 
@@ -64,18 +65,24 @@ class _Reader(HTMLParser):
             cell.append(text)
 
 
-def read(html: str | None) -> tuple[str, list[list[list[str]]]]:
-    """The text, a line for each piece between tags, without scripts and styles; the tables without empty rows."""
-    reader = _Reader()
-    reader.feed(html or "")
-    reader.close()
+def read(html: str | None) -> tuple[str, list[list[list[str]]], str | None]:
+    """The text, a line for each piece between tags, without scripts and styles; the tables without empty rows; the error.
+
+    Markup that the parser gives up on ends a page: what was read up to there stays, and the error says so.
+    """
+    reader, error = _Reader(), None
+    try:
+        reader.feed(html or "")
+        reader.close()
+    except (AssertionError, ValueError, IndexError, RecursionError) as e:
+        error = f"{type(e).__name__}: {e}"[:200]
     tables = [[["".join(cell) for cell in row] for row in table if row] for table in reader.tables]
-    return "\n".join(reader.pieces), [t for t in tables if t]
+    return "\n".join(reader.pieces), [t for t in tables if t], error
 
 
-@F.pandas_udf(TEXT_AND_TABLES)
+@F.pandas_udf(PARSED)
 def parsed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """Column function: html as (text, tables)."""
+    """Column function: html as (text, tables, error)."""
     for pages in batches:
-        both = [read(x) for x in pages]
-        yield pd.DataFrame({"text": [t for t, _ in both], "tables": [t for _, t in both]})
+        parts = [read(x) for x in pages]
+        yield pd.DataFrame({"text": [t for t, _, _ in parts], "tables": [t for _, t, _ in parts], "error": pd.Series([e for _, _, e in parts], dtype=object)})

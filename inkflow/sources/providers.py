@@ -65,15 +65,21 @@ def images_of(files: DataFrame, *keys: str, name: str = "default") -> DataFrame:
     """keys, ordinal, image_id, page, type, width, height, content, base64 of each image in a document.
 
     The registered images provider takes (bytes, file type) and gives (page, type, width, height, bytes) for embedded images and
-    rendered pages; a file that is an image is the single image img_0 without a size.
+    rendered pages; a file that is an image is the single image img_0 without a size. A file that it fails on has no images.
     """
     read = provider("images", name)
     own = StructType([StructField(n, t) for n, t in (("page", IntegerType()), ("type", StringType()), ("width", IntegerType()), ("height", IntegerType()), ("content", BinaryType()))])
 
+    def listed(content: bytes, kind: str) -> list[dict]:
+        try:
+            return [dict(zip(own.names, x, strict=True)) for x in (read(content, kind) if kind == "pdf" else [(1, "photo", None, None, content)])]
+        except Exception:  # noqa: BLE001  one file must not stop the others
+            return []
+
     @F.pandas_udf(ArrayType(own))
     def found(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for contents, kinds in batches:
-            yield pd.Series([[dict(zip(own.names, x, strict=True)) for x in (read(c, k) if k == "pdf" else [(1, "photo", None, None, c)])] for c, k in zip(contents, kinds, strict=True)])
+            yield pd.Series(list(map(listed, contents, kinds)))
 
     rows = files.filter(F.col("file_type").isin("pdf", *IMAGES)).select(*keys, F.posexplode(found("content", "file_type")).alias("ordinal", "_i"))
     image_id = F.concat_ws("_", F.lit("img"), F.col("ordinal").cast("string"))

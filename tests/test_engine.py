@@ -255,9 +255,11 @@ HTML = "<html><head><style>p{}</style><script>var t='</p>';</script></head><body
 
 
 def test_html():
-    text, tables = html.read(HTML)
+    text, tables, error = html.read(HTML)
+    assert error is None
     assert text == "Title\none\ntwo\nA\nb & c" and tables == [[["A", "b & c"]]]
-    assert html.read(None) == ("", []) == html.read("<script>x")
+    assert html.read(None) == ("", [], None) == html.read("<script>x")
+    assert html.read("<p>a</p><![foo[x]]>b")[0] == "a" and html.read("<p>a</p><![foo[x]]>b")[2]
     assert html.read("<table><tr><td>o<table><tr><td>i</td></tr></table></td><td>z</td></tr></table>")[1][1] == [["i"]]
 
 
