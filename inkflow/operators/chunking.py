@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from inkflow.config import DEFAULTS
 from inkflow.functions import text as T
 from inkflow.functions import tokens as K
+from inkflow.functions import vocabulary as V
 from inkflow.operators.structure import sections
 
 _TEXTS = "array<string>"
@@ -26,9 +27,13 @@ def _no_text() -> Column:
     return F.lit(None).cast("string")
 
 
-def fixed_windows(docs: DataFrame, *keys: str, size: int = DEFAULTS.chunk_size, overlap: int = DEFAULTS.chunk_overlap, text: str = "text") -> DataFrame:
-    """keys, chunk_index, content: windows of `size` tokens."""
-    return docs.select(*keys, F.posexplode(K.windows(F.coalesce(F.col(text), F.lit("")), size, overlap)).alias("chunk_index", "content"))
+def fixed_windows(docs: DataFrame, *keys: str, size: int = DEFAULTS.chunk_size, overlap: int = DEFAULTS.chunk_overlap, text: str = "text", vocabulary: str | None = None) -> DataFrame:
+    """keys, chunk_index, content: windows of `size` tokens; words, or those of a vocabulary file."""
+    own = F.coalesce(F.col(text), F.lit(""))
+    if vocabulary is None:
+        return docs.select(*keys, F.posexplode(K.windows(own, size, overlap)).alias("chunk_index", "content"))
+    cut = docs.select(*keys, own.alias("_text"), V.ends(own, vocabulary).alias("_ends"))
+    return cut.select(*keys, F.posexplode(V.windows(F.col("_text"), F.col("_ends"), size, overlap)).alias("chunk_index", "content"))
 
 
 def _pack(parts: Column, sep: str, most: int, overlap: int, too_large: Callable[[Column], Column]) -> Column:

@@ -135,10 +135,12 @@ def hybrid_search(
     return top(scored, "hybrid_score", k, key)
 
 
-def packed_context(ranked: DataFrame, *keys: str, rank: str = "rank", content: str = "content", most: int = DEFAULTS.context_max_tokens) -> DataFrame:
-    """The ranked chunks that fit in `most` tokens, up to the first that does not; with `tokens` and `running_tokens`."""
+def packed_context(ranked: DataFrame, *keys: str, rank: str = "rank", content: str = "content", most: int = DEFAULTS.context_max_tokens, count: Callable[[Column], Column] = K.count) -> DataFrame:
+    """The ranked chunks that fit in `most` tokens, up to the first that does not; with `tokens` and `running_tokens`.
+
+    count: the number of a text's tokens, words or those of a vocabulary (`functions.vocabulary`)."""
     order = Window.partitionBy(*keys).orderBy(rank).rowsBetween(Window.unboundedPreceding, 0)
-    counted = ranked.withColumn("tokens", K.count(F.coalesce(F.col(content), F.lit(""))))
+    counted = ranked.withColumn("tokens", count(F.coalesce(F.col(content), F.lit(""))))
     return counted.withColumn("running_tokens", F.sum("tokens").over(order)).filter(F.col("running_tokens") <= most)
 
 
