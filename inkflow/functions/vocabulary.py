@@ -99,10 +99,14 @@ def count(text: Column, path: str, pattern: str = PATTERN) -> Column:
     return F.size(ends(text, path, pattern))
 
 
-def _cut(text: Column, stops: Column, start: Column, to: Column) -> Column:
-    """Tokens start to `to` (exclusive) of a text."""
+def cut(text: Column, stops: Column, start: Column, to: Column) -> Column:
+    """The bytes of tokens start to `to` (exclusive) of a text."""
     first = F.when(start <= 0, 0).otherwise(F.get(stops, start - 1))
-    return F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), first + 1, F.get(stops, to - 1) - first).cast("string"))
+    return F.substring(F.encode(text, "UTF-8"), first + 1, F.get(stops, to - 1) - first)
+
+
+def _cut(text: Column, stops: Column, start: Column, to: Column) -> Column:
+    return F.make_valid_utf8(cut(text, stops, start, to).cast("string"))
 
 
 def windows(text: Column, stops: Column, size: int, overlap: int) -> Column:

@@ -14,7 +14,7 @@ from inkflow.config import DEFAULTS
 from inkflow.functions import text as T
 from inkflow.functions import tokens as K
 from inkflow.functions import vocabulary as V
-from inkflow.operators.structure import sections
+from inkflow.operators.structure import sectioned
 
 _TEXTS = "array<string>"
 
@@ -190,9 +190,7 @@ def section_chunks(parts: Column, most: int = DEFAULTS.chunk_max_tokens, overlap
 
 def semantic_chunks(docs: DataFrame, *keys: str, most: int = DEFAULTS.chunk_max_tokens, overlap: int = DEFAULTS.chunk_overlap, tables: bool = True) -> DataFrame:
     """keys, chunk_index, content, tokens, section, sections, has_table, has_heading: a document's chunks by sections."""
-    own = F.array_sort(F.collect_list(F.struct("ordinal", "type", "content", "heading")))
-    gathered = sections(docs, *keys).groupBy(*keys).agg(own.alias("_parts"))
-    chunks = gathered.select(*keys, F.posexplode(section_chunks(F.col("_parts"), most, overlap, tables)).alias("chunk_index", "_c"))
+    chunks = sectioned(docs, *keys).select(*keys, F.posexplode(section_chunks(F.col("_parts"), most, overlap, tables)).alias("chunk_index", "_c"))
     return chunks.select(*keys, "chunk_index", "_c.content", K.count(F.col("_c.content")).alias("tokens"), "_c.section", "_c.sections", "_c.has_table", "_c.has_heading")
 
 

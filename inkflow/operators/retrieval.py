@@ -61,11 +61,13 @@ def vector_search(chunks: DataFrame, query: Sequence[float], k: int, metric: str
 
 #: Queries that one scan of the chunks answers; it bounds what is sent to every task.
 QUERY_BLOCK = 1_000
+#: Queries of a block that one matrix product takes.
+QUERY_BATCH = 100
 
 
 def vector_search_many(chunks: DataFrame, queries: DataFrame, k: int, metric: str = "l2", filters=None, by: str | None = None, key: str = "id", embedding: str = "embedding") -> DataFrame:
     """(query_id, key, distance) of the k nearest chunks of each row (query_id, embedding) of queries; ties go to the lesser
-    key. by: a column of chunks, to give k for each of its values.
+    key; a null vector, and by cosine one of zeros, is at no distance. by: a column of chunks, to give k for each of its values.
 
     Queries are sent to the tasks in blocks of QUERY_BLOCK; a task keeps the k best of each query and value, so at most
     those are shuffled.
@@ -89,26 +91,44 @@ def vector_search_many(chunks: DataFrame, queries: DataFrame, k: int, metric: st
 
 
 def _nearest(batches, ids: np.ndarray, queries: np.ndarray, k: int, metric: str, grouped: bool):
-    """Of each query (and group), the k nearest rows of a task."""
+    """Of each query (and group), the k nearest rows of a task.
+
+    One matrix product finds, with a margin for its rounding, the rows that can be among them; the distances of those
+    are computed anew from the differences."""
     best: dict = {}
     for batch in batches:
         if not batch.num_rows or not len(ids):
             continue
-        keys = batch.column("_key").to_pylist()
-        groups = batch.column("_by").to_pylist() if grouped else [None] * len(keys)
-        v = np.array(batch.column("_v").to_pylist(), np.float64)
-        for j, (i, q) in enumerate(zip(ids.tolist(), queries, strict=True)):
-            if metric == "l2":
-                d = np.sqrt(((v - q) ** 2).sum(axis=1))
-            else:
-                d = 1 - (v @ q) / np.maximum(np.sqrt((v * v).sum(axis=1)) * np.sqrt(q @ q), 1e-300)
-            for g in set(groups):
-                rows = [r for r in range(len(keys)) if groups[r] == g] if grouped else range(len(keys))
-                some = np.fromiter(rows, np.int64)
-                if len(some) > k:
-                    worst = np.partition(d[some], k - 1)[k - 1]
-                    some = some[d[some] <= worst]
-                best[j, g] = sorted(best.get((j, g), []) + [(float(d[r]), keys[r]) for r in some.tolist()])[:k]
+        keys, lists = batch.column("_key").to_pylist(), batch.column("_v")
+        groups = batch.column("_by").to_pylist() if grouped else None
+        v = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+        places = {None: np.arange(len(keys))}
+        if grouped:
+            named: dict = {}
+            for r, g in enumerate(groups):
+                named.setdefault(g, []).append(r)
+            places = {g: np.array(rows, np.int64) for g, rows in named.items()}
+        # as distances of cosines grow with those of unit vectors, both metrics compare squared distances
+        lengths = np.sqrt((v * v).sum(1))
+        scale = np.where(lengths > 0, lengths, 1.0)[:, None]
+        a, b = (v, queries) if metric == "l2" else (v / scale, queries / np.maximum(np.sqrt((queries * queries).sum(1)), 1e-300)[:, None])
+        square = (a * a).sum(1)
+        for g, rows in places.items():
+            for start in range(0, len(b), QUERY_BATCH):
+                part = b[start : start + QUERY_BATCH]
+                about = square[rows, None] - 2 * (a[rows] @ part.T) + (part * part).sum(1)
+                margin = 1e-9 * (1 + square[rows].max() + (part * part).sum(1))
+                worst = np.partition(about, k - 1, axis=0)[k - 1] if len(rows) > k else np.full(len(part), np.inf)
+                for j in range(len(part)):
+                    some, q = rows[about[:, j] <= worst[j] + margin[j]], queries[start + j]
+                    if metric == "l2":
+                        d = np.sqrt(((v[some] - q) ** 2).sum(axis=1))
+                    else:
+                        norm = lengths[some] * np.sqrt(q @ q)
+                        some, norm = some[norm > 0], norm[norm > 0]
+                        d = 1 - (v[some] @ q) / norm
+                    own = best.get((start + j, g), []) + [(float(x), keys[r]) for x, r in zip(d, some.tolist(), strict=True)]
+                    best[start + j, g] = sorted(own, key=lambda x: (x[0], x[1] is None, x[1] if x[1] is not None else 0))[:k]
     out = [(int(ids[j]), key, d, *([g] if grouped else [])) for (j, g), own in best.items() for d, key in own]
     names = ["query_id", "_key", "distance", *(["_by"] if grouped else [])]
     if out:

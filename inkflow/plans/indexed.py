@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inkflow import shared
-from inkflow.functions import lexical
-from inkflow.operators import chunking, graph, lexical_index, metadata_index, retrieval
+from inkflow.functions import lexical, vocabulary
+from inkflow.operators import graph, lexical_index, metadata_index, retrieval
 from inkflow.plans.catalogue import _WORDS, _chunks, _many_sql, _query_rows, query, table
 
 
@@ -93,11 +93,14 @@ def json_indexed_filters(spark, sf):
     return out
 
 
-@query("select doc_id, md5(coalesce(text, '')) as joined from documents")
+@query("select doc_id, octet_length(encode(coalesce(text, ''))) as n_bytes, md5(coalesce(text, '')) as joined from documents")
 def vocabulary_windows(spark, sf):
-    """Windows of 64 tokens of a vocabulary without overlap: joined, they are the text."""
+    """Runs of 64 tokens of a vocabulary, as bytes: joined, they are the text, and the last token ends where it ends."""
     import public_tokenizers
 
-    docs = table(spark, sf, "documents")
-    cut = chunking.fixed_windows(docs, "doc_id", size=64, overlap=0, vocabulary=public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return retrieval.joined_context(cut, "doc_id", order="chunk_index", content="content", between="").select("doc_id", F.md5("context").alias("joined"))
+    text, stops = F.coalesce("text", F.lit("")), F.col("_ends")
+    docs = table(spark, sf, "documents").select("doc_id", text.alias("text"), vocabulary.ends(text, public_tokenizers.path("byte_bpe_50k.tiktoken")).alias("_ends"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size(stops), F.lit(1)) - 1, F.lit(64))
+    parts = F.transform(starts, lambda i: F.hex(vocabulary.cut(F.col("text"), stops, i, F.least(i + 64, F.size(stops)))))
+    n_bytes = F.coalesce(F.get(stops, F.size(stops) - 1), F.lit(0)).cast("long")
+    return docs.select("doc_id", n_bytes.alias("n_bytes"), F.md5(F.unhex(F.array_join(parts, ""))).alias("joined"))
