@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from inkflow.functions import spanish
+
 WORD = r"[\p{L}\p{N}]+"
 K1, B = 1.2, 0.75
 
@@ -44,32 +46,113 @@ def light_stem(word: str) -> str:
     return word[:-1] if len(word) > 3 and word[-1] in "aeo" else word
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _stemmed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    memo: dict[str, str] = {}
-    for lists in batches:
-        if len(memo) > 200_000:
-            memo.clear()
-        for word in {w for own in lists if own is not None for w in own} - memo.keys():
-            memo[word] = light_stem(word)
-        yield lists.map(lambda own: None if own is None else [memo[w] for w in own])
+#: Stemmers by name: the published one, and a light one that takes off one ending.
+STEMMERS = {"full": spanish.stem, "light": light_stem}
+
+
+def _stemmed(lists: Column, stemmer: str) -> Column:
+    """Each distinct word of a batch is stemmed once and remembered."""
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def own(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        memo: dict[str | None, str | None] = {None: None}
+        for some in batches:
+            if len(memo) > 200_000:
+                memo = {None: None}
+            for word in {w for x in some if x is not None for w in x} - memo.keys():
+                memo[word] = STEMMERS[stemmer](word)
+            yield some.map(lambda x, memo=memo: None if x is None else [memo[w] for w in x])
+
+    return own(lists)
+
 
+def _stops(language: str | None, stops: Sequence[str] | None) -> Sequence[str]:
+    return stops if stops is not None else stop_words(language) if language else ()
 
-def lexemes(text: Column, language: str | None = "spanish", stemmed: bool = True, stops: Sequence[str] | None = None) -> Column:
+
+def lexemes(text: Column, language: str | None = "spanish", stemmed: bool = True, stops: Sequence[str] | None = None, stemmer: str = "full") -> Column:
     """The words of a text without stop words (those of the language, or `stops`), stemmed for Spanish; unstemmed lexemes
     need no Python."""
     own = words(text)
-    left_out = stops if stops is not None else stop_words(language) if language else ()
-    if left_out:
+    if left_out := _stops(language, stops):
         stop = F.array(*(F.lit(w) for w in left_out))
         own = F.filter(own, lambda w: ~F.array_contains(stop, w))
-    return _stemmed(own) if stemmed and language == "spanish" else own
+    return _stemmed(own, stemmer) if stemmed and language == "spanish" else own
+
+
+def placed_lexemes(text: Column, language: str | None = "spanish", stemmed: bool = True, stops: Sequence[str] | None = None, stemmer: str = "full") -> Column:
+    """As lexemes, with a null in place of each stop word, so that a lexeme's index is its place in the text."""
+    own = words(text)
+    if left_out := _stops(language, stops):
+        stop = F.array(*(F.lit(w) for w in left_out))
+        own = F.transform(own, lambda w: F.when(~F.array_contains(stop, w), w))
+    return _stemmed(own, stemmer) if stemmed and language == "spanish" else own
 
 
-def query_lexemes(text: str, language: str | None = "spanish", stemmed: bool = True, stops: Sequence[str] | None = None) -> list[str]:
+def query_lexemes(text: str, language: str | None = "spanish", stemmed: bool = True, stops: Sequence[str] | None = None, stemmer: str = "full") -> list[str]:
     own = dict.fromkeys(re.findall(r"[^\W_]+", text.lower()))
-    stop = set(stops if stops is not None else stop_words(language) if language else ())
-    return list(dict.fromkeys(light_stem(w) if stemmed and language == "spanish" else w for w in own if w not in stop))
+    stop = set(_stops(language, stops))
+    return list(dict.fromkeys(STEMMERS[stemmer](w) if stemmed and language == "spanish" else w for w in own if w not in stop))
+
+
+def matches(lex: Column, query) -> Column:
+    """Whether lexemes satisfy a query: a term, or a tuple ("and", ...), ("or", ...) or ("not", q) of queries. An empty
+    `and` holds always, an empty `or` never; null lexemes satisfy none."""
+    if isinstance(query, str):
+        return F.coalesce(F.exists(lex, lambda w: w == query), F.lit(False))
+    kind, *parts = query
+    if kind == "not":
+        return lex.isNotNull() & ~matches(lex, parts[0])
+    out = lex.isNotNull() & F.lit(kind == "and")
+    for p in parts:
+        out = out & matches(lex, p) if kind == "and" else out | matches(lex, p)
+    return out
+
+
+# Fixed values of the database's rank: the weight of an unlabelled lexeme, the rank of a text without any pair, the places
+# of a lexeme that count and the last place.
+WEIGHT, NO_PAIR, PLACES, LAST = 0.1, 1e-20, 256, 16_383
+
+
+def positions(placed: Column, term: str) -> Column:
+    """The first places of a term, from 1, the last ones being LAST."""
+    own = F.filter(F.transform(placed, lambda w, i: F.when(w == term, F.least(i + 1, F.lit(LAST)))), lambda x: x.isNotNull())
+    return F.slice(own, 1, PLACES)
+
+
+def rank(placed: Column, terms: Sequence[str]) -> Column:
+    """The database's rank of a text for a query of all terms, from `placed_lexemes`: null for null lexemes.
+
+    Each pair of places of two different terms counts by their distance d, up to 100, with WEIGHT / sqrt(1.005 + 0.05 exp(d / 1.5 -
+    2)), and the rank is one less the product of what these leave; a single term counts by the squares of its places' numbers.
+    """
+    own = list(dict.fromkeys(terms))
+    if not own:
+        return F.when(placed.isNotNull(), F.lit(0.0))
+    if len(own) == 1:
+        squares = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(positions(placed, own[0])), F.lit(1))), F.lit(0.0), lambda a, j: a + F.lit(1.0) / (j * j))
+        return F.when(placed.isNotNull(), F.when(F.exists(placed, lambda w: w == own[0]), F.lit(WEIGHT) * squares / 1.64493406685).otherwise(F.lit(0.0)))
+
+    def left(d: Column) -> Column:
+        near = 1 - F.lit(WEIGHT) / F.sqrt(F.lit(1.005) + 0.05 * F.exp(d / 1.5 - 2))
+        return F.when((d > 0) & (d <= 100), near).otherwise(F.lit(1.0))
+
+    def left_by(a: Column, b: Column) -> Column:
+        return F.aggregate(a, F.lit(1.0), lambda acc, x: F.aggregate(b, acc, lambda inner, y: inner * left(F.abs(x - y))))
+
+    def apart(a: Column, b: Column) -> Column:
+        return F.exists(a, lambda x: F.exists(b, lambda y: x != y))
+
+    def whole(lists: Column) -> Column:
+        product, any_pair = F.lit(1.0), F.lit(False)
+        for i in range(len(own)):
+            for k in range(i):
+                product = product * left_by(lists[i], lists[k])
+                any_pair = any_pair | apart(lists[i], lists[k])
+        return F.when(any_pair, F.greatest(1 - product, F.lit(0.0))).otherwise(F.lit(NO_PAIR))
+
+    # bound by a transform of one element, so that places are looked up once
+    return F.when(placed.isNotNull(), F.transform(F.array(F.array(*(positions(placed, t) for t in own))), whole)[0])
 
 
 def frequency(lex: Column, term: str) -> Column:

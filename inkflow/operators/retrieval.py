@@ -146,10 +146,14 @@ def hybrid_search(
 ) -> DataFrame:
     """The k chunks of the best hybrid score, with `distance`, `lexical` and `hybrid_score`, without vectors and lexemes.
 
-    scorer: `bm25` with statistics of the filtered chunks, or `tf`.
+    scorer: `bm25` with statistics of the filtered chunks, `tf`, or `rank`, the database's, of lexemes in their places
+    (`lexical.placed_lexemes`).
     """
     own = json_filter.filtered(chunks, filters)
-    own = lexical.bm25(own, lex, list(terms)) if scorer == "bm25" else own.withColumn("lexical", lexical.tf_score(F.col(lex), list(terms)))
+    if scorer == "bm25":
+        own = lexical.bm25(own, lex, list(terms))
+    else:
+        own = own.withColumn("lexical", {"tf": lexical.tf_score, "rank": lexical.rank}[scorer](F.col(lex), list(terms)))
     scored = own.withColumn("distance", vectors.distance(metric, F.col(embedding), vectors.literal(query)))
     scored = scored.withColumn("hybrid_score", hybrid_score(F.col("distance"), F.col("lexical"), settings)).drop(embedding, lex)
     return top(scored, "hybrid_score", k, key)

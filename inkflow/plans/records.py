@@ -185,8 +185,8 @@ from d left join t using (doc_id) left join stems on stems.w = t.w group by d.do
 """)
 def spanish_lexemes(spark, sf):
     """Stemmed lexemes of all texts, and how many are those of a question."""
-    terms = lexical.query_lexemes("¿La persona y el TIEMPO, persona?", stops=STOPS)
-    own = table(spark, sf, "documents").select("doc_id", lexical.lexemes(F.col("text"), stops=STOPS).alias("lex"))
+    terms = lexical.query_lexemes("¿La persona y el TIEMPO, persona?", stops=STOPS, stemmer="light")
+    own = table(spark, sf, "documents").select("doc_id", lexical.lexemes(F.col("text"), stops=STOPS, stemmer="light").alias("lex"))
     hits = sum((lexical.frequency(F.col("lex"), t) for t in terms), F.lit(0))
     return own.select("doc_id", F.size("lex").alias("n"), F.md5(F.array_join("lex", " ")).alias("lexemes"), hits.cast("int").alias("hits"))
 
