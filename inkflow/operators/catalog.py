@@ -1,14 +1,15 @@
 """The catalogue of documents and chunks: pages of documents with counts, look-ups, deletes, backfills, tables.
 
-Parquet has no updates, so what changes a table returns its new rows; `replaced` writes them beside the old ones and
-swaps names.
+Parquet has no updates, so what changes a table returns its new rows; the tables are partitioned by a hash of the document, and
+deletes and updates rewrite the partitions of their documents alone.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkflow import shared
 from inkflow.functions import json_filter, lexical
 
 DOCUMENTS = "id string, filename string, file_type string, uploaded_at timestamp, metadata string"
@@ -99,14 +100,25 @@ def responses(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("body"))
 
 
+#: Partitions of the tables, by a hash of the document: what a delete or an update rewrites.
+BUCKETS = 64
+
+
+def bucket(document: Column) -> Column:
+    return F.pmod(F.xxhash64(document), F.lit(BUCKETS)).cast("int")
+
+
 def create_tables(spark: SparkSession, prefix: str = "") -> None:
     for name, schema in (("documents", DOCUMENTS), ("document_chunks", CHUNKS)):
-        spark.sql(f"create table if not exists {prefix}{name} ({schema}) using parquet")
+        spark.sql(f"create table if not exists {prefix}{name} ({schema}, bucket int) using parquet partitioned by (bucket)")
 
 
 def insert(spark: SparkSession, table: str, rows: DataFrame) -> None:
-    """Append rows to a table by its column names."""
-    rows.select(*spark.table(table).columns).write.mode("append").insertInto(table)
+    """Append rows to a table by its column names; rows of documents and chunks go to their document's bucket."""
+    columns = spark.table(table).columns
+    if "bucket" in columns:
+        rows = rows.withColumn("bucket", bucket(F.col("document_id" if "document_id" in columns else "id")))
+    rows.select(*columns).write.mode("append").insertInto(table)
     spark.catalog.refreshTable(table)
 
 
@@ -125,12 +137,49 @@ def replaced(spark: SparkSession, name: str, rows: DataFrame) -> None:
     spark.sql(f"drop table {name}_before")
 
 
+def _rewritten(spark: SparkSession, table: str, buckets: list[int], kept: DataFrame) -> None:
+    """Put kept in the place of these partitions; others are not touched. kept may be read from the table."""
+    staged = shared.written(kept, "kept")
+    left = {r.bucket for r in staged.select("bucket").distinct().collect()}
+    mode = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        staged.select(*spark.table(table).columns).write.mode("overwrite").insertInto(table, overwrite=True)
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", mode)
+    for b in sorted(set(buckets) - left):
+        spark.sql(f"alter table {table} drop if exists partition (bucket = {b})")
+    spark.catalog.refreshTable(table)
+
+
+def delete_all(spark: SparkSession, ids: DataFrame, prefix: str = "") -> int:
+    """Delete the documents of ids (column id) and their chunks; how many documents there were.
+
+    Only the buckets of these documents are read and rewritten, each by one commit that swaps the partition's files.
+    Documents go first: if the second step never comes, they are not listed any more, and a repeated call takes out the chunks.
+    """
+    wanted = shared.written(ids.select("id").distinct(), "ids").withColumn("bucket", bucket(F.col("id")))
+    # at most BUCKETS numbers
+    buckets = [r.bucket for r in wanted.select("bucket").distinct().collect()]
+    if not buckets:
+        return 0
+    documents, chunks = (spark.table(f"{prefix}{t}").filter(F.col("bucket").isin(buckets)) for t in ("documents", "document_chunks"))
+    n = documents.join(wanted.select("id"), "id", "left_semi").count()
+    new_documents, new_chunks = deleted(documents, chunks, wanted.select("id"))
+    if n:
+        _rewritten(spark, f"{prefix}documents", buckets, new_documents)
+    if not chunks.join(wanted.select(F.col("id").alias("document_id")), "document_id", "left_semi").isEmpty():
+        _rewritten(spark, f"{prefix}document_chunks", buckets, new_chunks)
+    return n
+
+
 def delete(spark: SparkSession, id_: str, prefix: str = "") -> bool:
     """Delete a document and its chunks; False if there is none."""
-    documents, chunks = spark.table(f"{prefix}documents"), spark.table(f"{prefix}document_chunks")
-    if got(documents, id_).isEmpty():
-        return False
-    new_documents, new_chunks = deleted(documents, chunks, spark.createDataFrame([(id_,)], "id string"))
-    replaced(spark, f"{prefix}documents", new_documents)
-    replaced(spark, f"{prefix}document_chunks", new_chunks)
-    return True
+    return delete_all(spark, spark.createDataFrame([(id_,)], "id string"), prefix) > 0
+
+
+def upsert(spark: SparkSession, documents: DataFrame, chunks: DataFrame, prefix: str = "") -> None:
+    """Put documents and their chunks in the place of those of the same ids, if any."""
+    documents, chunks = shared.written(documents, "documents"), shared.written(chunks, "chunks")
+    delete_all(spark, documents.select("id"), prefix)
+    append(spark, documents, chunks, prefix)

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkflow.config import Settings
+from inkflow.operators import catalog
 from inkflow.plans.ingest import identified, ingest, rejected
 from inkflow.sources import files, providers
 from inkflow.streaming.ingest import ingest_stream
@@ -60,7 +61,8 @@ def test_a_file_without_images_does_not_stop_others(spark, monkeypatch, rows):
     assert {r.filename for r in got} == {"c.png", "j.tiff"}
 
 
-def test_stream_has_each_file_once(spark, tmp_path):
+def test_stream_has_each_file_once(spark, tmp_path, monkeypatch):
+    """Also if a batch stops after its documents are written, before its rejects are."""
     tables = ("documents", "document_chunks", "rejects", "ingested_files")
     for t in tables:
         spark.sql(f"drop table if exists q_{t}")
@@ -73,9 +75,21 @@ def test_stream_has_each_file_once(spark, tmp_path):
     (folder / "i.html.meta.json").write_text("[1]")
 
     def run():
-        ingest_stream(spark, str(folder), state, "q_", '{"de": "todos"}', most_files=4).awaitTermination()
+        ingest_stream(spark, str(folder), state, "q_", '{"de": "todos"}', most_files=12).awaitTermination()
         return {t: spark.table(f"q_{t}").collect() for t in tables}
 
+    real = catalog.insert
+
+    def stops(session, table, rows):
+        if table == "q_rejects":
+            raise RuntimeError("lost")
+        real(session, table, rows)
+
+    monkeypatch.setattr(catalog, "insert", stops)
+    with pytest.raises(Exception, match="lost"):
+        run()
+    assert spark.table("q_documents").count() > 0 == spark.table("q_ingested_files").count()
+    monkeypatch.setattr(catalog, "insert", real)
     first = run()
     assert run() == first
     (folder / "neu.txt").write_text("otro")
@@ -90,7 +104,5 @@ def test_stream_has_each_file_once(spark, tmp_path):
     assert {r.document_id for r in last["document_chunks"]} == {r.id for r in last["documents"]}
     outcomes = {r.path.rpartition("/")[2]: r.outcome for r in last["ingested_files"]}
     assert outcomes["b.pdf"] == "no reader" and outcomes["neu.txt"] == "document"
-    # a batch that fails before its end and is run again adds what is left
-    spark.sql("drop table q_rejects")
     for t in tables:
         spark.sql(f"drop table if exists q_{t}")

@@ -22,8 +22,8 @@ torpeza torpez torrado torr torralba torralb torre torr torrencial torrencial to
 def test_published_stems():
     assert {w: stem(w) for w in PAIRS[::2]} == dict(zip(PAIRS[::2], PAIRS[1::2], strict=True))
     assert [stem(w) for w in ("amablemente", "soluciones", "biología", "diferencia", "nacionalidad", "creativas", "construyendo", "diciéndole", "paguemos", "", "a", "y", "oí")] == ["amabl", "solucion", "biolog", "diferent", "nacional", "creativ", "constru", "dic", "pag", "", "a", "y", "oi"]
-    # RV, R1 and R2 of the words that the algorithm's description takes as examples
-    assert [regions(w)[0] for w in ("macho", "oliva", "trabajo", "áureo")] == [3, 3, 5, 4]
+    # RV of the words that the algorithm's description takes as examples
+    assert [w[regions(w)[0] :] for w in ("macho", "oliva", "trabajo", "áureo")] == ["ho", "va", "bajo", "eo"]
 
 
 def test_words_are_stemmed_alike_everywhere(spark):
