@@ -32,7 +32,8 @@ def metadata_of(text: Column) -> Column:
     return F.when(is_object(parsed(own)) & alone, own)
 
 
-def _path(key: str) -> str:
+def path(key: str) -> str:
+    """The path of an object's key."""
     return "$[" + ("'" + key + "'" if "'" not in key else '"' + key + '"') + "]"
 
 
@@ -41,7 +42,7 @@ def contains(v: Column, needle) -> Column:
     if isinstance(needle, Mapping):
         out = kind.startswith("OBJECT")
         for key, value in needle.items():
-            out = out & contains(F.try_variant_get(v, _path(str(key)), "variant"), value)
+            out = out & contains(F.try_variant_get(v, path(str(key)), "variant"), value)
     elif isinstance(needle, list | tuple):
         own = F.try_variant_get(v, "$", "array<variant>")
         out = kind.startswith("ARRAY")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from inkflow import shared
 from inkflow.functions import lexical, vocabulary
-from inkflow.operators import graph, lexical_index, metadata_index, retrieval
+from inkflow.operators import graph, lexical_index, metadata_index, retrieval, shredded
 from inkflow.plans.catalogue import _WORDS, _chunks, _many_sql, _query_rows, query, table
 
 
@@ -72,20 +72,37 @@ FILTERS = {
 }
 
 
-@query("""
+_FILTERS_SQL = """
 select 'lang' as filter, doc_id from documents where lang = 'es' union all select 'number', doc_id from documents where doc_id % 40 = 3 union all select 'held', doc_id from documents where doc_id % 7 = 2
 union all select 'nested', doc_id from documents where doc_id % 5 = 1 and doc_id % 11 = 4 union all select 'none', doc_id from documents where doc_id % 40 = 7 and doc_id % 3 = 0
-""")
-def json_indexed_filters(spark, sf):
-    """Filters answered from posting lists of metadata: a common value, a number, held by arrays, nested, null, absent."""
+"""
+
+
+def _with_metadata(spark, sf):
+    """doc_id and metadata with a string, a number, an array with an object, a nested object, and a null or true."""
     i = F.col("doc_id")
     tags = F.concat(F.lit('"tags":["t'), (i % 7).cast("string"), F.lit('",{"x":'), (i % 5).cast("string"), F.lit("}]"))
     meta = F.concat(
         F.lit('{"lang":'), F.to_json(F.array("lang")).substr(F.lit(2), F.length("lang") + 2), F.lit(',"n":'), (i % 40).cast("string"), F.lit(","), tags, F.lit(',"a":{"b":"k'), (i % 11).cast("string"),
         F.lit('"},"v":'), F.when(i % 3 == 0, "null").otherwise("true"), F.lit("}"),
     )
+    return table(spark, sf, "documents").select("doc_id", meta.alias("metadata"))
+
+
+@query(_FILTERS_SQL)
+def json_shredded_filters(spark, sf):
+    """The same filters on metadata whose hot keys have columns of their own; one scan answers all of them."""
+    hot, folder = {"lang": "string", "n": "double"}, shared.new_folder(spark, "shredded")
+    shredded.write(_with_metadata(spark, sf), hot, folder, ["lang"])
+    named = F.array(*(F.when(F.coalesce(shredded.condition(f, hot), F.lit(False)), F.lit(name)) for name, f in FILTERS.items()))
+    return spark.read.parquet(folder).select(F.explode(named).alias("filter"), "doc_id").filter("filter is not null")
+
+
+@query(_FILTERS_SQL)
+def json_indexed_filters(spark, sf):
+    """Filters answered from posting lists of metadata: a common value, a number, held by arrays, nested, null, absent."""
     folder = shared.new_folder(spark, "metadata")
-    metadata_index.append(table(spark, sf, "documents").select("doc_id", meta.alias("metadata")), folder, "doc_id")
+    metadata_index.append(_with_metadata(spark, sf), folder, "doc_id")
     parts = [metadata_index.filtered(spark, folder, f, "doc_id").select(F.lit(name).alias("filter"), "doc_id") for name, f in FILTERS.items()]
     out = parts[0]
     for p in parts[1:]:

@@ -6,7 +6,7 @@ from __future__ import annotations
 import duckdb
 import pytest
 
-from inkflow.plans import catalogue, indexed, lexemes, records  # noqa: F401  these add their queries
+from inkflow.plans import catalogue, indexed, ingested, lexemes, records  # noqa: F401  these add their queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
