@@ -9,6 +9,7 @@ from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from inkflow import shared
 from inkflow.config import Settings
@@ -22,7 +23,7 @@ from inkflow.sources import files
 _CONTROL = r"[\x00-\x09\x0B-\x1F\x7F]"
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def _as_docx(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """A docx with a paragraph for each line."""
     head = '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>'
