@@ -190,7 +190,8 @@ def section_chunks(parts: Column, most: int = DEFAULTS.chunk_max_tokens, overlap
 
 def semantic_chunks(docs: DataFrame, *keys: str, most: int = DEFAULTS.chunk_max_tokens, overlap: int = DEFAULTS.chunk_overlap, tables: bool = True) -> DataFrame:
     """keys, chunk_index, content, tokens, section, sections, has_table, has_heading: a document's chunks by sections."""
-    chunks = sectioned(docs, *keys).select(*keys, F.posexplode(section_chunks(F.col("_parts"), most, overlap, tables)).alias("chunk_index", "_c"))
+    # every document has a chunk; without `outer` a filter on their number would be pushed down, where it folds them all again
+    chunks = sectioned(docs, *keys).select(*keys, F.posexplode_outer(section_chunks(F.col("_parts"), most, overlap, tables)).alias("chunk_index", "_c"))
     return chunks.select(*keys, "chunk_index", "_c.content", K.count(F.col("_c.content")).alias("tokens"), "_c.section", "_c.sections", "_c.has_table", "_c.has_heading")
 
 

@@ -86,7 +86,8 @@ def structure(docs: DataFrame, *keys: str) -> DataFrame:
 def sections(docs: DataFrame, *keys: str) -> DataFrame:
     """keys, ordinal, type (text, heading or table), level, heading, content: the chunker's sections, a row each."""
     cut = sectioned(docs, *keys)
-    return cut.select(*keys, F.posexplode("_parts").alias("ordinal", "_p")).select(*keys, "ordinal", "_p.type", "_p.level", "_p.heading", "_p.content")
+    # every document has a section; without `outer` a filter on their number would be pushed down, where it finds them all again
+    return cut.select(*keys, F.posexplode_outer("_parts").alias("ordinal", "_p")).select(*keys, "ordinal", "_p.type", "_p.level", "_p.heading", "_p.content")
 
 
 def sectioned(docs: DataFrame, *keys: str) -> DataFrame:

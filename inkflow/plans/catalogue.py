@@ -38,6 +38,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """docs dealt out over all cores if it is of fewer files than there are: one small file is one task, whatever is done with its
+    texts. Tables of many files are read where they lie."""
+    n = docs.sparkSession.sparkContext.defaultParallelism
+    return docs if len(docs.inputFiles()) >= n else docs.repartition(n)
+
+
 # --- texts ----------------------------------------------------------------------------------------------------------
 
 _STRIPPED = "regexp_replace({0}, '^[\\s\\x0B\\x1c-\\x1f\\x{{85}}\\x{{a0}}\\x{{2000}}-\\x{{200a}}\\x{{3000}}]+|[\\s\\x0B\\x1c-\\x1f\\x{{85}}\\x{{a0}}\\x{{2000}}-\\x{{200a}}\\x{{3000}}]+$', '', 'g')"
@@ -174,7 +181,7 @@ sec as (select doc_id, cast(row_number() over (partition by doc_id order by f) -
 
 @query(_SECTIONS + " select doc_id, ordinal, type, level, md5(heading) as heading, md5(content) as content from sec")
 def sections(spark, sf):
-    own = structure.sections(marked(table(spark, sf, "documents")), "doc_id")
+    own = structure.sections(marked(spread(table(spark, sf, "documents"))), "doc_id")
     return own.select("doc_id", "ordinal", "type", "level", F.md5("heading").alias("heading"), F.md5("content").alias("content"))
 
 
@@ -272,19 +279,19 @@ select doc_id, cast(row_number() over (partition by doc_id order by i) - 1 as in
 
 @query(_section_chunks_sql(120, 20))
 def chunk_sections(spark, sf):
-    own = chunking.semantic_chunks(marked(table(spark, sf, "documents")), "doc_id", most=120, overlap=20)
+    own = chunking.semantic_chunks(marked(spread(table(spark, sf, "documents"))), "doc_id", most=120, overlap=20)
     return own.withColumn("content", F.md5("content"))
 
 
 @query(_paragraphs_sql(120, 20))
 def chunk_paragraphs(spark, sf):
-    own = marked(table(spark, sf, "documents")).select("doc_id", F.posexplode(chunking.paragraph_chunks(F.col("text"), 120, 20)).alias("chunk_index", "content"))
+    own = marked(spread(table(spark, sf, "documents"))).select("doc_id", F.posexplode(chunking.paragraph_chunks(F.col("text"), 120, 20)).alias("chunk_index", "content"))
     return own.withColumn("content", F.md5("content"))
 
 
 @query(_sentences_sql(120, 20))
 def chunk_sentences(spark, sf):
-    own = table(spark, sf, "documents").select("doc_id", F.posexplode(chunking.sentence_chunks(F.col("text"), 120, 20)).alias("chunk_index", "content"))
+    own = spread(table(spark, sf, "documents")).select("doc_id", F.posexplode(chunking.sentence_chunks(F.col("text"), 120, 20)).alias("chunk_index", "content"))
     return own.withColumn("content", F.md5("content"))
 
 
