@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -75,3 +76,24 @@ def test_context_by_a_vocabulary(spark, library):
     while kept < len(counts) and sum(counts[: kept + 1]) <= 60:
         kept += 1
     assert [r.tokens for r in got] == counts[:kept]
+
+
+def test_short_pieces_are_merged_alike(monkeypatch):
+    """By a list of ranks or by a heap; and pieces come back from those remembered before."""
+    ranks, texts = vocabulary.encoder(PATH).ranks, ["unbelievableness", "aaaaaaaaaaaaaa", "señoríos", "x", "0x7f3a9cbb", "ththandanere"]
+    short = [vocabulary.merged(t.encode(), ranks) for t in texts]
+    monkeypatch.setattr(vocabulary, "SHORT", 0)
+    assert short == [vocabulary.merged(t.encode(), ranks) for t in texts]
+    monkeypatch.setattr(vocabulary, "REMEMBERED", 2)
+    own = vocabulary.Encoder(PATH, vocabulary.PATTERN)
+    for t in texts * 2:
+        assert own.sizes(t) == vocabulary.encoder(PATH).sizes(t) and own.ends(t).tolist() == np.cumsum(own.sizes(t)).tolist()
+
+
+def test_windows_of_a_long_text_take_no_square_of_its_length(spark):
+    """Each of the 30,000 windows of 3 MB encoded the text anew before, 90 GB in all."""
+    text, stops = F.repeat(F.lit("abc "), 750_000), F.sequence(F.lit(4), F.lit(3_000_000), F.lit(4))
+    own = spark.range(1).select(text.alias("t"), stops.alias("s"))
+    starts = F.sequence(F.lit(0), F.size("s") - 1, F.lit(25))
+    got = own.select(F.size(vocabulary.cuts(F.col("t"), F.col("s"), starts, 25)).alias("n"), F.length(F.array_join(vocabulary.windows(F.col("t"), F.col("s"), 25, 0), "")).alias("k")).first()
+    assert (got.n, got.k) == (30_000, 3_000_000)
