@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from inkflow.functions import lexical
 from inkflow.functions import spanish as S
-from inkflow.operators import retrieval
-from inkflow.plans.catalogue import _Q, _V, _WORDS, TERMS, _chunks, _query_vector, query, table
+from inkflow.plans.catalogue import _Q, _V, _WORDS, TERMS, _hybrid, _texts, query, table
 from inkflow.plans.records import STOPS, _list
 
 _VOWEL = f"[{S.VOWELS}]"
@@ -100,5 +99,5 @@ select doc_id, round(score, 6) as hybrid_score from h order by score desc, doc_i
 """)
 def hybrid_rank_topk(spark, sf):
     """Hybrid search with the database's rank."""
-    found = retrieval.hybrid_search(_chunks(spark, sf), _query_vector(spark, sf), TERMS, 10, scorer="rank")
+    found = _hybrid(spark, sf, _texts(spark, sf), scorer="rank")
     return found.select(F.col("id").alias("doc_id"), F.round("hybrid_score", 6).alias("hybrid_score"))
