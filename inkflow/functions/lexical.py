@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -50,18 +52,33 @@ def light_stem(word: str) -> str:
 STEMMERS = {"full": spanish.stem, "light": light_stem}
 
 
-def _stemmed(lists: Column, stemmer: str) -> Column:
-    """Each distinct word of a batch is stemmed once and remembered."""
-
-    @F.pandas_udf(ArrayType(StringType()))
-    def own(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        memo: dict[str | None, str | None] = {None: None}
-        for some in batches:
-            if len(memo) > 200_000:
-                memo = {None: None}
-            for word in {w for x in some if x is not None for w in x} - memo.keys():
+#: Words that a task remembers with their stems.
+REMEMBERED = 200_000
+
+
+def _stems(batches: Iterator[pa.Array], stemmer: str) -> Iterator[pa.Array]:
+    """Lists of words as lists of stems. Lists stay Arrow's, so that Python holds distinct words only and not one object for each
+    place; each distinct word is stemmed once and remembered."""
+    memo: dict[str | None, str | None] = {None: None}
+    for some in batches:
+        if len(memo) > REMEMBERED:
+            memo = {None: None}
+        coded = some.flatten().dictionary_encode()
+        stems = []
+        for word in coded.dictionary.to_pylist():
+            if word not in memo:
                 memo[word] = STEMMERS[stemmer](word)
-            yield some.map(lambda x, memo=memo: None if x is None else [memo[w] for w in x])
+            stems.append(memo[word])
+        # flattened lists begin at 0 and hold nothing for null rows
+        lengths = np.asarray(pc.fill_null(pc.list_value_length(some), 0))
+        offsets = np.append(0, np.cumsum(lengths)).astype(np.int32)
+        yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(stems, pa.string()).take(coded.indices), mask=pc.is_null(some))
+
+
+def _stemmed(lists: Column, stemmer: str) -> Column:
+    @F.arrow_udf(ArrayType(StringType()))
+    def own(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return _stems(batches, stemmer)
 
     return own(lists)
 
