@@ -6,8 +6,11 @@ All are tables to write beside the chunks. The inverted index prunes a lexical q
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import BucketedRandomProjectionLSH, BucketedRandomProjectionLSHModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -18,8 +21,41 @@ from inkflow.functions import vectors
 from inkflow.operators import retrieval
 
 
+#: Rows of a batch whose places are sorted at once.
+PLACED = 500
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, term, positions) from (key, lex): the places of each term of each row."""
+    for whole in batches:
+        for start in range(0, whole.num_rows, PLACED):
+            batch = whole.slice(start, PLACED)
+            lists = batch.column("lex")
+            lengths = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
+            coded = lists.flatten().dictionary_encode(null_encoding="encode")
+            if not len(coded):
+                continue
+            row, code = np.repeat(np.arange(len(lengths)), lengths), coded.indices.to_numpy().astype(np.int64)
+            place = (np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
+            named = row * len(coded.dictionary) + code
+            # a stable sort keeps places ascending
+            order = np.argsort(named, kind="stable")
+            starts = np.flatnonzero(np.append(True, np.diff(named[order]) != 0))
+            first, ends = order[starts], np.append(starts, len(order)).astype(np.int32)
+            terms = coded.dictionary.take(pa.array(code[first]))
+            positions = pa.ListArray.from_arrays(pa.array(ends), pa.array(place[order]))
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(row[first])), terms, positions], ["key", "term", "positions"])
+
+
 def inverted_index(chunks: DataFrame, key: str = "id", lex: str = "content_lex") -> DataFrame:
-    """term, key, positions (ascending, from 0), tf: one row for each term of a chunk."""
+    """term, key, positions (ascending, from 0), tf: one row for each term of a chunk.
+
+    A chunk's places are found in its own row and nothing is shuffled but keys, to see whether any is of two rows; only then
+    are places grouped by term and key."""
+    if chunks.groupBy(key).count().filter("count > 1").isEmpty():
+        own = chunks.select(F.col(key).alias("key"), F.col(lex).alias("lex"))
+        placed = own.mapInArrow(_placed, f"key {dict(own.dtypes)['key']}, term string, positions array<int>")
+        return placed.select("term", F.col("key").alias(key), "positions", F.size("positions").alias("tf"))
     placed = chunks.select(key, F.posexplode(lex).alias("position", "term"))
     return placed.groupBy("term", key).agg(F.array_sort(F.collect_list("position")).alias("positions")).withColumn("tf", F.size("positions"))
 
